@@ -8,8 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_digest
+from .licences import licence_digest
 from .runtime import table
 from .shards import shard_digest
+from .tokens import token_digest
+
+
+#: Vocabulary of the token counts, among the files of public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op2_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +32,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_tokens": op2_bpe_tokens,
     "op5_jump_shards": op5_jump_shards,
     "op7_decontaminate": op7_decontaminate,
+    "op10_licence_spans": op10_licence_spans,
 }
 
 #: DuckDB forms, where SQL can express the operator's rows.
