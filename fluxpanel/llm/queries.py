@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_digest
 from .licences import licence_digest
+from .passages import passage_digest
 from .runtime import table
 from .shards import shard_digest
 from .tokens import token_digest
@@ -28,6 +29,10 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,7 @@ def op10_licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tokens": op2_bpe_tokens,
     "op5_jump_shards": op5_jump_shards,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op10_licence_spans": op10_licence_spans,
 }
