@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_digest
 from .licences import licence_digest
+from .neardup import near_duplicates
 from .passages import passage_digest
 from .runtime import table
 from .shards import shard_digest
@@ -25,6 +26,10 @@ def op2_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tokens": op2_bpe_tokens,
+    "op4_setsketch_neardup": op4_setsketch_neardup,
     "op5_jump_shards": op5_jump_shards,
     "op6_passage_dedup": op6_passage_dedup,
     "op7_decontaminate": op7_decontaminate,
