@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blobs, map_batches, materialise
+from .runtime import blobs, fields, map_batches, materialise
 from .textkit import ALNUM_LOWER
 
 #: Words of a window; a document is contaminated if a twentieth of its words is hit.
@@ -83,7 +83,7 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanned(batches, items, width, name):
+def _scanned(batches, items, width):
     key = hashlib.sha256(repr((items, width)).encode()).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()
@@ -126,10 +126,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     nothing; repeated items count once.  Columns of these names are replaced."""
     added = ("n_words", "n_hit", "items", "spans", "contaminated")
     own = [c for c in docs.columns if c not in added]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own)
-    schema = kinds + ", n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    schema = fields(docs, own, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
     slices = _slices(benchmark, limit)
-    out = map_batches(docs.select(*own), lambda b, s=slices[0]: _scanned(b, s, width, own), schema)
+    out = map_batches(docs.select(*own), lambda b, s=slices[0]: _scanned(b, s, width), schema)
     for more in slices[1:]:
         out = map_batches(out, lambda b, s=more: _merged(b, s, width), schema)
     verdict = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))

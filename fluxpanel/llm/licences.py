@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licence_texts import PHRASES, TEMPLATES
-from .runtime import blobs, map_batches
+from .runtime import blobs, fields, map_batches
 from .textkit import ALNUM_LOWER
 
 #: Words that a run must have, the share of a template that its chain must
@@ -190,8 +190,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     score 0.  Columns of these names are replaced."""
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "spans", "labels", "score")
     own = [c for c in docs.columns if c not in added]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own)
-    schema = f"{kinds}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,first:long,last:long,cover:double>>"
+    schema = fields(docs, own, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,first:long,last:long,cover:double>>")
     out = map_batches(docs.select(*own), lambda b: _scanned(b, templates, phrases), schema)
     both = F.array_sort(F.array_union("base_labels", "spans.label"))
     base = F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)

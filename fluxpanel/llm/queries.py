@@ -11,11 +11,17 @@ from .decontaminate import contamination_digest
 from .licences import licence_digest
 from .neardup import near_duplicates
 from .passages import passage_digest
+from .quality_kernel import quality_digest
+from .quality_rules import rules_digest
 from .runtime import table
 from .shards import shard_digest
 from .tokens import token_digest
 
 
+def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Vocabulary of the token counts, among the files of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -42,16 +48,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_quality": op1_ngram_quality,
     "op2_bpe_tokens": op2_bpe_tokens,
     "op4_setsketch_neardup": op4_setsketch_neardup,
     "op5_jump_shards": op5_jump_shards,
     "op6_passage_dedup": op6_passage_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op9_kernel_quality": op9_kernel_quality,
     "op10_licence_spans": op10_licence_spans,
 }
 

@@ -7,13 +7,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch.  A row may hold a whole document, so the default of
 #: 10,000 rows could be gigabytes.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 #: Rows up to which a small side is sent to every executor (see `small_side`).
 BROADCAST_ROWS = 1_000_000
@@ -47,10 +50,30 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
-def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """`df.mapInArrow`, with batches of at most BATCH_ROWS rows."""
+def map_batches(df: DataFrame, f, schema: str | StructType) -> DataFrame:
+    """`df.mapInArrow`, with batches of at most BATCH_ROWS rows and, where there
+    is a text, BATCH_BYTES of text (or one row)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(lambda batches: f(_slices(batches)), schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = batch.schema.get_field_index("text")
+        if place < 0 or batch.num_rows < 2:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def fields(df: DataFrame, names: list[str], more: str) -> str:
+    """A schema: columns of `df` by name, then `more`."""
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names]
+    return ", ".join([*kept, more])
 
 
 def blobs(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

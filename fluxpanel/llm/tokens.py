@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blobs, map_batches
+from .runtime import blobs, fields, map_batches
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 2048
@@ -161,8 +161,7 @@ def with_token_counts(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have none.  A column of that name is replaced."""
     own = [c for c in docs.columns if c != "n_tokens"]
     shipped = docs.sparkSession.sparkContext.broadcast(Merges.load(path))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own)
-    return map_batches(docs.select(*own), lambda b: _counted(b, shipped), f"{kinds}, n_tokens long")
+    return map_batches(docs.select(*own), lambda b: _counted(b, shipped), fields(docs, own, "n_tokens long"))
 
 
 def token_digest(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
