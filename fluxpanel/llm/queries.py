@@ -16,6 +16,7 @@ from .quality_rules import rules_digest
 from .runtime import table
 from .shards import shard_digest
 from .tokens import token_digest
+from .toxicity import toxicity_digest
 
 
 def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jump_shards": op5_jump_shards,
     "op6_passage_dedup": op6_passage_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_levenshtein_toxicity": op8_levenshtein_toxicity,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_licence_spans": op10_licence_spans,
 }
