@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_digest
 from .licences import licence_digest
+from .mixing import mixing_digest
 from .neardup import near_duplicates
 from .passages import passage_digest
 from .quality_kernel import quality_digest
@@ -33,6 +34,10 @@ def op2_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_quality": op1_ngram_quality,
     "op2_bpe_tokens": op2_bpe_tokens,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_setsketch_neardup": op4_setsketch_neardup,
     "op5_jump_shards": op5_jump_shards,
     "op6_passage_dedup": op6_passage_dedup,
