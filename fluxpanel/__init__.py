@@ -1 +1,2 @@
-"""Spatial panel analytics on Spark."""
+"""Spatial panel analytics on Spark: gridded fields to panels, directed graphs,
+spatial lags, instrumental-variable estimates and multipliers."""

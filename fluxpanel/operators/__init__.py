@@ -1 +1 @@
-"""..."""
+"""DataFrame operators: panel, spatial, graph, trajectory, channels, estimation."""

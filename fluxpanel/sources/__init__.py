@@ -1 +1 @@
-"""..."""
+"""Readers, lattices, writers and the synthetic panel."""

@@ -1 +1 @@
-"""..."""
+"""Incremental upkeep of monthly tables with Structured Streaming."""
