@@ -128,13 +128,13 @@ def land_mask(raster: DataFrame, value: str, lat: str = "latitude", lon: str = "
     return raster.groupBy(lat, lon).agg(F.coalesce(F.bool_or(finite(F.col(value))), F.lit(False)).alias("land"))
 
 
-def bracket(events: DataFrame, axis: DataFrame, ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
-    """Events with the stamps (t0, t1) of the axis around them and the weight w1
+def bracket(events: DataFrame, axis: DataFrame, ts: str = "ts", keys: list[str] | None = None, stamp: str = "ts") -> DataFrame:
+    """Events with the stamps (t0, t1) of the axis (column `stamp`) around them and the weight w1
     of the later one; before the first and after the last stamp both are that
     stamp and w1 is 0.  The axis is a short table, sent to the events, which
     look up their bracket by binary search in a sorted array."""
     keys = keys or [c for c in events.columns if c != ts]
-    stamps = axis.agg(F.array_sort(F.collect_set(ts)).alias("__axis"))
+    stamps = axis.agg(F.array_sort(F.collect_set(stamp)).alias("__axis"))
     n = F.size("__axis")
     after = F.aggregate("__axis", F.lit(0), lambda k, x: k + F.when(x <= F.col(ts), 1).otherwise(0))
     lo = F.element_at("__axis", F.greatest(after, F.lit(1)))
