@@ -3,51 +3,22 @@ tables in the shared checkpoint folder, temporary column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..tables import materialise, shared_folder, small_side
+
 #: Rows of an Arrow batch.  A row may hold a whole document, so the default of
 #: 10,000 rows could be gigabytes.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
-
-#: Rows up to which a small side is sent to every executor (see `small_side`).
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where
-    that is unset (tests on one machine), a new temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    named = named or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="fluxpanel-checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes `df` once to the shared folder and returns it as read from there.
 
-    That cuts the lineage: lost executors cost a re-read, not a recomputation,
-    and what a second pass reads is what the first pass wrote."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fluxpanel/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` for broadcasting if its counted `rows` are within `limit`;
-    beyond it the join stays a shuffled one, which has no size limit."""
-    return F.broadcast(df) if rows <= limit else df
+__all__ = ["blobs", "fields", "map_batches", "materialise", "shared_folder", "small_side", "table"]
 
 
 def map_batches(df: DataFrame, f, schema: str | StructType) -> DataFrame:
@@ -82,10 +53,5 @@ def blobs(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def group_blobs(table: pa.Table, name: str) -> Iterator[bytes]:
-    for chunk in table.column(name).chunks:
-        yield from chunk.to_pylist()
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
