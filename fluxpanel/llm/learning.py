@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,27 +54,64 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 40) -> np
     return w
 
 
-def sparse_softmax(index: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, classes: int, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class SparseRows:
+    """Rows of few features: row r has value[first[r]:first[r+1]] at index[...]."""
+
+    index: np.ndarray
+    value: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> SparseRows:
+        first = np.cumsum([0] + [len(i) for i, _ in rows])
+        index, value = np.empty(first[-1], np.uint16), np.empty(first[-1], np.float32)
+        for (i, v), at in zip(rows, first[:-1], strict=True):
+            index[at : at + len(i)], value[at : at + len(i)] = i, v
+        return cls(index, value, first)
+
+    def blocks(self, size: int = 256):
+        """(rows, first, index, value) of a few rows at a time."""
+        for lo in range(0, len(self.first) - 1, size):
+            own = slice(lo, min(lo + size, len(self.first) - 1))
+            a, b = self.first[own.start], self.first[own.stop]
+            yield own, self.first[own.start : own.stop + 1] - a, self.index[a:b], self.value[a:b]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.empty((len(self.first) - 1, w.shape[1]))
+        for own, first, index, value in self.blocks():
+            for c in range(w.shape[1]):
+                total = np.concatenate(([0.0], np.cumsum(value * w[index, c], dtype=np.float64)))
+                out[own, c] = total[first[1:]] - total[first[:-1]]
+        return out
+
+    def gather(self, p: np.ndarray, size: int) -> np.ndarray:
+        """The product of the transposed rows with p."""
+        out = np.zeros((size, p.shape[1]))
+        for own, first, index, value in self.blocks():
+            for c in range(p.shape[1]):
+                out[:, c] += np.bincount(index, value * np.repeat(p[own, c], np.diff(first)), minlength=size)
+        return out
+
+
+def sparse_softmax(x: SparseRows, y: np.ndarray, size: int, classes: int, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights (size, classes) and intercepts of a multinomial logistic
-    regression on sparse rows: row r has value[first[r]:first[r+1]] at index[...].
-    Adam on the full gradient; deterministic."""
-    rows = len(first) - 1
-    owner = np.repeat(np.arange(rows), np.diff(first))
+    regression.  Adam on the full gradient; deterministic, and memory beyond
+    the rows themselves is that of a block."""
+    rows = len(y)
     target = np.eye(classes)[y]
     share = np.maximum(target.mean(0), 1e-3) if rows else np.full(classes, 1 / classes)
-    w, b = np.zeros((classes, size)), np.log(share / share.sum())
+    w, b = np.zeros((size, classes)), np.log(share / share.sum())
     state = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, b)]
     for t in range(1, rounds + 1 if rows else 1):
-        z = np.stack([np.bincount(owner, value * w[c][index], minlength=rows) for c in range(classes)], 1) + b
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
+        z = x.dot(w) + b
+        p = np.exp(z - z.max(1, keepdims=True))
         p = (p / p.sum(1, keepdims=True) - target) / rows
-        gw = np.stack([np.bincount(index, value * p[owner, c], minlength=size) for c in range(classes)]) + ridge * w
-        for v, g, s, rate in ((w, gw, state[0], 0.5), (b, p.sum(0), state[1], 0.05)):
+        for v, g, s, rate in ((w, x.gather(p, size) + ridge * w, state[0], 0.5), (b, p.sum(0), state[1], 0.05)):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * g * g
             v -= rate * (1 - t / (rounds + 1)) * (s[0] / (1 - 0.9**t)) / (np.sqrt(s[1] / (1 - 0.99**t)) + 1e-8)
-    return w.T, b
+    return w, b
 
 
 def isotonic(scores: np.ndarray, positives: np.ndarray, totals: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .learning import logistic, sigmoid, sparse_softmax
+from .learning import SparseRows, logistic, sigmoid, sparse_softmax
 from .runtime import blobs, map_batches
 from .textkit import words_of
 
@@ -116,22 +116,14 @@ def fit(rows: DataFrame, classes: int, ridge: float = 1e-6, rounds: int = 80, ca
     With `calibrate`, every fifth row is kept from the fit of the weights and
     serves the logistic calibration of a binary model."""
     found = map_batches(rows, _featured, "doc_id long, label int, index binary, value binary").orderBy("doc_id").collect()
-    held = [calibrate and k % 5 == 0 for k in range(len(found))]
-
-    def take(wanted: bool):
-        own = [r for r, h in zip(found, held, strict=True) if h == wanted]
-        index = [np.frombuffer(r["index"], np.uint32) for r in own]
-        first = np.cumsum([0] + [len(i) for i in index])
-        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return flat(index, np.uint32).astype(np.int64), flat([np.frombuffer(r["value"], np.float32) for r in own], np.float32), first, np.array([r["label"] for r in own], np.int64)
-
-    index, value, first, y = take(False)
-    weights, intercepts = sparse_softmax(index, value, first, y, 2 * BUCKETS, classes, ridge, rounds)
+    rows_of = [(np.frombuffer(r["index"], np.uint32), np.frombuffer(r["value"], np.float32)) for r in found]
+    y = np.array([r["label"] for r in found], np.int64)
+    held = np.arange(len(y)) % 5 == 0 if calibrate else np.zeros(len(y), bool)
+    train, test = (SparseRows.of([r for r, h in zip(rows_of, held, strict=True) if h == kind]) for kind in (False, True))
+    del found, rows_of
+    weights, intercepts = sparse_softmax(train, y[~held], 2 * BUCKETS, classes, ridge, rounds)
     model = LinearModel(weights.astype(np.float32), intercepts)
-    if calibrate:
-        index, value, first, y = take(True)
-        owner = np.repeat(np.arange(len(y)), np.diff(first))
-        margin = np.bincount(owner, value * (weights[index, 1] - weights[index, 0]), minlength=len(y)) + intercepts[1] - intercepts[0]
-        if len(y):
-            model.scale, model.shift = logistic(margin[:, None], y, 1e-3).tolist()
+    if held.any():
+        z = test.dot(weights) + intercepts
+        model.scale, model.shift = logistic(z[:, 1:] - z[:, :1], y[held], 1e-3).tolist()
     return model

@@ -18,11 +18,12 @@ from .ngrams import LinearModel, fit
 from .runtime import blobs, fields, map_batches
 
 #: Labelled rows that the model is fitted on, at most.
-TRAINING_ROWS = 3000
+TRAINING_ROWS = 2000
 
 #: Base rules: words at least, percentage of repeated words at most; then the
-#: probability of quality at least.
-MIN_WORDS, MAX_REPEATED, KEEP = 10, 20, 0.5
+#: probability of quality at least (low, since a wrongly dropped text costs more
+#: than a kept one).
+MIN_WORDS, MAX_REPEATED, KEEP = 10, 20, 0.2
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> LinearModel:
