@@ -74,7 +74,7 @@ def random_sample(seed, n=900, units=30, depth=2, extra=True):
     x = z[:, [0, *range(2, 2 + depth)]] * 0.8 + 0.5 * e[:, None] + rng.normal(size=(n, 1 + depth))
     y = x @ np.linspace(0.5, 1, 1 + depth) + e + 3
     df = pd.DataFrame({"pixel_id": np.repeat(np.arange(units), n // units), "t": t, "dy": y, "dyl": x[:, 0], "l2": z[:, 0], "l3": z[:, 1]})
-    df["dx"], df["dz"] = list(x[:, 1:]), list(z[:, 2:])
+    df["dx"], df["dz"] = x[:, 1:].tolist(), z[:, 2:].tolist()
     return df, y, x, z
 
 
