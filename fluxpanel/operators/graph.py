@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialise, small_side
+from ..tables import discard, materialise, small_side
 
 
 def binarize(entries: DataFrame, value: str = "v", keys: list[str] | None = None) -> DataFrame:
@@ -117,7 +117,8 @@ def multiplier_margins(a: DataFrame, cells: DataFrame, delta: int = 1, terms: in
         weight *= (m + delta) / m
         moved = both.join(small_side(total.select("of", "side", "term"), 2 * n), ["of", "side"]).groupBy(F.col("to").alias("of"), "side").agg(F.sum(F.col("a") * F.col("term")).alias("next"))
         term = F.coalesce("next", F.lit(0.0))
-        total = materialise(total.join(moved, ["of", "side"], "left").select("of", "side", (F.col("total") + weight * term).alias("total"), term.alias("term")))
+        was, total = total, materialise(total.join(moved, ["of", "side"], "left").select("of", "side", (F.col("total") + weight * term).alias("total"), term.alias("term")))
+        discard(was)
         if (total.agg(F.max(F.abs("term"))).first()[0] or 0.0) * weight < tolerance:
             settled = True
             break
