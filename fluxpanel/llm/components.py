@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import discard, materialise
 
 
 def components(edges: DataFrame, layer: list[str] = []) -> DataFrame:  # noqa: B006
@@ -24,7 +24,8 @@ def components(edges: DataFrame, layer: list[str] = []) -> DataFrame:  # noqa: B
         large = materialise(large.distinct())
         root = large.groupBy(*layer, "u").agg(F.min("v").alias("m"))
         small = large.join(root, [*layer, "u"]).select(*layer, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = materialise(small.unionByName(root.select(*layer, "u", F.col("m").alias("v"))).distinct())
+        before, e = e, materialise(small.unionByName(root.select(*layer, "u", F.col("m").alias("v"))).distinct())
+        discard(before, large)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(*link), F.lit(1 << 40)))).first())
         if now == was or not now[0]:
             break

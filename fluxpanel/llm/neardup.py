@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import blobs, map_batches, materialise, small_side
+from .runtime import blobs, discard, map_batches, materialise, small_side
 from .textkit import words_of
 
 #: Words of a shingle and the percentage of shingles shared, by this query's rule.
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     own = both.filter("kind = 1").select("node", "component")
     placed = materialise(groups.join(own, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component")))
     more = components(_across_components(sets.join(placed, "node"), percent))
+    discard(star, wanted, sets, links)
     more = more.select(F.col("node").alias("component"), F.col("component").alias("final"))
     final = placed.join(more, "component", "left").select("node", F.coalesce("final", "component").alias("component_id"))
 

@@ -11,14 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..tables import materialise, shared_folder, small_side
+from ..tables import discard, materialise, shared_folder, small_side
 
 #: Rows of an Arrow batch.  A row may hold a whole document, so the default of
 #: 10,000 rows could be gigabytes.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 
 
-__all__ = ["blobs", "fields", "map_batches", "materialise", "shared_folder", "small_side", "table"]
+__all__ = ["blobs", "discard", "fields", "map_batches", "materialise", "shared_folder", "small_side", "table"]
 
 
 def map_batches(df: DataFrame, f, schema: str | StructType) -> DataFrame:
