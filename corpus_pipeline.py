@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fluxpanel.llm import mixing, toxicity
 from fluxpanel.llm.decontaminate import contamination
 from fluxpanel.llm.neardup import near_duplicates
-from fluxpanel.llm.runtime import materialise, small_side, table
+from fluxpanel.llm.runtime import discard, materialise, small_side, table
 from fluxpanel.llm.shards import jump_shards
 
 
@@ -71,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        was, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(was)
     return STAGES[-1][1](spark, docs, sf_dir)
