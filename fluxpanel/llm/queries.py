@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .decontaminate import contamination_digest
 from .licences import licence_digest
 from .mixing import mixing_digest
@@ -79,5 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licence_spans": op10_licence_spans,
 }
 
-#: DuckDB forms, where SQL can express the operator's rows.
-SQL: dict[str, str] = {}
+#: DuckDB forms, where SQL can express the operator's rows.  The others rest on
+#: a checksum, a vocabulary, fitted models or an automaton, and are tested
+#: against brute force, a library or held-out labels.
+SQL: dict[str, str] = {
+    "op4_setsketch_neardup": sql.NEAR_DUPLICATES,
+    "op6_passage_dedup": sql.PASSAGES,
+    "op7_decontaminate": sql.CONTAMINATION,
+}
