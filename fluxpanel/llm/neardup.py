@@ -48,7 +48,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 UNREACHED = 15.0
 
 #: Bytes of shingle sets on either side of a cell.
-CELL_BYTES = 8 << 20
+CELL_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _SLOPES = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
