@@ -97,14 +97,54 @@ def weighted_adjacency(averaged: DataFrame, beta: dict[int, float]) -> DataFrame
     return averaged.join(F.broadcast(factors), "k").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("beta")).alias("a"))
 
 
+#: Entries up to which a multiplier is solved within one task.
+LOCAL_ENTRIES = 2_000_000
+
+
+def _margins_in_one_task(entries: DataFrame, cells: DataFrame, delta: int, terms: int, tolerance: float) -> DataFrame:
+    """The series for a matrix that fits one task; no rows if it does not settle.
+    Cells come as loops without weight, so that all are there."""
+    import numpy as np
+    import pyarrow as pa
+
+    def solve(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        i, j, a = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+        ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        i, j, n = place[: len(i)], place[len(i) :], len(ids)
+        out = []
+        for to, of in ((i, j), (j, i)):
+            total, term, weight, settled = np.ones(n), np.ones(n), 1.0, False
+            for m in range(1, terms + 1):
+                weight *= (m + delta) / m
+                term = np.bincount(to, a * term[of], minlength=n)
+                total += weight * term
+                if settled := bool(np.abs(term).max() * weight < tolerance):
+                    break
+            if not settled:
+                return
+            out.append(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out[0]), pa.array(out[1])], ["pixel_id", "row_margin", "col_margin"])
+
+    loops = cells.select(F.col("pixel_id").cast("long").alias("i"), F.col("pixel_id").cast("long").alias("j"), F.lit(0.0).alias("a"))
+    rows = entries.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a").unionByName(loops)
+    return rows.coalesce(1).mapInArrow(solve, "pixel_id long, row_margin double, col_margin double")
+
+
 def multiplier_margins(a: DataFrame, cells: DataFrame, delta: int = 1, terms: int = 500, tolerance: float = 1e-13) -> DataFrame | None:
     """(pixel_id, row_margin, col_margin): row and column sums of
     (I - A)^-(delta + 1), or None if the series does not settle in `terms`.
 
     One binomial series serves any power: the m-th term is C(m + delta, delta)
-    times A^m 1.  Both directions advance in one join and aggregate a step."""
+    times A^m 1.  A matrix of at most LOCAL_ENTRIES is solved within one task;
+    beyond that, both directions advance in one join and aggregate a step."""
     n = cells.count()
     a = materialise(a.select("i", "j", "a"))
+    if a.count() <= LOCAL_ENTRIES and n <= LOCAL_ENTRIES:
+        solved = materialise(_margins_in_one_task(a, cells, delta, terms, tolerance))
+        return None if n and solved.isEmpty() else solved
     both = a.select(F.col("i").alias("to"), F.col("j").alias("of"), "a", F.lit(0).alias("side")).unionByName(
         a.select(F.col("j").alias("to"), F.col("i").alias("of"), "a", F.lit(1).alias("side"))
     )

@@ -128,7 +128,9 @@ def test_tails():
     assert chi2_tail(0, 3) == 1 and math.isnan(chi2_tail(1, 0))
 
 
-def test_multiplier_matches_inverse(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_multiplier_matches_inverse(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "LOCAL_ENTRIES", limit)
     rng = np.random.default_rng(1)
     a = np.where(rng.random((12, 12)) < 0.3, rng.random((12, 12)) * 0.15, 0)
     edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, a double")
