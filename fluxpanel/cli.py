@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .operators.channels import SPECS
 from .operators.panel import fill_gaps, period_index
 from .operators.spatial import queen_adjacency
-from .plans import build, estimate, report
+from .plans import build, estimate, figures, report
 from .session import session
 from .sources import readers, synthetic
+from .sources.netcdf import read_netcdf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--K", type=int, default=20)
     p.add_argument("--seed", type=int, default=synthetic.SEED)
     p.add_argument("--outputs-dir", default="outputs")
+    p.add_argument("--no-figures", action="store_true")
     p.add_argument("--grid")
     p.add_argument("--lai")
     p.add_argument("--wind")
@@ -44,12 +46,15 @@ def _chosen(name: str):
     return SPECS[:2] if name == "both" else tuple(s for s in SPECS if s.name == name)
 
 
-def write_reports(spark, results, folder: str, mode: str) -> str:
+def write_reports(spark, results, folder: str, mode: str, with_figures: bool = True) -> str:
     out = readers.output_folder(folder, mode)
     table = report.summary(spark, results)
     text = report.as_text(table) + "\n" + report.fit_lines(results)
     (out / "summary.txt").write_text(text)
     (out / "table.tex").write_text(report.as_latex(table, results))
+    if with_figures:
+        (out / "decay.svg").write_text(figures.decay_figure(results))
+        (out / "multiplier.svg").write_text(figures.multiplier_figure(results))
     wide = report.wide_coefficients(report.long_coefficients(spark, results))
     wide.toPandas().to_csv(out / "coefficients.csv", index=False)
     return text
@@ -61,7 +66,7 @@ def run_demo(spark, args) -> str:
     t = demo.tables(spark)
     near = queen_adjacency(t["grid"], demo.resolution)
     results = estimate.run(t["grid"], t["panel"], t["circulation"], near, depth, _chosen(args.spec), t["baseline"])
-    return write_reports(spark, results, args.outputs_dir, "demo") + f"planted: {demo.truth}\n"
+    return write_reports(spark, results, args.outputs_dir, "demo", not args.no_figures) + f"planted: {demo.truth}\n"
 
 
 def run_full(spark, args) -> str:
@@ -70,11 +75,16 @@ def run_full(spark, args) -> str:
     stamps = panel.select("ts", "t").distinct()
     edges = held["circulation"].join(F.broadcast(stamps), "ts").select("t", "i", "j")
     results = estimate.run(held["grid"], panel, edges, held["adjacency"], args.K, _chosen(args.spec))
-    return write_reports(spark, results, args.outputs_dir, "full")
+    return write_reports(spark, results, args.outputs_dir, "full", not args.no_figures)
+
+
+def _field(spark, path: str, variables: list[str]):
+    """A gridded field from parquet or, by its ending, a NetCDF classic file."""
+    return readers.as_raster(read_netcdf(spark, path), variables) if path.endswith(".nc") else readers.read_raster(spark, path, variables)
 
 
 def run_build(spark, args) -> str:
-    lai, wind = readers.read_raster(spark, args.lai, ["lai"]), readers.read_raster(spark, args.wind, ["u", "v", "omega"])
+    lai, wind = _field(spark, args.lai, ["lai"]), _field(spark, args.wind, ["u", "v", "omega"])
     if args.domain_from_polygon:
         from .operators.spatial import in_polygons
 

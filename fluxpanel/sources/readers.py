@@ -1,8 +1,7 @@
 """Readers and writers.
 
 Gridded fields are long tables (time, latitude, longitude, level?, variables).
-NetCDF files need a reader that this environment lacks; convert them to parquet
-once, with these columns.  Checkpoints are parquet folders, never pickles."""
+NetCDF classic files have a data source of their own (`netcdf.py`).  Checkpoints are parquet folders, never pickles."""
 
 from __future__ import annotations
 
@@ -58,8 +57,16 @@ def read_raster(spark: SparkSession, paths: list[str] | str, variables: list[str
     raster = parts[0]
     for more in parts[1:]:
         raster = raster.unionByName(more, allowMissingColumns=True)
+    return as_raster(raster, variables, sentinel)
+
+
+def as_raster(raster: DataFrame, variables: list[str], sentinel: float | None = None) -> DataFrame:
+    """A gridded field under its role names, floats, missing values null.  A
+    numeric time counts hours since 1970."""
     roles = ["time", "latitude", "longitude", *variables]
     out = column_alias(raster, {r: ALIASES[r] for r in roles})
+    if dict(out.dtypes)["time"] == "double":
+        out = out.withColumn("time", F.timestamp_seconds(F.col("time") * 3600).cast("timestamp_ntz"))
     for v in variables:
         out = sentinel_null(out, v, sentinel) if sentinel is not None else out
     return clean(out.withColumns({v: F.col(v).cast("float") for v in variables}), *variables)
