@@ -19,13 +19,15 @@ def components(edges: DataFrame, layer: list[str] = []) -> DataFrame:  # noqa: B
     e, was = materialise(e.distinct()), None
     while True:
         both = e.select(*link).unionByName(e.select(*layer, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*layer, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Least neighbours are written before the join, so that a centre with any
+        # share of the edges is split between tasks: the join stands alone.
+        least = materialise(both.groupBy(*layer, "u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, [*layer, "u"]).select(*layer, F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.distinct())
-        root = large.groupBy(*layer, "u").agg(F.min("v").alias("m"))
+        root = materialise(large.groupBy(*layer, "u").agg(F.min("v").alias("m")))
         small = large.join(root, [*layer, "u"]).select(*layer, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         before, e = e, materialise(small.unionByName(root.select(*layer, "u", F.col("m").alias("v"))).distinct())
-        discard(before, large)
+        discard(before, large, least, root)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(*link), F.lit(1 << 40)))).first())
         if now == was or not now[0]:
             break
