@@ -41,15 +41,25 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
-#: Bytes of words in a block (a longer document is a block of its own), anchors
-#: in a hash partition, and reply bytes that are broadcast rather than joined.
-BLOCK_BYTES, PART_ANCHORS, REPLY_BYTES = 4 << 20, 1 << 20, 32 << 20
+#: Bytes of words in a block (a longer document is a block of its own), and
+#: reply bytes that are broadcast rather than joined.
+BLOCK_BYTES, REPLY_BYTES = 4 << 20, 32 << 20
+
+#: Anchors in a hash partition: the lesser number up to PARTS partitions, then
+#: as many as keep to PARTS, then the greater number.  So a block's share of a
+#: partition stays worth a row, and a partition fits a task, at every size.
+PART_ANCHORS, PARTS = (1 << 20, 1 << 23), 1024
 
 _ANCHOR_SEED, _WINDOW_SEED, _SECOND_SEED = 11, 12, 13
 _NULL_ID = np.iinfo(np.int64).min
 _BLOCK = "block long, ids binary, known binary, counts binary, words binary, n_words long"
 
 
+def partitions(anchors: int) -> int:
+    each = min(max(anchors // PARTS, PART_ANCHORS[0]), PART_ANCHORS[1])
+    return max(16, -(-anchors // each))
+
+
 def _blocks(batches) -> Iterator[pa.RecordBatch]:
     """Documents in blocks, each in the order of doc_id (null first)."""
     task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -276,7 +286,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     before all others.  Other columns are ignored."""
     blocks = materialise(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _blocks, _BLOCK))
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(16, -(-total * len(COVER) // (PERIOD * PART_ANCHORS)))
+    parts = partitions(total * len(COVER) // PERIOD)
 
     def each_block(df: DataFrame, f, schema: str) -> DataFrame:
         return map_batches(df, lambda b: f(b, parts), schema)

@@ -47,3 +47,8 @@ def test_odd_rows(spark, nothing):
     df = spark.createDataFrame([(None, text, 1), (3, text, 2), (3, text, 3)], "doc_id long, text string, n_words long").coalesce(1)
     got = sorted(((r["doc_id"], r["n_removed"]) for r in passages.dedup_passages(df).collect()), key=str)
     assert got == sorted([(None, 0), (3, 30), (3, 30)], key=str)
+
+
+def test_partitions():
+    assert passages.partitions(0) == 16 and passages.partitions(43 << 20) == 43
+    assert passages.partitions(1 << 32) == 1024 and passages.partitions(1 << 40) == 1 << 17
