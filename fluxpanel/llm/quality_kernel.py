@@ -82,7 +82,7 @@ def _summed(rows: DataFrame, one) -> np.ndarray | None:
                 got = one(x, y.astype(np.float64))
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sum"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sum"])
 
     def add(batches):
         total = None
@@ -91,10 +91,14 @@ def _summed(rows: DataFrame, one) -> np.ndarray | None:
                 got = np.frombuffer(blob, np.float64)
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sum"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sum"])
 
     sums = map_batches(rows.select("statistics", "label"), partial, "part int, sum binary")
-    sums = map_batches(sums.repartition(SUMS, "part"), add, "part int, sum binary").collect()
+    # With many files there is a level more, so no task adds up too many.
+    many = int(len(rows.inputFiles()) ** 0.5)
+    for groups in [many] * (many > 2 * SUMS) + [SUMS]:
+        sums = map_batches(sums.repartition(groups, "part"), add, "part int, sum binary")
+    sums = sums.collect()
     return sum(np.frombuffer(r["sum"], np.float64) for r in sums) if sums else None
 
 
