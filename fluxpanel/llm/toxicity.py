@@ -37,7 +37,7 @@ REPORTING = ("said", "says", "called", "wrote", "quoted", "quote", "term", "word
 #: Letters of a learned beginning, at least and at most; letters of a term that
 #: an edit may touch; the odds ratio that a learned term needs; the share of
 #: toxic documents it must be in; how many terms make a document explained.
-SHORTEST, LONGEST, FUZZY, ODDS, SHARE, EXPLAINED = 3, 12, 5, 20.0, 0.004, 3
+SHORTEST, LONGEST, FUZZY, ODDS, SHARE, EXPLAINED = 4, 12, 5, 20.0, 0.004, 3
 
 #: Words on either side of a hit in which hits add up; characters in which
 #: quotation is looked for.
