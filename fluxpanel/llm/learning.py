@@ -22,9 +22,9 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, allowed: Column, b
     repeatable sample.  The bound is a parameter of the model, not of the data
     that it scores.  Several labels of a document count as the largest."""
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & allowed)
-    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    return materialise(docs.select("doc_id", "text").join(small_side(known, bound), "doc_id").select("doc_id", "text", "label"))
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(known, bound), "doc_id").select("doc_id", "text", "label"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
