@@ -146,6 +146,26 @@ def test_mixing_meets_targets(world):
     assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in got)
 
 
+def test_mixing_settles_near_its_targets(world):
+    """Far below the smallest target that is not zero; and no rate can still improve."""
+    docs, labels, *_ = world
+    got = mixing.mixing_digest(docs, labels).collect()
+    n = np.array([r["n_tokens"] for r in got], float)
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in got])
+    rate = np.array([r["rate"] for r in got])
+    share, wanted = (n * rate) @ p / n.sum(), np.array([0.94, 0.06, 0.0])
+    assert np.abs(share - wanted).max() < 0.004
+    gradient = p @ ((share - wanted) / (n @ p / n.sum())) + mixing.PULL * (rate - 1)
+    assert np.abs(gradient[rate > 0]).max() < 1e-8 and (gradient[rate == 0] > -1e-8).all()
+
+
+def test_rates_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON", 0)
+    df = spark.createDataFrame([(5, [0.5, 0.3, 0.2]), (7, [0.1, 0.2, 0.7])], "n_tokens long, posteriors array<double>")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(df)
+
+
 def test_rates_match_a_direct_solution():
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 500)
