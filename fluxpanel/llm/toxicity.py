@@ -34,14 +34,18 @@ SEEDS = (
 #: Words before a hit that report another's speech.
 REPORTING = ("said", "says", "called", "wrote", "quoted", "quote", "term", "word", "slur", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
-#: Letters of a learned beginning, at least and at most; letters of a term that
-#: an edit may touch; the odds ratio that a learned term needs; the share of
-#: toxic documents it must be in; how many terms make a document explained.
-SHORTEST, LONGEST, FUZZY, ODDS, SHARE, EXPLAINED = 4, 12, 5, 20.0, 0.004, 3
+#: Letters of a learned whole word, at least; of a learned beginning, at least and
+#: at most; letters of a term that an edit may touch; the odds ratio that a learned
+#: term needs; the share of toxic documents it must be in; how many terms make a
+#: document explained.
+WHOLE, SHORTEST, LONGEST, FUZZY, ODDS, SHARE, EXPLAINED = 3, 4, 12, 5, 20.0, 0.004, 3
 
-#: Words on either side of a hit in which hits add up; characters in which
-#: quotation is looked for.
-NEAR, QUOTE = 20, 160
+#: Words on either side of a hit in which hits add up; characters before a hit in
+#: which a word of reporting is looked for.
+NEAR, REPORTED = 20, 40
+
+#: Opening and closing quotation marks, besides the one that is both.
+QUOTES = ("“”", "«»", "„“")
 
 
 @dataclass
@@ -173,16 +177,27 @@ def read(texts: list[bytes | None]) -> Text:
     return Text(lower, codes, base, starts, edges[1::2] - starts, np.searchsorted(base, starts, side="right") - 1)
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether text[start:end] is quotation: between quotation marks on its
-    line, or shortly after a word of reporting."""
-    line = max(text.rfind("\n", 0, start) + 1, start - QUOTE)
-    before, after = text[line:start], text[end : end + QUOTE].split("\n", 1)[0]
-    if before.count('"') % 2 and '"' in after:
-        return True
-    if any(before.rfind(a) > before.rfind(b) and b in after for a, b in ("“”", "«»", "„“")):
-        return True
-    return any(w in REPORTING for w in before[-40:].split()[-4:])
+def quoted(t: Text, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether codes[start:end] is quotation: between quotation marks on its
+    whole line, or shortly after a word of reporting."""
+    at = {c: np.flatnonzero(t.codes == ord(c)) for c in set('\n"' + "".join(QUOTES))}
+
+    def last(c: str, before: np.ndarray) -> np.ndarray:
+        """The last place of c before, or -1."""
+        k = np.searchsorted(at[c], before)
+        return np.concatenate(([-1], at[c]))[k]
+
+    line = last("\n", starts) + 1
+    # Every text ends with a line feed.
+    stop = at["\n"][np.searchsorted(at["\n"], ends)] if len(ends) else ends
+    follows = lambda c: np.searchsorted(at[c], ends) < np.searchsorted(at[c], stop)
+    out = ((np.searchsorted(at['"'], starts) - np.searchsorted(at['"'], line)) % 2 == 1) & follows('"')
+    for a, b in QUOTES:
+        out |= (last(a, starts) >= line) & (last(a, starts) > last(b, starts)) & follows(b)
+    for k in np.flatnonzero(~out).tolist():
+        near = t.codes[max(line[k], starts[k] - REPORTED) : starts[k]].tobytes().decode("utf-32-le")
+        out[k] = any(w in REPORTING for w in near.split()[-4:])
+    return out
 
 
 #: Sums over a document's hits, the inputs of its score.
@@ -198,13 +213,13 @@ def hit_inputs(texts: list[bytes | None], automaton: Automaton) -> tuple[np.ndar
     words, edits, terms = automaton.match(letter_of[t.codes], t.starts, t.sizes)
     rows, hits = np.zeros((len(texts), len(INPUTS))), [[] for _ in texts]
     first = np.searchsorted(t.owner, np.arange(len(texts) + 1))
+    in_quotes = quoted(t, t.starts[words], t.starts[words] + t.sizes[words])
     for doc, a, b in _runs(t.owner[words]):
         own = words[a:b]
         abuse = []
-        for w, e, k in zip(own.tolist(), edits[a:b].tolist(), terms[a:b].tolist(), strict=True):
+        for w, e, k, said in zip(own.tolist(), edits[a:b].tolist(), terms[a:b].tolist(), in_quotes[a:b].tolist(), strict=True):
             start = int(t.starts[w] - t.base[doc])
             end = start + int(t.sizes[w])
-            said = quoted(t.texts[doc], start, end)
             hits[doc].append({"start": start, "end": end, "term": automaton.terms[k].text, "edits": e, "quoted": said})
             rows[doc, 2 if said else e] += 1
             if not said and not e:
@@ -227,11 +242,12 @@ def _runs(values: np.ndarray):
 
 
 def _beginnings(text: bytes | None) -> set[str]:
-    """Beginnings of the words of a text; of a whole word with "$" too."""
+    """Beginnings of the words of a text; of a whole word with "$" too, and of
+    a word shorter than any beginning only that."""
     t = read([text])
     out = set()
     for word in {t.texts[0][a : a + n] for a, n in zip(t.starts.tolist(), t.sizes.tolist(), strict=True)}:
-        if len(word) >= SHORTEST and word[0].isalpha():
+        if len(word) >= WHOLE and word[0].isalpha():
             out.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
             if len(word) <= LONGEST:
                 out.add(word + "$")
@@ -265,7 +281,7 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     pos = _counts(rows.filter("label = 1"), least)
     neg = _counts(rows.filter("label = 0"), 1, frozenset(pos))
     odds = lambda p: (pos.get(p, 0) + 0.5) / (n_pos + 1) / ((neg.get(p, 0) + 0.5) / (n_neg + 1))
-    marks = {p for p in pos if not p.endswith("$") and odds(p) >= ODDS}
+    marks = {p for p in pos if (not p.endswith("$") or len(p) <= SHORTEST) and odds(p) >= ODDS}
     # Of beginnings in the same documents only the longest is of use.
     longer = {p[:-1] for p in marks if len(p) > SHORTEST and pos[p] == pos.get(p[:-1])}
     marks -= longer
@@ -289,8 +305,8 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
             explained.update(where[p])
     terms = {s: Term(s, True, max(2.0, float(np.log(odds(s)))) if n_pos else 2.0) for s in SEEDS}
     for p in chosen:
-        whole = pos.get(p + "$", 0) >= 0.5 * pos[p]
-        terms[p] = Term(p, whole, float(np.log(odds(p))))
+        whole = p.endswith("$") or pos.get(p + "$", 0) >= 0.5 * pos[p]
+        terms[p] = Term(p.removesuffix("$"), whole, float(np.log(odds(p))))
     return sorted(terms.values(), key=lambda t: t.text)
 
 

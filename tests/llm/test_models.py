@@ -134,6 +134,26 @@ def test_context():
     assert texts[0][hits[0][1]["start"] : hits[0][1]["end"]] == "zorgblat"
 
 
+def test_quotation_is_of_the_whole_line():
+    automaton = toxicity.Automaton([toxicity.Term("idiot", True, 3.0)])
+    far = "far away " * 40
+    texts = [
+        f'"{far}" you idiot "x"', f'"{far}idiot {far}"', f"“{far}idiot {far}”", f"“{far}” idiot {far}”", f'"{far}\nidiot" so', f'{far}" so idiot',
+        f"„{far}idiot {far}“", f"he said idiot {far}", f"said {far}idiot", "said\nidiot",
+    ]
+    _, hits = toxicity.hit_inputs([t.encode() for t in texts], automaton)
+    assert [[h["quoted"] for h in own] for own in hits] == [[k in (1, 2, 6, 7)] for k in range(len(texts))]
+
+
+def test_words_of_three_letters_are_learned_whole(spark):
+    rng = random.Random(4)
+    rows = [(k, invented(rng, 30) + (" zog" if k % 2 else " zogalo"), k % 2) for k in range(120)]
+    terms = {t.text: t for t in toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label int"))}
+    assert terms["zog"].whole
+    _, hits = toxicity.hit_inputs([b"a zog here", b"a zogalo here"], toxicity.Automaton(list(terms.values())))
+    assert [[h["term"] for h in own] for own in hits] == [["zog"], []]
+
+
 def test_mixing_meets_targets(world):
     docs, labels, *_ = world
     got = mixing.mixing_digest(docs, labels).collect()
