@@ -135,7 +135,7 @@ def euler_step(spark: SparkSession, d: str) -> DataFrame:
     "SELECT ts, origin, h, round(lat, 6) lat, round(lon, 6) lon FROM (SELECT s.ts, g.pixel_id AS origin, r.h::INTEGER AS h, g.latitude AS lat, g.longitude + r.h * degrees(6 * 3600.0::DOUBLE / (6371000 * cos(radians(g.latitude)))) AS lon FROM lattice5 g, range(48) r(h), (SELECT ts FROM months WHERE t IN (1, 2)) s) WHERE lon <= 4"
 )
 def back_trajectory(spark: SparkSession, d: str) -> DataFrame:
-    stamps = fx.months(spark, d).filter("t < 4").select(F.col("ts").alias("time"))
+    stamps = fx.months(spark, d).select(F.col("ts").alias("time"))
     raster = stamps.crossJoin(fx.lattice5(spark, d).select("latitude", "longitude")).select("time", "latitude", "longitude", F.lit(-6.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("omega"))
     starts = fx.months(spark, d).filter("t in (1, 2)").select("ts")
     points = trajectory.back_trajectories(fx.lattice5(spark, d), starts, trajectory.Wind(raster), 48)

@@ -45,3 +45,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["term", "k", "estimate", "se"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_trajectories_have_the_wind_of_all_months(spark, monkeypatch):
+    from fluxpanel.operators import trajectory
+    from fluxpanel.plans import fixtures, spatial_queries
+
+    given, trace = [], trajectory.back_trajectories
+    monkeypatch.setattr(trajectory, "back_trajectories", lambda cells, starts, wind, hours: given.append(len(wind.times)) or trace(cells, starts, wind, hours))
+    spatial_queries.back_trajectory(spark, "/root/testdata/sf0.001")
+    assert given[0] == fixtures.months(spark, "/root/testdata/sf0.001").count() > 4
