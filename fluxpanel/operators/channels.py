@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import finite
 from . import panel
 
 
@@ -72,17 +74,42 @@ def identity_error(rows: DataFrame) -> DataFrame:
     return rows.agg(gap("xc", "xm", "dx").alias("error_x"), gap("zc", "zm", "dz").alias("error_z"))
 
 
+_SAMPLE = ("pixel_id", "ts", "t", "dy", "dyl", "l2", "l3", "dx", "dz", "xc", "xm", "zc", "zm")
+
+
+def finite_sample(rows: DataFrame) -> DataFrame:
+    """Differences and lags of y with the differenced channels, finite rows only.
+    l3 may be missing; it is for the diagnostic only."""
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, finite)
+    arrays = functools.reduce(lambda a, b: a & b, [whole(c) for c in ("dx", "dz", "xc", "xm", "zc", "zm")])
+    return panel.finite_rows(panel.panel_lags(differences(rows)), "dy", "dyl", "l2").filter(arrays).select(*_SAMPLE)
+
+
+def leaves_base_year(spec: Spec, presample: bool = False) -> bool:
+    return spec.season and spec.drop_base_year and not presample
+
+
 def sample(rows: DataFrame, spec: Spec, base_year: int | None, presample: bool = False) -> DataFrame:
-    """The estimation sample: differences and lags of y, finite rows, and, where
-    the baseline is of a year in the sample, only later years if the
-    specification says so.  l3 may be missing; it is for the diagnostic only."""
-    out = panel.panel_lags(differences(rows))
-    scalar = panel.finite_rows(out, "dy", "dyl", "l2")
-    for c in ("dx", "dz", "xc", "xm", "zc", "zm"):
-        scalar = scalar.filter(F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    if spec.season and spec.drop_base_year and not presample:
-        scalar = panel.after_base_year(scalar, base_year)
-    return scalar.select("pixel_id", "ts", "t", "dy", "dyl", "l2", "l3", "dx", "dz", "xc", "xm", "zc", "zm")
+    """The estimation sample: finite rows, and, where the baseline is of a year in
+    the sample, only later years if the specification says so."""
+    out = finite_sample(rows)
+    return panel.after_base_year(out, base_year) if leaves_base_year(spec, presample) else out
+
+
+def base_year_counts(finite: DataFrame, base_year: int) -> DataFrame:
+    """(n, n_base): finite rows, and those of the baseline's own year, on which the
+    excluded instrument is the endogenous regressor."""
+    return finite.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.year("ts") <= base_year).alias("n_base"))
+
+
+def base_year_note(spec: Spec, base_year: int, n: int, n_base: int, presample: bool = False) -> str:
+    """What becomes of the baseline's year, in words; empty where there is none."""
+    if not spec.season:
+        return ""
+    if presample:
+        return "baseline from before the sample: no rows overlap, none leave"
+    share = f"{n_base:,} of {n:,} rows ({n_base / max(n, 1):.2%})"
+    return f"baseline year {base_year} left out: {share}" if spec.drop_base_year else f"baseline year {base_year} retained: {share}"
 
 
 def panel_channels(w: DataFrame, values: DataFrame, baseline: DataFrame, depth: int) -> DataFrame:

@@ -1,14 +1,17 @@
 """Two-stage least squares on differences, as distributed aggregates.
 
-The rows [1 | Z | X | y] are factored block by block (Householder QR in numpy),
-the triangular factors again in groups, and the last few on the driver: the
-factor of the whole table, with the accuracy of QR and never a cross product.
-All estimates, the conditional F and the condition number come from it.  One
-aggregate by unit then gives the sums that clustered errors, the serial
-correlation test and two-step GMM are made of."""
+Several models on one table share two passes.  In the first, the rows of all
+their columns are factored block by block (Householder QR in numpy), the
+triangular factors again in groups, and the last few on the driver: the factor of
+the whole table, with the accuracy of QR and never a cross product.  The factor
+of any columns follows from it, and with it all estimates, the conditional F,
+the condition number and, from the constant, means and the number of rows.  The
+second pass is one aggregate by unit of all models' residuals, whose sums
+clustered errors, the serial correlation test and two-step GMM are made of."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import finite
 from ..functions.tails import chi2_tail, normal_tail
 
 #: Groups in which the factors of partitions meet before the driver.
@@ -40,27 +44,75 @@ def _reduced(blocks, width: int):
     return held
 
 
+def _square(r: np.ndarray) -> np.ndarray:
+    return np.vstack([r, np.zeros((max(0, r.shape[1] - len(r)), r.shape[1]))])
+
+
+def _sent(which: int, part: int, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([value.tobytes()], pa.binary())], ["which", "part", "value"])
+
+
+_SENT = "which int, part int, value binary"
+
+
+def triangular_factors(df: DataFrame, columns: list[Column], needs: list[int | None]) -> list[np.ndarray]:
+    """R of the QR factorisation of the columns: for each of `needs`, of the rows
+    in which the column of that index is there (None: of all rows).  Other
+    missing values count as 0.  One pass serves all."""
+    width = len(columns)
+
+    def matrix(batch) -> np.ndarray:
+        return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float, copy=False)
+
+    def local(batches) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, width)) for _ in needs]
+        for batch in batches:
+            if batch.num_rows:
+                rows = matrix(batch)
+                for k, need in enumerate(needs):
+                    own = rows if need is None else rows[np.isfinite(rows[:, need])]
+                    held[k] = np.linalg.qr(np.vstack([held[k], np.nan_to_num(own, nan=0.0)]), mode="r")
+        for k, r in enumerate(held):
+            if len(r):
+                yield _sent(k, TaskContext.get().partitionId() % GROUPS, r)
+
+    def joint(batches) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                met[k] = np.linalg.qr(np.vstack([met.get(k, np.zeros((0, width))), np.frombuffer(v, np.float64).reshape(-1, width)]), mode="r")
+        for k, r in met.items():
+            yield _sent(k, 0, r)
+
+    rows = df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
+    parts = rows.mapInArrow(local, _SENT).repartition(GROUPS, "part").mapInArrow(joint, _SENT).collect()
+    return [_square(_reduced((np.frombuffer(p["value"], np.float64).reshape(-1, width) for p in parts if p["which"] == k), width)) for k in range(len(needs))]
+
+
 def triangular_factor(df: DataFrame, columns: list[Column]) -> np.ndarray:
     """R of the QR factorisation of the given columns of all rows."""
-    width = len(columns)
+    return triangular_factors(df, columns, [None])[0]
 
-    def pack(r: np.ndarray, part: int):
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r.tobytes()], pa.binary())], ["part", "r"])
 
-    def local(batches):
-        r = _reduced((np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows), width)
-        if len(r):
-            yield from pack(r, TaskContext.get().partitionId() % GROUPS)
+def _products(df: DataFrame) -> np.ndarray:
+    """Sums of products of all pairs of [1 | columns] over the rows: within
+    partitions, over groups of them, on the driver."""
+    width = len(df.columns) + 1
 
-    def joint(batches):
-        r = _reduced((np.frombuffer(v, np.float64).reshape(-1, width) for b in batches for v in b.column(1).to_pylist()), width)
-        if len(r):
-            yield from pack(r, 0)
+    def local(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            rows = np.column_stack([np.ones(batch.num_rows), *[np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns]])
+            total += rows.T @ rows
+        yield _sent(0, TaskContext.get().partitionId() % GROUPS, total)
 
-    rows = df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
-    factors = rows.mapInArrow(local, "part int, r binary").repartition(GROUPS, "part").mapInArrow(joint, "part int, r binary").collect()
-    r = _reduced((np.frombuffer(f["r"], np.float64).reshape(-1, width) for f in factors), width)
-    return np.vstack([r, np.zeros((max(0, width - len(r)), width))])
+    def joint(batches) -> Iterator[pa.RecordBatch]:
+        found = [np.frombuffer(v, np.float64) for batch in batches for v in batch.column(2).to_pylist()]
+        if found:
+            yield _sent(0, 0, sum(found))
+
+    parts = df.mapInArrow(local, _SENT).repartition(GROUPS, "part").mapInArrow(joint, _SENT).collect()
+    return sum((np.frombuffer(p["value"], np.float64).reshape(width, width) for p in parts), np.zeros((width, width)))
 
 
 @dataclass
@@ -107,69 +159,84 @@ def _dot(columns: list[Column], factors) -> Column:
     return sum((c * float(b) for c, b in zip(columns, factors, strict=True)), F.lit(0.0))
 
 
-def _cluster_sums(df: DataFrame, z: list[Column], x: list[Column], resid: Column, orders: tuple[int, ...]) -> dict:
-    """Sums over units i of s_i s_i' (s_i = sum of z e), a_i s_i and a_i^2 (a_i =
-    sum of e times its exact lag), and over rows of e_lag e and e_lag x.  One
-    shuffle by unit serves the lags and the sums."""
-    unit = Window.partitionBy("pixel_id").orderBy("t")
-    rows = df.select("pixel_id", "t", resid.alias("e"), *[c.alias(f"z{k}") for k, c in enumerate(z)], *[c.alias(f"x{k}") for k, c in enumerate(x)])
-    rows = rows.withColumns({f"e{o}": F.coalesce(F.max("e").over(unit.rangeBetween(-o, -o)), F.lit(0.0)) for o in orders})
-    q, p = len(z), len(x)
-    own = rows.groupBy("pixel_id").agg(
-        *[F.sum(F.col(f"z{k}") * F.col("e")).alias(f"s{k}") for k in range(q)],
-        *[F.sum(F.col(f"e{o}") * F.col("e")).alias(f"a{o}") for o in orders],
-        *[F.sum(F.col(f"e{o}") * F.col(f"x{k}")).alias(f"c{o}_{k}") for o in orders for k in range(p)],
-    )
-    pairs = [(a, b) for a in range(q) for b in range(a, q)]
-    total = own.agg(
-        F.count(F.lit(1)).alias("clusters"),
-        *[F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"m{a}_{b}") for a, b in pairs],
-        *[F.sum(f"a{o}").alias(f"d{o}") for o in orders],
-        *[F.sum(F.col(f"a{o}") * F.col(f"a{o}")).alias(f"aa{o}") for o in orders],
-        *[F.sum(F.col(f"a{o}") * F.col(f"s{k}")).alias(f"as{o}_{k}") for o in orders for k in range(q)],
-        *[F.sum(f"c{o}_{k}").alias(f"c{o}_{k}") for o in orders for k in range(p)],
-    ).first()
-    meat = np.zeros((q, q))
-    for a, b in pairs:
-        meat[a, b] = meat[b, a] = total[f"m{a}_{b}"]
-    vector = lambda name, o, size: np.array([total[f"{name}{o}_{k}"] for k in range(size)])
-    lags = {o: {"d": total[f"d{o}"], "aa": total[f"aa{o}"], "as": vector("as", o, q), "c": vector("c", o, p)} for o in orders}
-    return {"clusters": total["clusters"], "meat": meat, "lags": lags}
-
-
-def _centred(columns: list[Column], means) -> list[Column]:
-    return [c - float(m) for c, m in zip(columns, means, strict=True)]
+@dataclass(frozen=True)
+class Model:
+    """Regressors and instruments by name, the orders of the serial correlation
+    test, and a column that must be there for a row to count."""
 
+    x: tuple[str, ...]
+    z: tuple[str, ...]
+    orders: tuple[int, ...] = (1, 2)
+    need: str | None = None
 
-def fit_2sls(df: DataFrame, y: str, x: list[str], z: list[str], depth: int, orders: tuple[int, ...] = (1, 2)) -> Fit:
-    """Two-stage least squares of y on x with instruments z, with a constant
+
+def fit_many(df: DataFrame, y: str, models: list[Model], depth: int) -> list[Fit]:
+    """Two-stage least squares of y on each model's x with its z, a constant
     partialled out, errors clustered by pixel_id, and the serial correlation
-    test of the differenced residual at the given orders."""
-    zc, xc, yc = columns_of(df, z, depth), columns_of(df, x, depth), [F.col(y).cast("double")]
-    q, p = len(zc), len(xc)
-    n = df.count()
-    r = triangular_factor(df, [F.lit(1.0), *zc, *xc, *yc])
-    solved = _solve(r, q, p, n)
-    # The first row of R holds the means, up to its corner.
-    means = r[0, 1:] / r[0, 0]
-    zt, xt, yt = _centred(zc, means[:q]), _centred(xc, means[q : q + p]), _centred(yc, means[q + p :])
-    resid = yt[0] - _dot(xt, solved["coef"])
-    sums = _cluster_sums(df, zt, xt, resid, orders)
-    bread, first, g = solved["bread"], solved["first"], sums["clusters"]
-    small = g / max(g - 1, 1) * (n - 1) / max(n - p, 1)
-    vcov = small * bread @ first.T @ sums["meat"] @ first @ bread
-    fit = Fit(solved["coef"], np.sqrt(np.maximum(np.diag(vcov), 0)), n, g, solved["sw_f"], solved["cond"], extra=solved | {"meat": sums["meat"]})
-    for o, s in sums["lags"].items():
-        v = s["aa"] - 2 * s["c"] @ bread @ (first.T @ s["as"]) + s["c"] @ vcov @ s["c"]
-        m = s["d"] / np.sqrt(v) if np.isfinite(v) and v > 0 else np.nan
-        fit.ar[o] = (float(m), 2 * normal_tail(abs(m)) if m == m else np.nan)
-    return fit
+    test of the differenced residual.  Two passes over `df` serve all models."""
+    names = list(dict.fromkeys(n for m in models for n in (*m.z, *m.x)))
+    parts = {n: columns_of(df, [n], depth) for n in names}
+    columns, place = [F.lit(1.0)], {}
+    for n in names:
+        place[n] = list(range(len(columns), len(columns) + len(parts[n])))
+        columns += parts[n]
+    columns.append(F.col(y).cast("double"))
+    last = len(columns) - 1
+    needs = list(dict.fromkeys(m.need for m in models))
+    factors = dict(zip(needs, triangular_factors(df, columns, [place[n][0] if n else None for n in needs]), strict=True))
+
+    fits, rows, sums = [], df.select("pixel_id", "t"), []
+    shown, lags, unit = {}, {}, Window.partitionBy("pixel_id").orderBy("t")
+    for k, m in enumerate(models):
+        zi, xi = ([i for n in group for i in place[n]] for group in (m.z, m.x))
+        q, p = len(zi), len(xi)
+        r = _square(np.linalg.qr(factors[m.need][:, [0, *zi, *xi, last]], mode="r"))
+        # The first row holds the means, up to its corner, whose square counts the rows.
+        n, means = round(r[0, 0] ** 2), r[0, 1:] / (r[0, 0] or 1.0)
+        fits.append((n, q, p, _solve(r, q, p, n)))
+        centred = [columns[i] - float(v) for i, v in zip([*zi, *xi, last], means, strict=True)]
+        resid = centred[-1] - _dot(centred[q:-1], fits[-1][3]["coef"])
+        shown[f"e{k}"] = F.when(finite(columns[place[m.need][0]]), resid) if m.need else resid
+        for i, c in enumerate(centred[:-1]):
+            shown[f"v{k}_{i}"] = c
+        for o in m.orders:
+            lags[f"e{k}_{o}"] = F.coalesce(F.max(f"e{k}").over(unit.rangeBetween(-o, -o)), F.lit(0.0))
+        sums += [F.max(F.when(F.col(f"e{k}").isNotNull(), 1.0).otherwise(0.0)).alias(f"g{k}")]
+        sums += [F.sum(F.col(f"v{k}_{i}") * F.col(f"e{k}")).alias(f"s{k}_{i}") for i in range(q)]
+        for o in m.orders:
+            sums.append(F.sum(F.col(f"e{k}_{o}") * F.col(f"e{k}")).alias(f"a{k}_{o}"))
+            sums += [F.sum(F.col(f"e{k}_{o}") * F.col(f"v{k}_{q + i}")).alias(f"c{k}_{o}_{i}") for i in range(p)]
+    rows = df.select("pixel_id", "t", *[c.alias(n) for n, c in shown.items()])
+    own = (rows.withColumns(lags) if lags else rows).groupBy("pixel_id").agg(*sums).drop("pixel_id")
+    total = _products(own)
+    at = {n: i for i, n in enumerate(own.columns, 1)}
 
+    out = []
+    for k, (m, (n, q, p, solved)) in enumerate(zip(models, fits, strict=True)):
+        bread, first = solved["bread"], solved["first"]
+        s = [at[f"s{k}_{i}"] for i in range(q)]
+        g, meat = round(total[0, at[f"g{k}"]]), total[np.ix_(s, s)]
+        small = g / max(g - 1, 1) * (n - 1) / max(n - p, 1)
+        vcov = small * bread @ first.T @ meat @ first @ bread
+        fit = Fit(solved["coef"], np.sqrt(np.maximum(np.diag(vcov), 0)), n, g, solved["sw_f"], solved["cond"], extra=solved | {"meat": meat})
+        for o in m.orders:
+            a = at[f"a{k}_{o}"]
+            c = total[0, [at[f"c{k}_{o}_{i}"] for i in range(p)]]
+            v = total[a, a] - 2 * c @ bread @ (first.T @ total[a, s]) + c @ vcov @ c
+            stat = total[0, a] / np.sqrt(v) if np.isfinite(v) and v > 0 else np.nan
+            fit.ar[o] = (float(stat), 2 * normal_tail(abs(stat)) if stat == stat else np.nan)
+        out.append(fit)
+    return out
 
-def fit_gmm(df: DataFrame, y: str, x: list[str], z: list[str], depth: int) -> dict:
-    """Two-step GMM with clustered weights and Hansen's J; with as many
-    regressors as instruments there is nothing to test and p is NaN."""
-    first = fit_2sls(df, y, x, z, depth, ())
+
+def fit_2sls(df: DataFrame, y: str, x: list[str], z: list[str], depth: int, orders: tuple[int, ...] = (1, 2)) -> Fit:
+    """One model on all rows."""
+    return fit_many(df, y, [Model(tuple(x), tuple(z), orders)], depth)[0]
+
+
+def gmm_of(first: Fit) -> dict:
+    """Two-step GMM with clustered weights and Hansen's J, from a first step;
+    with as many regressors as instruments there is nothing to test and p is NaN."""
     e = first.extra
     weight = np.linalg.pinv(e["meat"])
     zx, zy = e["zz"].T @ e["zx"], e["zz"].T @ e["zy"]
@@ -180,22 +247,40 @@ def fit_gmm(df: DataFrame, y: str, x: list[str], z: list[str], depth: int) -> di
     return {"coef": coef, "se": se, "J": j, "df": df_j, "p": chi2_tail(j, df_j) if df_j > 0 else float("nan"), "n": first.n}
 
 
+def fit_gmm(df: DataFrame, y: str, x: list[str], z: list[str], depth: int) -> dict:
+    return gmm_of(fit_2sls(df, y, x, z, depth, ()))
+
+
+#: The binary and the composition instrument, and the diagnostic with one more
+#: instrument, on the rows that have it.
+BINARY, SPLIT = Model(("dyl", "dx"), ("l2", "dz")), Model(("dyl", "xc", "xm"), ("l2", "zc", "zm"))
+OVER = Model(("dyl", "dx"), ("l2", "l3", "dz"), (), "l3")
+
+
+def _diagnosed(first: Fit, n: int, least: int) -> dict | None:
+    if first.n < least:
+        return None
+    out = gmm_of(first)
+    return out | {"n_dropped": n - first.n, "alpha": float(out["coef"][0]), "sum_beta": float(out["coef"][1:].sum())}
+
+
 def fit_models(rows: DataFrame, depth: int) -> tuple[Fit, Fit]:
     """The binary and the composition instrument on one sample; of the second,
     the coefficients are alpha, the count block, the composition block."""
-    binary = fit_2sls(rows, "dy", ["dyl", "dx"], ["l2", "dz"], depth)
-    split = fit_2sls(rows, "dy", ["dyl", "xc", "xm"], ["l2", "zc", "zm"], depth)
+    binary, split = fit_many(rows, "dy", [BINARY, SPLIT], depth)
     return binary, split
 
 
 def fit_overidentified(rows: DataFrame, depth: int, least: int = 100) -> dict | None:
-    """The diagnostic with one more instrument, on the rows that have it."""
-    held = rows.filter(F.col("l3").isNotNull() & ~F.isnan("l3"))
-    n = held.count()
-    if n < least:
-        return None
-    out = fit_gmm(held, "dy", ["dyl", "dx"], ["l2", "l3", "dz"], depth)
-    return out | {"n_dropped": rows.count() - n, "alpha": float(out["coef"][0]), "sum_beta": float(out["coef"][1:].sum())}
+    """The diagnostic; None with fewer than `least` rows that have l3."""
+    binary, over = fit_many(rows, "dy", [Model(BINARY.x, BINARY.z, ()), OVER], depth)
+    return _diagnosed(over, binary.n, least)
+
+
+def fit_specification(rows: DataFrame, depth: int, least: int = 100) -> tuple[Fit, Fit, dict | None]:
+    """Both instruments and the diagnostic, in two passes over the sample."""
+    binary, split, over = fit_many(rows, "dy", [BINARY, SPLIT, OVER], depth)
+    return binary, split, _diagnosed(over, binary.n, least)
 
 
 def profile_shape(profile: DataFrame, keys: list[str]) -> DataFrame:

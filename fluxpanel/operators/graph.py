@@ -16,18 +16,74 @@ def binarize(entries: DataFrame, value: str = "v", keys: list[str] | None = None
     return entries.filter((F.col(value) != 0) & (F.col("i") != F.col("j"))).select(*keys, "i", "j").distinct()
 
 
+#: Links up to which a graph is sent to the tasks that search it.
+LOCAL_LINKS = 4_000_000
+
+#: Pairs that a task holds at a time, about.
+LOCAL_PAIRS = 1 << 20
+
+
+def _searched(edges: DataFrame, depth: int) -> DataFrame:
+    """(i, j, k) by breadth-first searches, each within a task: the sources are
+    dealt to tasks, the links, a few MB, are with all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = edges.sparkSession
+    table = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).toArrow()
+    i, j = (table.column(c).to_numpy() for c in ("i", "j"))
+    ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    order = np.argsort(place[: len(i)], kind="stable")
+    ends, first = place[len(i) :][order], np.searchsorted(place[: len(i)][order], np.arange(len(ids) + 1))
+    shipped = spark.sparkContext.broadcast((ids, ends, first))
+
+    def search(batches):
+        ids, ends, first = shipped.value
+        n = len(ids)
+        for batch in batches:
+            mine = batch.column(0).to_numpy()
+            mine = mine[first[mine + 1] > first[mine]]
+            at, step = 0, max(1, LOCAL_PAIRS // (8 * depth * depth))
+            while at < len(mine):
+                own = mine[at : at + step]
+                at += step
+                front = reached = np.sort(own * n + own)
+                for k in range(1, depth + 1):
+                    node = front % n
+                    size = first[node + 1] - first[node]
+                    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    ahead = np.unique(np.repeat(front - node, size) + ends[np.repeat(first[node], size) + inner])
+                    spot = np.minimum(np.searchsorted(reached, ahead), len(reached) - 1)
+                    front = ahead[reached[spot] != ahead]
+                    if not len(front):
+                        break
+                    reached = np.union1d(reached, front)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[front // n]), pa.array(ids[front % n]), pa.array(np.full(len(front), k, np.int32))], ["i", "j", "k"])
+
+    return spark.range(len(ids)).mapInArrow(search, "i long, j long, k int")
+
+
 def shells(adjacency: DataFrame, depth: int) -> DataFrame:
     """(i, j, k): pairs at graph distance exactly k = 1 to `depth`.
 
-    Breadth first: the frontier steps along the graph and loses what was
-    reached before.  Reached pairs are kept as written tables, so the lineage
-    stays one step long; an empty frontier ends the search."""
+    A graph of at most LOCAL_LINKS links goes to the tasks, which search from
+    their own sources and shuffle nothing.  Beyond that the frontier of all
+    sources steps along the graph by joins and loses what was reached before: in
+    a symmetric graph only the two last shells can be met again.  Shells are
+    written, so the lineage stays one step long; an empty frontier ends the
+    search."""
     g = materialise(adjacency.filter("i <> j").select("i", "j").distinct())
+    if g.count() <= LOCAL_LINKS:
+        out = _searched(g, depth)
+        discard(g)
+        return out
     step = g.select(F.col("i").alias("m"), F.col("j").alias("n"))
+    symmetric = step.select(F.col("n").alias("i"), F.col("m").alias("j")).join(g, ["i", "j"], "left_anti").isEmpty()
     frontier, found = g, [g.withColumn("k", F.lit(1))]
     for k in range(2, depth + 1):
-        reached = found[0]
-        for more in found[1:]:
+        near = found[-2:] if symmetric else found
+        reached = near[0]
+        for more in near[1:]:
             reached = reached.unionByName(more)
         ahead = frontier.join(step, frontier["j"] == step["m"]).select("i", F.col("n").alias("j")).filter("i <> j").distinct()
         frontier = materialise(ahead.join(reached.select("i", "j"), ["i", "j"], "left_anti"))
@@ -114,18 +170,16 @@ def _margins_in_one_task(entries: DataFrame, cells: DataFrame, delta: int, terms
         i, j, a = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
         ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
         i, j, n = place[: len(i)], place[len(i) :], len(ids)
-        out = []
-        for to, of in ((i, j), (j, i)):
-            total, term, weight, settled = np.ones(n), np.ones(n), 1.0, False
-            for m in range(1, terms + 1):
-                weight *= (m + delta) / m
-                term = np.bincount(to, a * term[of], minlength=n)
-                total += weight * term
-                if settled := bool(np.abs(term).max() * weight < tolerance):
-                    break
-            if not settled:
-                return
-            out.append(total)
+        out, term, weight = [np.ones(n), np.ones(n)], [np.ones(n), np.ones(n)], 1.0
+        for m in range(1, terms + 1):
+            weight *= (m + delta) / m
+            for side, (to, of) in enumerate(((i, j), (j, i))):
+                term[side] = np.bincount(to, a * term[side][of], minlength=n)
+                out[side] += weight * term[side]
+            if max(np.abs(t).max() for t in term) * weight < tolerance:
+                break
+        else:
+            return
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out[0]), pa.array(out[1])], ["pixel_id", "row_margin", "col_margin"])
 
     loops = cells.select(F.col("pixel_id").cast("long").alias("i"), F.col("pixel_id").cast("long").alias("j"), F.lit(0.0).alias("a"))

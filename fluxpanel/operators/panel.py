@@ -55,7 +55,8 @@ def fill_gaps(panel: DataFrame, unit: str = "pixel_id", ts: str = "ts", value: s
     })
     now = F.unix_micros(F.to_timestamp(ts)).cast("double")
     share = F.try_divide(now - F.col("__t0"), F.col("__t1") - F.col("__t0"))
-    line = F.col("__y0") + share * (F.col("__y1") - F.col("__y0"))
+    first, last = (F.col(c).cast("double") for c in ("__y0", "__y1"))
+    line = first + share * (last - first)
     filled = F.coalesce(F.col(value), line, F.col("__y0"), F.col("__y1"))
     return held.withColumn(name, filled).drop("__at", "__y0", "__t0", "__y1", "__t1")
 

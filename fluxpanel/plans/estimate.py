@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import channels as ch
 from ..operators import estimation, graph
-from ..tables import materialise
+from ..operators.panel import after_base_year
+from ..tables import discard, materialise
 
 
 @dataclass
@@ -21,6 +22,7 @@ class Result:
     beta_se: list[float]
     omega: dict[str, float] = field(default_factory=dict)
     overidentified: dict | None = None
+    note: str = ""
 
 
 def upwind_edges(circulation: DataFrame, adjacency: DataFrame, depth: int) -> DataFrame:
@@ -46,12 +48,15 @@ def run(grid: DataFrame, panel: DataFrame, circulation: DataFrame, adjacency: Da
             baseline = supplied
         else:
             baseline = supplied.filter("month = 1").select("pixel_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), "y0")
-        rows = materialise(ch.sample(ch.panel_channels(w, panel, baseline, depth), spec, base_year, presample=supplied is not None))
-        binary, split = estimation.fit_models(rows, depth)
-        over = estimation.fit_overidentified(rows, depth)
+        presample = supplied is not None
+        finite = materialise(ch.finite_sample(ch.panel_channels(w, panel, baseline, depth)))
+        counts = ch.base_year_counts(finite, base_year).first()
+        note = ch.base_year_note(spec, base_year, counts["n"], counts["n_base"], presample)
+        rows = after_base_year(finite, base_year) if ch.leaves_base_year(spec, presample) else finite
+        binary, split, over = estimation.fit_specification(rows, depth)
         for name, fit, lo in (("binary", binary, 1), ("composition", split, depth + 1)):
             beta, se = fit.coef[lo : lo + depth].tolist(), fit.se[lo : lo + depth].tolist()
-            result = Result(spec.name, name, fit, beta, se, overidentified=over if name == "binary" else None)
+            result = Result(spec.name, name, fit, beta, se, overidentified=over if name == "binary" else None, note=note)
             if multipliers:
                 a = graph.weighted_adjacency(averaged[name], dict(enumerate(beta, 1)))
                 margins = graph.multiplier_margins(a, grid)
@@ -59,4 +64,6 @@ def run(grid: DataFrame, panel: DataFrame, circulation: DataFrame, adjacency: Da
                     m = margins.agg(F.avg("row_margin"), F.min("row_margin"), F.max("row_margin")).first()
                     result.omega = {"mean": m[0], "min": m[1], "max": m[2]}
             out.append(result)
+        discard(finite)
+    discard(w, *averaged.values())
     return out

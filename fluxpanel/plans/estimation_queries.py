@@ -12,6 +12,7 @@ from ..operators import channels as ch
 from ..operators import estimation
 from ..operators.panel import demean, shift
 from ..tables import materialise
+from . import closed_forms as cf
 from . import fixtures as fx
 from . import report
 from .panel_queries import r6
@@ -113,36 +114,67 @@ def ab_cross_products(spark: SparkSession, d: str) -> DataFrame:
     return held.select("e", both).groupBy("l.lag_order").agg((F.round(F.sum(F.coalesce("l.v", F.lit(0.0)) * F.col("e")), 2) + 0).alias("d"), F.count("l.v").alias("pairs"))
 
 
-@query()
+_BINARY_1 = f"{cf.SAMPLED}, {cf.model('p', ['dyl', 'dx1'], ['l2', 'dz1'])}, {cf.errors('p', 2)}"
+_SPLIT_1 = f"{cf.model('s', ['dyl', 'xc1', 'xm1'], ['l2', 'zc1', 'zm1'])}, {cf.errors('s', 3)}"
+_BINARY_3 = f"{cf.SAMPLED}, {cf.model('p', ['dyl', 'dx1', 'dx2', 'dx3'], ['l2', 'dz1', 'dz2', 'dz3'])}, {cf.errors('p', 4)}"
+_OVER_1 = f"{cf.SAMPLED}, {cf.model('over', ['dyl', 'dx1'], ['l2', 'l3', 'dz1'], 'l3')}, {cf.overidentified('over', 2, 3)}"
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, round(f{k}, 4) AS f FROM pv" for k in range(4)), _BINARY_3)
 def sw_f(spark: SparkSession, d: str) -> DataFrame:
+    """The conditional F of each regressor, with three shells."""
     fit = estimation.fit_2sls(materialise(fx.sample_a(spark, d)), "dy", ["dyl", "dx"], ["l2", "dz"], fx.DEPTH, ())
-    return spark.createDataFrame([(k, float(f)) for k, f in enumerate(fit.sw_f)], "k int, f double")
+    return spark.createDataFrame([(k, float(f)) for k, f in enumerate(fit.sw_f)], "k int, f double").select("k", F.round("f", 4).alias("f"))
+
 
+#: With one shell the instruments are two, and their condition number a formula.
+_CONDITION = "sqrt((w00 + w11 + sqrt((w00 - w11) ** 2 + 4 * w01 ** 2)) / (w00 + w11 - sqrt((w00 - w11) ** 2 + 4 * w01 ** 2)))"
+_STATS = [(i, m, e) for i, t, p in (("binary", "pv", 2), ("composition", "sv", 3)) for m, e in (("n", f"n FROM {t}"), ("clusters", f"g FROM {t}"), ("min_sw_f", f"least({', '.join(f'f{k}' for k in range(p))}) FROM {t}"), ("ar1_m", f"t1 FROM {t}"), ("ar2_m", f"t2 FROM {t}"))]
+_STATS.append(("binary", "cond_z", f"{_CONDITION} FROM pv"))
 
-@query()
+
+@query(" UNION ALL ".join(f"SELECT '{i}' AS instrument, '{m}' AS metric, round({e.split(' FROM ')[0]}, 4) AS value FROM {e.split(' FROM ')[1]}" for i, m, e in _STATS), f"{_BINARY_1}, {_SPLIT_1}")
 def fit_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialise(fx.sample_a(spark, d))
+    """What stands beside the estimates of both instruments, with one shell."""
+    rows = materialise(fx.sample_a(spark, d, depth=1))
     out = []
-    for name, fit in zip(("binary", "composition"), estimation.fit_models(rows, fx.DEPTH), strict=True):
-        stats = {"n": float(fit.n), "clusters": float(fit.clusters), "cond_z": fit.cond_z, "min_sw_f": float(min(fit.sw_f)), "ar1_m": fit.ar[1][0], "ar2_m": fit.ar[2][0]}
-        out += [(name, k, v) for k, v in stats.items()]
-    return spark.createDataFrame(out, "instrument string, metric string, value double")
+    for name, fit in zip(("binary", "composition"), estimation.fit_models(rows, 1), strict=True):
+        stats = {"n": float(fit.n), "clusters": float(fit.clusters), "min_sw_f": float(min(fit.sw_f)), "ar1_m": fit.ar[1][0], "ar2_m": fit.ar[2][0]}
+        out += [(name, k, v) for k, v in (stats | ({"cond_z": fit.cond_z} if name == "binary" else {})).items()]
+    return spark.createDataFrame(out, "instrument string, metric string, value double").select("instrument", "metric", F.round("value", 4).alias("value"))
+
 
+_J = {"J": "j", "df": "1", "p": cf.chi2_tail_1("j"), "n": "n", "n_dropped": "(SELECT count(*) FROM sampled) - n", "alpha": "b0", "sum_beta": "b1"}
 
-@query()
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, round(({e})::DOUBLE, 6) + 0 AS value FROM overj" for m, e in _J.items()), _OVER_1)
 def gmm_j(spark: SparkSession, d: str) -> DataFrame:
-    out = estimation.fit_overidentified(materialise(fx.sample_a(spark, d)), fx.DEPTH)
-    rows = [(k, float(out[k])) for k in ("J", "df", "p", "n", "n_dropped", "alpha", "sum_beta")] if out else []
-    return spark.createDataFrame(rows, "metric string, value double")
+    """Two-step GMM with one more instrument, with one shell."""
+    out = estimation.fit_overidentified(materialise(fx.sample_a(spark, d, depth=1)), 1)
+    rows = [(k, float(out[k])) for k in _J] if out else []
+    return spark.createDataFrame(rows, "metric string, value double").select("metric", (F.round("value", 6) + 0).alias("value"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{'beta' if k else 'alpha'}' AS term, {k} AS k, round(b{k}, 6) + 0 AS estimate, round(sqrt(v{k}{k}_), 6) + 0 AS se FROM pv" for k in range(4)), _BINARY_3)
 def fd2sls_nations(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: (term, k, estimate, se) of the binary instrument on the
     nation by month panel, with three shells."""
     fit = estimation.fit_2sls(materialise(fx.sample_a(spark, d)), "dy", ["dyl", "dx"], ["l2", "dz"], fx.DEPTH, ())
     rows = [("alpha" if k == 0 else "beta", k, float(b), float(s)) for k, (b, s) in enumerate(zip(fit.coef, fit.se, strict=True))]
-    return spark.createDataFrame(rows, "term string, k int, estimate double, se double")
+    return spark.createDataFrame(rows, "term string, k int, estimate double, se double").select("term", "k", *[(F.round(c, 6) + 0).alias(c) for c in ("estimate", "se")])
+
+
+_NOTES = " UNION ALL ".join(f"SELECT '{name}' AS spec, count(*) AS n, count(*) FILTER (year(ts) <= 1995) AS n_base FROM finite_a" for name in ("paper-literal", "season-matched", "authors-346"))
+
+
+@query(_NOTES, "finite_a AS (SELECT l.ts FROM lags l JOIN split s ON s.pixel_id = l.pixel_id AND s.t = l.t AND s.k = 1 WHERE dy IS NOT NULL AND dyl IS NOT NULL AND l2 IS NOT NULL)")
+def base_year_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Finite rows, and those of the baseline's own year, of each specification."""
+    out = None
+    for spec in ch.SPECS:
+        counts = ch.base_year_counts(ch.finite_sample(fx.channels_a(spark, d, depth=1)), fx.BASE_YEAR).select(F.lit(spec.name).alias("spec"), "n", "n_base")
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 #: Two made-up profiles beside the published one.

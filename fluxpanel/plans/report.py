@@ -18,6 +18,7 @@ PUBLISHED_BETA = (
 )
 PUBLISHED = {"alpha": 0.22, "omega_mean": 2.0, "omega_max": 2.64, "n": 3_300_494, "clusters": 9_539}
 
+#: The rows of the table, their labels and digits.
 ROWS = (
     ("beta_1", "β₁", 4), ("beta_2", "β₂", 4), ("sum_beta", "Σβ", 4), ("alpha", "α", 4), ("share_1", "share k=1", 3),
     ("effective_lags", "effective lags", 2), ("correlation", "correlation", 3), ("positive", "positive", 0), ("omega_mean", "Ω² mean", 3),
@@ -61,14 +62,20 @@ def as_text(table: dict[str, dict[str, float]]) -> str:
     return "\n".join("  ".join([r[0].ljust(width[0]), *[x.rjust(w) for x, w in zip(r[1:], width[1:], strict=True)]]) for r in rows) + "\n"
 
 
-def as_latex(table: dict[str, dict[str, float]], results: Sequence[Result]) -> str:
-    """A booktabs table, "--" where there is nothing."""
-    lines = [rf"\begin{{tabular}}{{l{'r' * len(table)}}}", r"\toprule", " & ".join(["", *table]) + r" \\", r"\midrule"]
-    lines += [" & ".join([label, *[_shown(c[key], digits, "--") for c in table.values()]]) + r" \\" for key, label, digits in ROWS]
-    lines += [" & ".join(["observations", *[f"{r.fit.n:,}" for r in results], f"{PUBLISHED['n']:,}"]) + r" \\", r"\bottomrule", r"\end{tabular}"]
+def as_latex(table: dict[str, dict[str, float]], results: Sequence[Result], mode: str = "demo") -> str:
+    """A booktabs table with caption and label, "--" where there is nothing."""
+    lines = [f"% Made by a --{mode} run; needs the package booktabs.", r"\begin{table}[htbp]", r"\centering\small"]
+    lines += [r"\caption{Estimates by specification and instrument, beside the published ones.}", rf"\label{{tab:estimates-{mode}}}"]
+    lines += [rf"\begin{{tabular}}{{l{'r' * len(table)}}}", r"\toprule", " & ".join(["", *table]) + r" \\", r"\midrule"]
+    lines += [" & ".join([f"${_TEX[key]}$" if key in _TEX else label, *[_shown(c[key], digits, "--") for c in table.values()]]) + r" \\" for key, label, digits in ROWS]
+    lines += [r"\midrule", " & ".join(["observations", *[f"{r.fit.n:,}" for r in results], f"{PUBLISHED['n']:,}"]) + r" \\", r"\bottomrule", r"\end{tabular}", r"\end{table}"]
     return "\n".join(lines) + "\n"
 
 
+#: Labels that are formulas.
+_TEX = {"beta_1": r"\beta_1", "beta_2": r"\beta_2", "sum_beta": r"\sum_k \beta_k", "alpha": r"\alpha", "omega_mean": r"\overline{\Omega^2}"}
+
+
 def fit_lines(results: Sequence[Result]) -> str:
     """A line for each estimate, then one for each over-identified diagnostic."""
     lines = []
@@ -76,6 +83,7 @@ def fit_lines(results: Sequence[Result]) -> str:
         f = r.fit
         ar = ", ".join(f"AR({o}) m={m:+.2f} p={p:.3f}" for o, (m, p) in sorted(f.ar.items()))
         lines.append(f"{r.spec} / {r.instrument}: n={f.n:,}, clusters={f.clusters:,}, alpha={f.alpha:.4f} ({f.se[0]:.4f}), min SW F={min(f.sw_f):.4g}, cond(Z)={f.cond_z:.2f}, {ar}")
+    lines += [f"{s}: {note}" for s, note in dict.fromkeys((r.spec, r.note) for r in results if r.note)]
     lines += [f"{r.spec} over-identified: n={o['n']:,}, dropped={o['n_dropped']:,}, J={o['J']:.4f} ({o['df']} df), p={o['p']:.4f}, alpha={o['alpha']:.4f}, sum={o['sum_beta']:.4f}" for r in results if (o := r.overidentified)]
     return "\n".join(lines) + "\n"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import spatial, trajectory
 from ..sources import synthetic
+from . import build
 from . import fixtures as fx
 from .panel_queries import r6
 from .registry import query
@@ -29,13 +30,13 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT pixel_id, source, round(degrees, 6) degrees FROM nearest WHERE degrees <= 1", _TARGETS)
 def nearest_cell_sphere(spark: SparkSession, d: str) -> DataFrame:
-    met = spatial.nearest_on_sphere(_targets(spark, d), fx.lattice10(spark), 1.0, (0.0, 0.0))
+    met = spatial.nearest_on_sphere(_targets(spark, d), spatial.Lattice.of(fx.lattice10(spark)))
     return met.filter("source is not null").select("pixel_id", "source", *r6("degrees"))
 
 
 @query("SELECT pixel_id, CASE WHEN degrees <= 0.5 THEN source END AS source FROM nearest", _TARGETS)
 def nearest_guard(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.nearest_on_sphere(_targets(spark, d), fx.lattice10(spark), 1.0, (0.0, 0.0), limit=0.5).select("pixel_id", "source")
+    return spatial.nearest_on_sphere(_targets(spark, d), spatial.Lattice.of(fx.lattice10(spark)), limit=0.5).select("pixel_id", "source")
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size = (SELECT p_size FROM (SELECT DISTINCT p_size FROM part) ORDER BY abs(p_size - 23.4), p_size LIMIT 1)")
@@ -91,31 +92,32 @@ def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
     return spatial.bilinear(_points(spark, d), field, 1.0, (0.0, 0.0), ["event_id"]).select("event_id", *r6("value"))
 
 
-#: The first week of the events' field on the full lattice, with its gaps.
-_WEEK = "week AS (SELECT q.k::INTEGER AS t, l.latitude, l.longitude, r.value FROM range(7) q(k) CROSS JOIN lattice10 l LEFT JOIN raster_b r ON r.t = q.k AND r.latitude = l.latitude AND r.longitude = l.longitude), once AS (SELECT t, latitude, longitude, coalesce(value, avg(value) OVER (PARTITION BY t, latitude)) AS value FROM week)"
+#: The events' field of all days on the full lattice, with its gaps.
+_FULL = "days AS (SELECT DISTINCT t FROM raster_b), whole AS (SELECT q.t, l.latitude, l.longitude, r.value FROM days q CROSS JOIN lattice10 l LEFT JOIN raster_b r ON r.t = q.t AND r.latitude = l.latitude AND r.longitude = l.longitude), once AS (SELECT t, latitude, longitude, coalesce(value, avg(value) OVER (PARTITION BY t, latitude)) AS value FROM whole)"
 
 
-def _week(spark: SparkSession, d: str) -> DataFrame:
-    days = spark.range(7).select(F.col("id").cast("int").alias("t"))
-    return days.crossJoin(fx.lattice10(spark)).join(fx.raster_b(spark, d), ["t", "latitude", "longitude"], "left").select("t", "latitude", "longitude", "value")
+def _full(spark: SparkSession, d: str) -> DataFrame:
+    field = fx.raster_b(spark, d)
+    days = field.select("t").distinct()
+    return days.crossJoin(fx.lattice10(spark)).join(field, ["t", "latitude", "longitude"], "left").select("t", "latitude", "longitude", "value")
 
 
-@query("SELECT t, latitude, longitude, round(coalesce(value, avg(value) OVER (PARTITION BY t, longitude), 0), 6) AS value FROM once", _WEEK)
+@query("SELECT t, latitude, longitude, round(coalesce(value, avg(value) OVER (PARTITION BY t, longitude), 0), 6) AS value FROM once", _FULL)
 def row_col_mean_fill(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.row_col_fill(_week(spark, d), keys=["t"]).select("t", "latitude", "longitude", *r6("value"))
+    return spatial.row_col_fill(_full(spark, d), keys=["t"]).select("t", "latitude", "longitude", *r6("value"))
 
 
-@query("SELECT latitude, longitude, count(value) > 0 AS land FROM week GROUP BY 1, 2", _WEEK)
+@query("SELECT latitude, longitude, count(value) > 0 AS land FROM whole GROUP BY 1, 2", _FULL)
 def land_mask(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.land_mask(_week(spark, d), "value")
+    return spatial.land_mask(_full(spark, d), "value")
 
 
 @query(
     "SELECT o_orderkey, o_orderdate, coalesce(t0, first) AS t0, coalesce(t1, CASE WHEN t0 IS NULL THEN first ELSE t0 END) AS t1, round(CASE WHEN t0 IS NULL OR t1 IS NULL THEN 0 ELSE epoch(o_orderdate - t0)::DOUBLE / epoch(t1 - t0) END, 9) AS w1 FROM (SELECT o_orderkey, o_orderdate, (SELECT max(ts) FROM axis WHERE ts <= o_orderdate) t0, (SELECT min(ts) FROM axis WHERE ts > o_orderdate) t1, (SELECT min(ts) FROM axis) first FROM orders)",
-    "axis AS (SELECT ts FROM months WHERE t % 6 = 3)",
+    "axis AS (SELECT ts + INTERVAL 15 DAY AS ts FROM months)",
 )
 def asof_bracket(spark: SparkSession, d: str) -> DataFrame:
-    axis = fx.months(spark, d).filter("t % 6 = 3").select("ts")
+    axis = fx.months(spark, d).select((F.col("ts") + F.expr("INTERVAL '15' DAY")).alias("ts"))
     events = fx.load(spark, d, "orders").select("o_orderkey", "o_orderdate")
     return spatial.bracket(events, axis, "o_orderdate").select("o_orderkey", "o_orderdate", "t0", "t1", F.round("w1", 9).alias("w1"))
 
@@ -132,12 +134,12 @@ def euler_step(spark: SparkSession, d: str) -> DataFrame:
 
 #: In a uniform wind (u = -6, v = 0) a parcel keeps its latitude and moves by equal steps.
 @query(
-    "SELECT ts, origin, h, round(lat, 6) lat, round(lon, 6) lon FROM (SELECT s.ts, g.pixel_id AS origin, r.h::INTEGER AS h, g.latitude AS lat, g.longitude + r.h * degrees(6 * 3600.0::DOUBLE / (6371000 * cos(radians(g.latitude)))) AS lon FROM lattice5 g, range(48) r(h), (SELECT ts FROM months WHERE t IN (1, 2)) s) WHERE lon <= 4"
+    "SELECT ts, origin, h, round(lat, 6) lat, round(lon, 6) lon FROM (SELECT s.ts, g.pixel_id AS origin, r.h::INTEGER AS h, g.latitude AS lat, g.longitude + r.h * degrees(6 * 3600.0::DOUBLE / (6371000 * cos(radians(g.latitude)))) AS lon FROM lattice5 g, range(48) r(h), months s) WHERE lon <= 4"
 )
 def back_trajectory(spark: SparkSession, d: str) -> DataFrame:
     stamps = fx.months(spark, d).select(F.col("ts").alias("time"))
     raster = stamps.crossJoin(fx.lattice5(spark, d).select("latitude", "longitude")).select("time", "latitude", "longitude", F.lit(-6.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("omega"))
-    starts = fx.months(spark, d).filter("t in (1, 2)").select("ts")
+    starts = fx.months(spark, d).select("ts")
     points = trajectory.back_trajectories(fx.lattice5(spark, d), starts, trajectory.Wind(raster), 48)
     return points.select("ts", "origin", "h", *r6("lat", "lon"))
 
@@ -159,12 +161,78 @@ def grid_diff(spark: SparkSession, d: str) -> DataFrame:
     return spatial.grid_difference(fx.irregular(spark), fx.lattice5(spark, d))
 
 
-@query()
-def demo_smoke_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The smoke build's panel, of synthetic rasters."""
-    from .build import build_panel
+#: A uniform wind that blows to the south-east and lifts parcels out of the band after 38 hours.
+_U, _V, _OMEGA = -6.0, 2.0, 0.5
 
-    t = synthetic.smoke_rasters(spark)
-    return build_panel(t["grid"], t["lai"], t["wind"], 0.25)
 
+@query(
+    "SELECT DISTINCT s.ts, a.i, a.j FROM arrived a, months s WHERE a.i <> a.j",
+    f"""walks(i, h, lat, lon, p) AS (SELECT pixel_id, 0, latitude, longitude, 800.0::DOUBLE FROM irregular
+  UNION ALL SELECT i, h + 1, lat - degrees({_V}::DOUBLE * 3600 / 6371000), lon - degrees({_U}::DOUBLE * 3600 / (6371000 * cos(radians(lat)))), p - {_OMEGA} * 36 FROM walks
+  WHERE h < 119 AND lat - degrees({_V}::DOUBLE * 3600 / 6371000) BETWEEN 0 AND 9 AND lon - degrees({_U}::DOUBLE * 3600 / (6371000 * cos(radians(lat)))) BETWEEN 0 AND 9 AND p - {_OMEGA} * 36 BETWEEN 100 AND 950),
+arrived AS (SELECT w.i, arg_min(g.pixel_id, (round(sqrt((w.lat - g.latitude) ** 2 + (w.lon - g.longitude) ** 2), 10) * 1000 + g.pixel_id / 1000000)) AS j FROM walks w JOIN irregular g ON sqrt((w.lat - g.latitude) ** 2 + (w.lon - g.longitude) ** 2) <= 0.7072 GROUP BY w.i, w.h)""",
+)
+def snapped_circulation(spark: SparkSession, d: str) -> DataFrame:
+    """Which cells of the lattice with a hole the trajectories of every month visit."""
+    stamps = fx.months(spark, d).select("ts")
+    values = [F.lit(v).alias(n) for v, n in ((_U, "u"), (_V, "v"), (_OMEGA, "omega"))]
+    raster = stamps.withColumnRenamed("ts", "time").crossJoin(fx.lattice10(spark).select("latitude", "longitude")).select("time", "latitude", "longitude", *values)
+    return trajectory.snapped_circulation(fx.irregular(spark), stamps, trajectory.Wind(raster), 120, 1.0)
 
+
+#: Leaf area and a wind on three levels, in Pa, of the nations' panel.
+_LEVELS = (70000.0, 80000.0, 85000.0)
+
+
+@query(
+    "SELECT pixel_id, ts, round(coalesce(y::FLOAT::DOUBLE, (y0::FLOAT::DOUBLE + epoch(ts - t0)::DOUBLE / nullif(epoch(t1 - t0), 0) * (y1::FLOAT::DOUBLE - y0::FLOAT::DOUBLE))::FLOAT::DOUBLE, y0::FLOAT::DOUBLE, y1::FLOAT::DOUBLE), 2) AS lai, 10 + t * 0.25::DOUBLE AS u, pixel_id - 12.5::DOUBLE AS v, 0.5::DOUBLE AS omega FROM held_a"
+)
+def wind_level_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel of a leaf area with gaps and a wind with levels, both of the
+    nations' months; cells lie a little off the fields' lattice."""
+    held = fx.panel_a(spark, d).join(fx.lattice5(spark, d), "pixel_id").withColumnRenamed("ts", "time")
+    lai = held.select("time", "latitude", "longitude", F.col("y").alias("lai"))
+    wind = held.select("time", "latitude", "longitude", F.explode(F.array(*[F.lit(v) for v in _LEVELS])).alias("level"), "t", "pixel_id")
+    wind = wind.select("time", "latitude", "longitude", "level", (F.col("level") / 8000 + F.col("t") * 0.25).alias("u"), (F.col("pixel_id") - 12.5).alias("v"), F.lit(0.5).alias("omega"))
+    grid = fx.lattice5(spark, d).select("pixel_id", (F.col("latitude") + 0.2).alias("latitude"), (F.col("longitude") - 0.3).alias("longitude"))
+    rows = build.build_panel(grid, lai, wind)
+    return rows.select("pixel_id", "ts", F.round(F.col("lai").cast("double"), 2).alias("lai"), *[F.col(c).cast("double").alias(c) for c in ("u", "v", "omega")])
+
+
+@query(
+    "SELECT t, latitude, longitude, round(coalesce(u, avg(u) OVER (PARTITION BY t, longitude), 0), 4) AS u FROM rowed",
+    _FULL + """, places AS (SELECT pixel_id, latitude - 4.5 AS latitude, longitude - 4.5 AS longitude FROM lattice10),
+shore AS (SELECT pixel_id, latitude - 5 AS latitude, longitude - 5 AS longitude, pixel_id % 7 < 4 AS land FROM lattice10),
+near AS (SELECT p.latitude, p.longitude, s.land FROM places p, shore s QUALIFY row_number() OVER (PARTITION BY p.pixel_id ORDER BY round(sqrt((cos(radians(p.latitude)) * cos(radians(p.longitude)) - cos(radians(s.latitude)) * cos(radians(s.longitude))) ** 2 + (cos(radians(p.latitude)) * sin(radians(p.longitude)) - cos(radians(s.latitude)) * sin(radians(s.longitude))) ** 2 + (sin(radians(p.latitude)) - sin(radians(s.latitude))) ** 2), 12), s.pixel_id) = 1),
+masked AS (SELECT w.t, w.latitude - 4.5 AS latitude, w.longitude - 4.5 AS longitude, CASE WHEN n.land THEN w.value END AS u FROM whole w JOIN near n ON n.latitude = w.latitude - 4.5 AND n.longitude = w.longitude - 4.5),
+rowed AS (SELECT t, latitude, longitude, coalesce(u, avg(u) OVER (PARTITION BY t, latitude)) AS u FROM masked)""",
+)
+def panel_fill_wind(spark: SparkSession, d: str) -> DataFrame:
+    """The wind of a land-masked panel, around the origin, where the leaf area
+    has its cells half a cell beside those of the wind."""
+    moved = lambda df, by: df.withColumns({c: F.col(c) - by for c in ("latitude", "longitude")})
+    field = moved(_full(spark, d), 4.5).select(F.col("t").alias("time"), "latitude", "longitude", F.col("value").alias("u"), F.lit(1.0).alias("v"), F.lit(0.0).alias("omega"))
+    lai = moved(fx.lattice10(spark), 5.0).select("latitude", "longitude", F.when(F.col("pixel_id") % 7 < 4, 1.0).alias("lai"))
+    out = build.wind_field(field, lai)
+    return out.select(F.col("time").alias("t"), "latitude", "longitude", F.round("u", 4).alias("u"))
+
+
+def _smoke_sql() -> str:
+    """The smoke rasters as SQL: their formulas, and the one gap between its neighbours in time."""
+    season = "sin(2 * pi() * t / 12)"
+    lai = f"(4.0 + 0.5 * {season} + 0.02 * i + 0.01 * j)::FLOAT"
+    at = lambda t: lai.replace("* t /", f"* {t} /")
+    gap = f"({at(0)}::DOUBLE + 31.0 / 60 * ({at(2)}::DOUBLE - {at(0)}::DOUBLE))::FLOAT"
+    return (
+        "SELECT (i * 17 + j)::BIGINT AS pixel_id, (TIMESTAMP '2000-01-01' + to_months(t::INTEGER)) AS ts, "
+        f"round(CASE WHEN t = 1 AND i = 0 AND j = 0 THEN {gap} ELSE {lai} END::DOUBLE, 4) AS lai, "
+        f"round((-6.0 + {season})::DOUBLE, 4) AS u, round((0.5 * {season})::DOUBLE, 4) AS v, 0.0::DOUBLE AS omega FROM range(6) a(t), range(17) b(i), range(17) c(j)"
+    )
+
+
+@query(_smoke_sql())
+def demo_smoke_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The smoke build's panel, of synthetic rasters."""
+    t = synthetic.smoke_rasters(spark)
+    rows = build.build_panel(t["grid"], t["lai"], t["wind"])
+    return rows.select("pixel_id", "ts", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("lai", "u", "v", "omega")])

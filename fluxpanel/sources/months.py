@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.panel import clean, sentinel_null
+from .netcdf import write_raster
 
 #: Scale of the stored leaf area, and the last year that it covers.
 LEAF_SCALE, LEAF_LAST_YEAR = 0.001, 2013
@@ -35,7 +36,8 @@ def leaf_area_months(raw: DataFrame, first: int, last: int, resolution: float =
 
 
 def wind_months(hourly: DataFrame) -> DataFrame:
-    """(time, latitude, longitude, u, v, omega): means of each calendar month."""
+    """(time, latitude, longitude, u, v, omega): means of each calendar month, at
+    its start.  A field of monthly means is its own mean, so it may come too."""
     month = F.date_trunc("month", "time").cast("timestamp_ntz").alias("time")
     return hourly.groupBy(month, "latitude", "longitude").agg(*[F.avg(c).alias(c) for c in ("u", "v", "omega")])
 
@@ -54,6 +56,21 @@ def keep_months(field: DataFrame, folder: str, wanted: list[date]) -> list[date]
     they are, so a run that broke off goes on where it was."""
     spark = field.sparkSession
     new = missing_months(spark, folder, wanted)
+    if not new:
+        return new
     rows = field.withColumn("month", F.to_date("time").cast("string")).filter(F.col("month").isin([m.isoformat() for m in new]))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
+    rows.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
     return new
+
+
+def fetch(field: DataFrame, folder: str, out: str, first: int, last: int, variables: list[str], attributes: dict[str, str]) -> list[date]:
+    """Keeps the months of the years `first` to `last` that `folder` lacks, then
+    writes all of them to the NetCDF file `out`.  Months without any raw row are
+    returned; they are no error, as a record may begin or end within a year."""
+    wanted = month_starts(first, last)
+    keep_months(field, folder, wanted)
+    spark = field.sparkSession
+    lacking = missing_months(spark, folder, wanted)
+    held = spark.read.parquet(folder).filter(F.col("month").cast("string").isin([m.isoformat() for m in wanted]))
+    write_raster(held.select("time", "latitude", "longitude", *variables), out, variables, {"": attributes})
+    return lacking

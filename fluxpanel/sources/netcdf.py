@@ -2,10 +2,15 @@
 
 `spark.read.format("netcdf").load(path)` gives one row for each cell of the
 variables that share the full set of dimensions: a column for each dimension
-(its coordinate values) and each variable.  A partition is a range of the first
-dimension, so that a file is read in pieces.  Files in the HDF5-based format
-need a library that is not installed here; convert those first.  Paths are
-local or mounted everywhere, as the format needs random access."""
+(its coordinate values) and each variable.  A dimension whose coordinate has CF
+units ("days since ...") becomes a timestamp; one without stays a number.  A
+partition is a range of the first dimension, so that a file is read in pieces.
+`write_raster` writes a table back, each time slice by the task that has it.
+
+Files in the HDF5-based format are not read: no library for it is at hand.
+Convert them first (`nccopy -k cdf2 in.nc out.nc` keeps names, coordinates,
+attributes and packing, which is all that is read here).  Paths are local or
+mounted everywhere, as the format needs random access."""
 
 from __future__ import annotations
 
@@ -17,8 +22,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .readers import cf_time
+
 #: Fixed values of the format: type codes, and the tags of its lists.
 _TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 _CODES = {"i1": 1, "i2": 3, "i4": 4, "f4": 5, "f8": 6}
@@ -50,18 +58,20 @@ class Header:
 
 
 class _Cursor:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+    """Reads a header of any length from an open file."""
+
+    def __init__(self, f):
+        self.f = f
 
     def take(self, n: int) -> bytes:
-        out = self.data[self.at : self.at + n]
-        self.at += n + -n % 4
+        out = self.f.read(n)
+        self.f.read(-n % 4)
+        if len(out) < n:
+            raise ValueError("the NetCDF header ends early")
         return out
 
     def number(self, kind: str = ">i") -> int:
-        size = struct.calcsize(kind)
-        self.at += size
-        return struct.unpack(kind, self.data[self.at - size : self.at])[0]
+        return struct.unpack(kind, self.take(struct.calcsize(kind)))[0]
 
     def name(self) -> str:
         return self.take(self.number()).decode()
@@ -83,25 +93,36 @@ class _Cursor:
 
 
 def read_header(path: str) -> Header:
-    data = Path(path).read_bytes() if Path(path).stat().st_size < 1 << 20 else open(path, "rb").read(1 << 20)
-    if data[:3] != b"CDF" or data[3] not in (1, 2):
-        raise ValueError(f"{path} is not a NetCDF classic file")
-    c = _Cursor(data)
-    c.at = 4
-    out = Header(records=max(0, c.number()))
-    out.dims = [(c.name(), c.number()) for _ in c.items(_DIMENSION)]
-    out.attributes = c.attributes()
-    for _ in c.items(_VARIABLE):
-        name = c.name()
-        dims = [c.number() for _ in range(c.number())]
-        attributes, dtype, size = c.attributes(), np.dtype(_TYPES[c.number()]), c.number()
-        begin = c.number(">i" if data[3] == 1 else ">q")
-        record = bool(dims) and out.dims[dims[0]][1] == 0
-        out.variables[name] = Variable(name, dims, attributes, dtype, begin, record)
-        out.record_size += size if record else 0
+    with open(path, "rb") as f:
+        magic = f.read(4)
+        if magic[:4] == b"\x89HDF":
+            raise ValueError(f"{path} is in the HDF5-based format; convert it with nccopy -k cdf2")
+        if len(magic) < 4 or magic[:3] != b"CDF" or magic[3] not in (1, 2):
+            raise ValueError(f"{path} is not a NetCDF classic file")
+        c = _Cursor(f)
+        out = Header(records=max(0, c.number()))
+        out.dims = [(c.name(), c.number()) for _ in c.items(_DIMENSION)]
+        out.attributes = c.attributes()
+        for _ in c.items(_VARIABLE):
+            name = c.name()
+            dims = [c.number() for _ in range(c.number())]
+            attributes, dtype, size = c.attributes(), np.dtype(_TYPES[c.number()]), c.number()
+            begin = c.number(">i" if magic[3] == 1 else ">q")
+            record = bool(dims) and out.dims[dims[0]][1] == 0
+            out.variables[name] = Variable(name, dims, attributes, dtype, begin, record)
+            out.record_size += size if record else 0
     return out
 
 
+def stamps(header: Header, name: str) -> tuple[float, np.datetime64] | None:
+    """(seconds of a unit, epoch) of a coordinate that is a CF time."""
+    v = header.variables.get(name)
+    units = v.attributes.get("units") if v else None
+    if not isinstance(units, str) or " since " not in units:
+        return None
+    return cf_time(units.rstrip("\0"), str(v.attributes.get("calendar", "standard")).rstrip("\0"))
+
+
 def read_variable(path: str, header: Header, name: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
     """Values of the rows lo to hi of the first dimension, as doubles; fill
     values become NaN, and scale_factor and add_offset are applied."""
@@ -161,6 +182,8 @@ class _Reader(DataSourceReader):
         for k, d in enumerate(self.dims):
             name, size = self.header.dims[d][0], self.header.records if self.header.dims[d][1] == 0 else self.header.dims[d][1]
             axis = read_variable(self.path, self.header, name) if name in self.header.variables else np.arange(size, dtype=float)
+            if (cf := stamps(self.header, name)) is not None:
+                axis = cf[1] + np.round(axis * cf[0] * 1e6).astype("timedelta64[us]")
             axes.append(axis[piece.lo : piece.hi] if k == 0 else axis)
         mesh = [m.ravel() for m in np.meshgrid(*axes, indexing="ij")]
         values = [read_variable(self.path, self.header, n, piece.lo, piece.hi).ravel() for n in self.names]
@@ -176,7 +199,8 @@ class NetCDF(DataSource):
     def schema(self) -> str:
         header = read_header(self.options["path"])
         dims, names = _layout(header)
-        return ", ".join(f"`{n}` double" for n in [header.dims[d][0] for d in dims] + names)
+        kinds = [(header.dims[d][0], "timestamp_ntz" if stamps(header, header.dims[d][0]) else "double") for d in dims]
+        return ", ".join(f"`{n}` {kind}" for n, kind in kinds + [(n, "double") for n in names])
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
@@ -191,30 +215,84 @@ def read_netcdf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("netcdf").load(path)
 
 
-def write_netcdf(path: str, axes: dict[str, np.ndarray], variables: dict[str, np.ndarray], attributes: dict[str, dict[str, str]] | None = None, fill: float = -9999.0) -> None:
-    """A CDF-2 file of arrays over all `axes`; missing values are written as `fill`."""
-    attributes = attributes or {}
+def _head(axes: dict[str, np.ndarray], kinds: dict[str, str], attributes: dict[str, dict[str, str]], fill: float) -> tuple[bytes, dict[str, int]]:
+    """The header of a CDF-2 file of variables (name: type) over all `axes`, and
+    where the values of each axis and variable begin."""
     name = lambda s: struct.pack(">i", len(s.encode())) + s.encode() + b"\0" * (-len(s.encode()) % 4)
     tagged = lambda tag, items: struct.pack(">ii", tag if items else 0, len(items)) + b"".join(items)
 
     def text(key: str, value: str) -> bytes:
         return name(key) + struct.pack(">ii", 2, len(value.encode())) + value.encode() + b"\0" * (-len(value.encode()) % 4)
 
-    arrays = {n: (np.asarray(a, ">f8"), [k]) for k, (n, a) in enumerate(axes.items())}
-    arrays |= {n: (np.where(np.isnan(v), fill, v).astype(">f8"), list(range(len(axes)))) for n, v in variables.items()}
-    heads = {}
-    for n, (a, dims) in arrays.items():
-        extra = [name("_FillValue") + struct.pack(">iid", 6, 1, fill)] if n in variables else []
-        listed = tagged(_ATTRIBUTE, extra + [text(k, v) for k, v in attributes.get(n, {}).items()])
-        heads[n] = name(n) + struct.pack(f">i{len(dims)}i", len(dims), *dims) + listed + struct.pack(">ii", _CODES["f8"], min(a.nbytes, 2**31 - 1))
+    cells = int(np.prod([len(a) for a in axes.values()], dtype=np.int64))
+    parts = {n: ("f8", [k], len(a)) for k, (n, a) in enumerate(axes.items())} | {n: (t, list(range(len(axes))), cells) for n, t in kinds.items()}
+    heads, sizes = {}, {}
+    for n, (kind, dims, count) in parts.items():
+        width = np.dtype(kind).itemsize
+        filled = name("_FillValue") + struct.pack(">ii", _CODES[kind], 1) + struct.pack(">d" if kind == "f8" else ">f", fill)
+        listed = tagged(_ATTRIBUTE, ([filled] if n in kinds else []) + [text(k, v) for k, v in attributes.get(n, {}).items()])
+        sizes[n] = count * width + -count * width % 4
+        heads[n] = name(n) + struct.pack(f">i{len(dims)}i", len(dims), *dims) + listed + struct.pack(">ii", _CODES[kind], min(sizes[n], 2**31 - 4))
     start = b"CDF\x02" + struct.pack(">i", 0) + tagged(_DIMENSION, [name(n) + struct.pack(">i", len(a)) for n, a in axes.items()])
     start += tagged(_ATTRIBUTE, [text(k, v) for k, v in attributes.get("", {}).items()])
-    begin = len(start) + 8 + sum(len(h) + 8 for h in heads.values())
-    listed, at = [], begin
-    for n, (a, _) in arrays.items():
-        listed.append(heads[n] + struct.pack(">q", at))
-        at += a.nbytes
+    at, begins, listed = len(start) + 8 + sum(len(h) + 8 for h in heads.values()), {}, []
+    for n, head in heads.items():
+        begins[n] = at
+        listed.append(head + struct.pack(">q", at))
+        at += sizes[n]
+    return start + tagged(_VARIABLE, listed), begins
+
+
+def write_netcdf(path: str, axes: dict[str, np.ndarray], variables: dict[str, np.ndarray], attributes: dict[str, dict[str, str]] | None = None, fill: float = -9999.0) -> None:
+    """A CDF-2 file of arrays over all `axes`; missing values are written as `fill`."""
+    head, begins = _head(axes, {n: "f8" for n in variables}, attributes or {}, fill)
     with open(path, "wb") as f:
-        f.write(start + tagged(_VARIABLE, listed))
-        for a, _ in arrays.values():
-            f.write(a.tobytes())
+        f.write(head)
+        for n, values in [*axes.items(), *variables.items()]:
+            f.seek(begins[n])
+            f.write(np.where(np.isnan(values), fill, values).astype(">f8").tobytes())
+
+
+def write_raster(raster: DataFrame, path: str, variables: list[str], attributes: dict[str, dict[str, str]] | None = None, fill: float = -9999.0) -> None:
+    """Writes a table (time, latitude, longitude, variables) as a CDF-2 file of
+    floats, time in hours since 1970; cells that are not in it are `fill`.
+
+    The axes are collected.  The file is made in its full length beside its
+    final place, each slice is then written at its own offset by the task that
+    has its rows, so a task that runs twice writes the same bytes twice, and the
+    finished file takes its place at the end."""
+    axes = {c: sorted(r[0] for r in raster.select(c).distinct().collect()) for c in ("time", "latitude", "longitude")}
+    hours = (np.array(axes["time"], "datetime64[us]") - np.datetime64("1970-01-01")) / np.timedelta64(1, "h")
+    values = {"time": hours.astype(float), "latitude": np.array(axes["latitude"], float), "longitude": np.array(axes["longitude"], float)}
+    named = {"time": {"units": "hours since 1970-01-01 00:00:00", "calendar": "proleptic_gregorian"}} | (attributes or {})
+    head, begins = _head(values, {v: "f4" for v in variables}, named, fill)
+    cells = len(values["latitude"]) * len(values["longitude"])
+    draft = path + ".part"
+    blank = np.full(cells, fill, ">f4").tobytes()
+    with open(draft, "wb") as f:
+        f.write(head)
+        for n, axis in values.items():
+            f.seek(begins[n])
+            f.write(axis.astype(">f8").tobytes())
+        for v in variables:
+            f.seek(begins[v])
+            for _ in range(len(hours)):
+                f.write(blank)
+    lat, lon, cols = values["latitude"], values["longitude"], len(values["longitude"])
+    places = {t: k for k, t in enumerate(np.array(axes["time"], "datetime64[us]").astype(int).tolist())}
+
+    def put(table: pa.Table) -> pa.Table:
+        k = places[int(table.column("time").cast(pa.timestamp("us")).cast(pa.int64())[0].as_py())]
+        cell = np.searchsorted(lat, table.column("latitude").to_numpy()) * cols + np.searchsorted(lon, table.column("longitude").to_numpy())
+        with open(draft, "r+b") as f:
+            for v in variables:
+                out = np.full(cells, fill, ">f4")
+                given = table.column(v).to_numpy().astype(float)
+                out[cell] = np.where(np.isnan(given), fill, given)
+                f.seek(begins[v] + k * cells * 4)
+                f.write(out.tobytes())
+        return pa.table([pa.array([table.num_rows])], names=["n"])
+
+    rows = raster.select("time", *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")], *[F.col(v).cast("float").alias(v) for v in variables])
+    rows.groupBy("time").applyInArrow(put, "n long").agg(F.sum("n")).collect()
+    Path(draft).replace(path)

@@ -5,8 +5,10 @@ NetCDF classic files have a data source of their own (`netcdf.py`).  Checkpoints
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -16,14 +18,14 @@ from ..operators.spatial import column_alias
 
 #: Names that a variable or coordinate goes by, first match wins.
 ALIASES = {
-    "time": ["time", "valid_time", "date"],
+    "time": ["time", "valid_time", "date", "month"],
     "latitude": ["latitude", "lat", "y"],
     "longitude": ["longitude", "lon", "x"],
-    "level": ["pressure_level", "level", "isobaricInhPa"],
-    "lai": ["lai", "LAI"],
-    "u": ["u", "u_component_of_wind"],
-    "v": ["v", "v_component_of_wind"],
-    "omega": ["w", "omega", "vertical_velocity"],
+    "level": ["pressure_level", "level", "plev", "isobaricInhPa"],
+    "lai": ["lai", "LAI", "Lai", "leaf_area_index"],
+    "u": ["u", "u_component_of_wind", "eastward_wind", "U"],
+    "v": ["v", "v_component_of_wind", "northward_wind", "V"],
+    "omega": ["w", "omega", "vertical_velocity", "lagrangian_tendency_of_air_pressure"],
 }
 
 GRID = ("pixel_id", "latitude", "longitude")
@@ -46,7 +48,7 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return grid(spark.read.csv(path, header=True, inferSchema=False))
 
 
-def read_raster(spark: SparkSession, paths: list[str] | str, variables: list[str], sentinel: float | None = None) -> DataFrame:
+def read_raster(spark: SparkSession, paths: list[str] | str, variables: list[str], sentinel: float | None = None, time_units: str | None = None) -> DataFrame:
     """A gridded field by role names, from one or more parquet tables; missing
     values become null."""
     paths = [paths] if isinstance(paths, str) else paths
@@ -57,19 +59,55 @@ def read_raster(spark: SparkSession, paths: list[str] | str, variables: list[str
     raster = parts[0]
     for more in parts[1:]:
         raster = raster.unionByName(more, allowMissingColumns=True)
-    return as_raster(raster, variables, sentinel)
+    return as_raster(raster, variables, sentinel, time_units)
 
 
-def as_raster(raster: DataFrame, variables: list[str], sentinel: float | None = None) -> DataFrame:
+def as_raster(raster: DataFrame, variables: list[str], sentinel: float | None = None, time_units: str | None = None) -> DataFrame:
     """A gridded field under its role names, floats, missing values null.  A
-    numeric time counts hours since 1970."""
-    roles = ["time", "latitude", "longitude", *variables]
+    pressure level is kept as `level`.  A numeric time counts `time_units`
+    ("hours since 1900-01-01"); without them it is an error, as any epoch would
+    be a guess."""
+    level = next((c for c in ALIASES["level"] if c in raster.columns), None)
+    roles = ["time", "latitude", "longitude", *(["level"] if level else []), *variables]
     out = column_alias(raster, {r: ALIASES[r] for r in roles})
-    if dict(out.dtypes)["time"] == "double":
-        out = out.withColumn("time", F.timestamp_seconds(F.col("time") * 3600).cast("timestamp_ntz"))
+    kind = dict(out.dtypes)["time"]
+    if kind in ("double", "float", "int", "bigint", "smallint") or kind.startswith("decimal"):
+        if time_units is None:
+            raise ValueError("the time is a number; say what it counts, such as time_units='hours since 1970-01-01'")
+        seconds, epoch = cf_time(time_units)
+        micros = F.round(F.col("time") * seconds * 1_000_000).cast("long") + int(epoch.astype("datetime64[us]").astype(int))
+        out = out.withColumn("time", F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(secs=(micros / F.lit(1_000_000)).cast("decimal(18,6)")))
+    else:
+        out = out.withColumn("time", F.col("time").cast("timestamp_ntz"))
     for v in variables:
         out = sentinel_null(out, v, sentinel) if sentinel is not None else out
-    return clean(out.withColumns({v: F.col(v).cast("float") for v in variables}), *variables)
+    places = {c: F.col(c).cast("double") for c in ("latitude", "longitude", *(["level"] if level else []))}
+    return clean(out.withColumns(places | {v: F.col(v).cast("float") for v in variables}), *variables)
+
+
+#: Seconds of the units of a CF time, and the calendars that are the usual one.
+CF_SECONDS = {"day": 86400, "hour": 3600, "hr": 3600, "h": 3600, "minute": 60, "min": 60, "second": 1, "sec": 1, "s": 1, "millisecond": 1e-3, "microsecond": 1e-6}
+CF_CALENDARS = ("standard", "gregorian", "proleptic_gregorian")
+
+
+def cf_time(units: str, calendar: str = "standard") -> tuple[float, np.datetime64]:
+    """(seconds of a unit, epoch) of units such as "days since 1850-01-01 00:00".
+    An epoch with a zone is taken to UTC.  Months, years and other calendars,
+    whose units have no fixed length here, are an error."""
+    found = re.fullmatch(r"\s*(\w+?)s?\s+since\s+(.+?)\s*", units)
+    unit = found[1].lower() if found else ""
+    if unit not in CF_SECONDS or calendar.lower() not in CF_CALENDARS:
+        raise ValueError(f"time in {units!r} of the calendar {calendar!r} cannot be read")
+    parts = re.fullmatch(r"(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}(?:\.\d+)?))?)?\s*(Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?", found[2])
+    if not parts:
+        raise ValueError(f"the epoch of {units!r} cannot be read")
+    y, m, d, hour, minute, second, zone = parts.groups()
+    epoch = np.datetime64(f"{int(y):04}-{int(m):02}-{int(d):02}", "us") + np.timedelta64(round((int(hour or 0) * 3600 + int(minute or 0) * 60 + float(second or 0)) * 1e6), "us")
+    if zone and zone not in ("Z", "UTC"):
+        digits = re.sub(r"\D", "", zone)
+        ahead = int(digits[:2] if len(digits) != 3 else digits[:1]) * 60 + int(digits[-2:] if len(digits) > 2 else 0)
+        epoch -= np.timedelta64((-1 if zone[0] == "-" else 1) * ahead, "m")
+    return CF_SECONDS[unit], epoch
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:

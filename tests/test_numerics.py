@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fluxpanel import cli
 from fluxpanel.functions.tails import chi2_tail, normal_tail
 from fluxpanel.operators import channels as ch
 from fluxpanel.operators import estimation, graph, panel, spatial, trajectory
@@ -58,7 +59,9 @@ def test_reports(spark, demo, tmp_path):
     table = report.summary(spark, demo)
     text = report.as_text(table) + report.fit_lines(demo)
     assert "0.2485" in text and "published" in text
-    assert r"\toprule" in report.as_latex(table, demo)
+    tex = report.as_latex(table, demo)
+    assert all(part in tex for part in (r"\toprule", r"\caption", r"\label", r"\end{table}"))
+    assert "before the sample" in report.fit_lines(demo)
     wide = report.wide_coefficients(report.long_coefficients(spark, demo))
     assert wide.count() == 5 and "season-matched__binary__se" in wide.columns
     same = report.deviations(wide, wide, ["k"]).toPandas()
@@ -150,6 +153,20 @@ def test_shells_on_irregular_lattice(spark):
     assert [r["count"] for r in found] == [588, 904, 992, 976, 1052]
     lone = spark.createDataFrame([(1, 2), (2, 1)], "i long, j long")
     assert graph.shells(lone, 4).count() == 2
+    assert graph.shells(lone.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_searches_and_joins_find_the_same_shells(spark, monkeypatch, symmetric):
+    rng = np.random.default_rng(6)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2)) if a != b}
+    links |= {(b, a) for a, b in links} if symmetric else set()
+    df = spark.createDataFrame([(a * 10**12, b * 10**12) for a, b in links], "i long, j long")
+    found = []
+    for limit in (0, 10**6):
+        monkeypatch.setattr(graph, "LOCAL_LINKS", limit)
+        found.append({(r["i"], r["j"], r["k"]) for r in graph.shells(df, 6).collect()})
+    assert found[0] == found[1] and len({k for _, _, k in found[0]}) > 3
 
 
 def test_smoke_build(spark):
@@ -165,18 +182,151 @@ def test_panel_fill_wind(spark):
     assert filled.count() == t["wind"].count() and filled.filter("u is null").isEmpty()
 
 
+def local_wind(raster):
+    """All snapshots of a raster as one field, as a task would open them."""
+    wind = trajectory.Wind(raster)
+    rows = wind.snapshots.collect()
+    return wind, wind.field(np.array([r["time"] for r in rows], "datetime64[us]"), [bytes(r["field"]) for r in rows])
+
+
+def reached(wind, start, lat, lon, hours):
+    return [(h, a, y, x) for h, at, ys, xs in trajectory.walk(wind, start, np.array(lat), np.array(lon), hours) for a, y, x in zip(at, ys, xs, strict=True)]
+
+
 def test_trajectory_edges(spark):
     t = synthetic.smoke_rasters(spark, months=2, size=5)
-    wind = trajectory.Wind(t["wind"])
+    _, wind = local_wind(t["wind"])
     start = wind.times[1]
-    out = trajectory.walk(wind, start, np.array([-5.5, 10.0]), np.array([-61.5, 0.0]), 10)
-    assert set(out["origin"]) == {0} and out["h"].min() == 0
-    assert trajectory.walk(wind, start, np.array([90.0]), np.array([0.0]), 5).empty
+    out = reached(wind, start, [-5.5, 10.0], [-61.5, 0.0], 10)
+    assert {p[1] for p in out} == {0} and min(p[0] for p in out) == 0
+    assert not reached(wind, start, [90.0], [0.0], 5)
     wind.field[:] = np.nan
-    stopped = trajectory.walk(wind, start, np.array([-5.5]), np.array([-61.5]), 10)
-    assert len(stopped) == 1
-    with pytest.raises(ValueError):
-        trajectory.Wind(t["wind"], limit=10)
+    assert len(reached(wind, start, [-5.5], [-61.5], 10)) == 1
+
+
+def test_blocks_meet_only_the_wind_they_need(spark, monkeypatch):
+    """Points of small blocks equal those of one walk through the whole wind, which changes in space and time."""
+    t = synthetic.smoke_rasters(spark, months=6, size=9)
+    raster = t["wind"].withColumns({"u": F.col("u") * (1 + F.col("latitude") / 20), "v": F.col("longitude") / 40, "omega": F.lit(0.3)})
+    wind, whole = local_wind(raster)
+    grid = t["grid"].filter("pixel_id % 3 = 0")
+    months = raster.select(F.col("time").alias("ts")).distinct()
+    first = min(wind.times)
+    assert len(wind.reached(wind.times[3], 120)) == 2 and wind.reached(first, 120).tolist() == [first.astype(object)]
+    assert wind.reached(wind.times[3], 1).tolist() == [wind.times[3].astype(object)]
+    monkeypatch.setattr(trajectory, "PARCELS", (7, 11))
+    got = {(r["ts"], r["origin"], r["h"]): (r["lat"], r["lon"]) for r in trajectory.back_trajectories(grid, months, wind, 60).collect()}
+    cells = grid.orderBy("pixel_id").toPandas()
+    expected = {}
+    for ts in wind.times:
+        for h, a, y, x in reached(whole, ts, cells["latitude"], cells["longitude"], 60):
+            expected[ts.astype(object), int(cells["pixel_id"][a]), h] = (y, x)
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in expected.items())
+    points = spark.createDataFrame([(k[0], k[1], *v) for k, v in got.items()], "ts timestamp_ntz, origin long, lat double, lon double")
+    edges = {tuple(r) for r in trajectory.circulation(points, t["grid"], 0.25).collect()}
+    assert {tuple(r) for r in trajectory.snapped_circulation(t["grid"], months, wind, 60, 0.25).filter("i % 3 = 0").collect()} == edges and edges
+    holed = t["grid"].filter("pixel_id % 5 <> 0")
+    edges = {tuple(r) for r in trajectory.circulation(points, holed, 0.25).collect()}
+    assert {tuple(r) for r in trajectory.snapped_circulation(holed, months, wind, 60, 0.25).filter("i % 3 = 0").collect()} == {e for e in edges if e[1] % 5}
+    off = t["grid"].withColumn("latitude", F.col("latitude") + F.when(F.col("pixel_id") == 4, 0.1).otherwise(0.0))
+    assert trajectory.snapped_circulation(off, months, wind, 5, 0.25).count() > 0
+
+
+def test_two_values_in_a_cell_are_an_error(spark):
+    t = synthetic.smoke_rasters(spark, months=2, size=3)
+    with pytest.raises(Exception, match="more than one value"):
+        trajectory.Wind(t["wind"].unionByName(t["wind"]))
+    with pytest.raises(ValueError, match="more than one value"):
+        build.build_panel(t["grid"], t["lai"], t["wind"].unionByName(t["wind"]))
+
+
+def levelled(raster, levels, own):
+    """The raster at one of several levels, others far from it."""
+    rows = raster.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
+    return rows.withColumns({c: F.when(F.col("level") == own, F.col(c)).otherwise(99.0) for c in ("u", "v", "omega")})
+
+
+@pytest.mark.parametrize(("levels", "own"), [((70000, 80000), 80000), ((500, 775, 1000), 775)])
+def test_build_takes_one_level(spark, levels, own):
+    t = synthetic.smoke_rasters(spark, months=3, size=9)
+    plain = build.build(t["grid"], t["lai"], t["wind"], 0.25, 24)
+    out = build.build(t["grid"], t["lai"], levelled(t["wind"], levels, own), 0.25, 24)
+    found = build.contract(out, 81, 3)
+    assert all(found.values()), found
+    for name in ("panel", "circulation"):
+        assert out[name].count() == plain[name].count() and out[name].exceptAll(plain[name]).isEmpty()
+
+
+@pytest.mark.parametrize(("units", "seconds", "epoch"), [("hours since 1900-01-01 00:00:0.0", 3600, "1900-01-01"), ("days since 1850-1-1", 86400, "1850-01-01"), ("seconds since 1970-01-01T00:00:00Z", 1, "1970-01-01")])
+def test_build_from_files(spark, tmp_path, units, seconds, epoch):
+    """Fields from NetCDF with the latitudes descending and CF times."""
+    t = synthetic.smoke_rasters(spark, months=3, size=9)
+    plain = build.build(t["grid"], t["lai"], t["wind"], 0.25, 24)
+    for name, variables, called in (("lai", ["lai"], {"lai": "leaf_area_index"}), ("wind", ["u", "v", "omega"], {"u": "eastward_wind", "v": "V", "omega": "lagrangian_tendency_of_air_pressure"})):
+        rows = t[name].toPandas().sort_values(["time", "latitude", "longitude"], ascending=[True, False, True])
+        stamps = (np.sort(rows["time"].unique()).astype("datetime64[s]") - np.datetime64(epoch, "s")).astype(float) / seconds
+        axes = {"valid_time": stamps, "lat": np.sort(rows["latitude"].unique())[::-1], "lon": np.sort(rows["longitude"].unique())}
+        from fluxpanel.sources import netcdf
+
+        netcdf.write_netcdf(str(tmp_path / f"{name}.nc"), axes, {called.get(v, v): rows[v].to_numpy(float).reshape(3, 9, 9) for v in variables}, {"valid_time": {"units": units}})
+    fields = [cli._field(spark, str(tmp_path / f"{n}.nc"), v) for n, v in (("lai", ["lai"]), ("wind", ["u", "v", "omega"]))]
+    out = build.build(t["grid"], *fields, 0.25, 24)
+    assert out["panel"].exceptAll(plain["panel"]).isEmpty() and out["circulation"].exceptAll(plain["circulation"]).isEmpty()
+    assert out["panel"].count() == 81 * 3 and out["circulation"].count() == plain["circulation"].count() > 0
+
+
+def test_times_of_files():
+    day = np.datetime64("2000-01-01", "us")
+    assert readers.cf_time("days since 2000-01-01") == (86400, day)
+    assert readers.cf_time("hr since 2000-01-01 06:30") == (3600, day + np.timedelta64(390, "m"))
+    assert readers.cf_time("minutes since 2000-1-1 01:00:00 +01:00") == (60, day)
+    assert readers.cf_time("seconds since 1999-12-31 20:00 -4") == (1, day)
+    for bad in (("months since 2000-01-01",), ("days since noon",), ("days",), ("days since 2000-01-01", "noleap")):
+        with pytest.raises(ValueError, match="cannot be read"):
+            readers.cf_time(*bad)
+
+
+def test_all_land_stays_as_it_is(spark):
+    """Across the equator and the zero meridian, with leaf area half a cell beside the wind."""
+    cells = readers.lattice(spark, (-0.5, 0.5), (-0.5, 0.5), 0.25)
+    stamp = F.expr("timestamp_ntz'2001-01-01'").alias("time")
+    wind = cells.select(stamp, "latitude", "longitude", (F.col("pixel_id") * 1.0).alias("u"), F.lit(1.0).alias("v"), F.lit(0.0).alias("omega"))
+    lai = readers.lattice(spark, (-0.5, 0.5), (-0.5, 0.5), 0.25, offset=0.5).select(stamp, "latitude", "longitude", F.lit(2.0).alias("lai"))
+    out = build.wind_field(wind, lai)
+    assert out.count() == 25 and out.select(wind.columns).exceptAll(wind).isEmpty()
+    sea = build.wind_field(wind, lai.withColumn("lai", F.when(F.col("longitude") < 0, F.col("lai"))))
+    assert 0 < sea.select(wind.columns).exceptAll(wind).count() <= 10
+
+
+def test_nearest_across_the_date_line(spark):
+    globe = spatial.Lattice(-89.5, 0.5, 1.0, 1.0, 180, 360)
+    rng = np.random.default_rng(4)
+    lat, lon = rng.uniform(-89.9, 89.9, 300), rng.uniform(-180, 360, 300)
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon, strict=True))], "pixel_id long, latitude double, longitude double")
+    got = {r["pixel_id"]: (r["source"], r["degrees"]) for r in spatial.nearest_on_sphere(df, globe).collect()}
+    xyz = lambda a, b: np.stack([np.cos(np.radians(a)) * np.cos(np.radians(b)), np.cos(np.radians(a)) * np.sin(np.radians(b)), np.sin(np.radians(a))], -1)
+    cells = xyz(*np.meshgrid(globe.lat + np.arange(180), globe.lon + np.arange(360), indexing="ij")).reshape(-1, 3)
+    for k in range(300):
+        away = np.linalg.norm(cells - xyz(lat[k], lon[k]), axis=1)
+        assert away[got[k][0]] == pytest.approx(away.min(), abs=1e-11)
+        assert got[k][1] == pytest.approx(np.degrees(2 * np.arcsin(away.min() / 2)), abs=1e-6)
+
+
+def test_domain_on_the_continental_lattice(spark):
+    square = [(0.1, 0.1), (0.1, 1.1), (1.1, 1.1), (1.1, 0.1)]
+    sides = spark.createDataFrame([("p", 0, -60 + a, -3 + b, -60 + c, -3 + d) for (a, b), (c, d) in zip(square, square[1:] + square[:1], strict=True)], "polygon string, ring int, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = {r["pixel_id"]: (r["latitude"], r["longitude"]) for r in build.domain(spark, sides, 0.25).collect()}
+    assert len(got) == 16
+    assert all(k == round((a + 56) / 0.25) * 193 + round((b + 82) / 0.25) for k, (a, b) in got.items())
+
+
+def test_notes_on_the_base_year():
+    paper, season, kept = ch.SPECS
+    assert ch.base_year_note(paper, 2000, 10, 3) == ""
+    assert ch.base_year_note(season, 2000, 10, 3) == "baseline year 2000 left out: 3 of 10 rows (30.00%)"
+    assert "retained: 3 of 10" in ch.base_year_note(kept, 2000, 10, 3)
+    assert "before the sample" in ch.base_year_note(season, 2000, 10, 3, presample=True)
 
 
 def test_gaps_and_baselines(spark):

@@ -35,9 +35,8 @@ def test_matches_sql(spark, duck, name):
     pd.testing.assert_frame_equal(comparable(got), comparable(expected), check_dtype=False, rtol=1e-9, atol=2e-6)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

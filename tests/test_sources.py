@@ -24,7 +24,10 @@ def test_netcdf_round_trip(spark, tmp_path, monkeypatch):
     assert df.columns == ["time", "latitude", "longitude", "lai", "u"]
     got = {(r["time"], r["latitude"], r["longitude"]): r["lai"] for r in df.collect()}
     assert len(got) == 12 and got[744.0, -1.0, 5.0] is None and got[744.0, 1.0, 6.0] == 11.0
-    raster = readers.as_raster(df, ["lai"])
+    with pytest.raises(ValueError, match="what it counts"):
+        readers.as_raster(df, ["lai"])
+    raster = readers.as_raster(df, ["lai"], time_units="hours since 1970-01-01")
+    assert {r["time"].isoformat() for r in raster.select("time").distinct().collect()} == {"1970-01-01T00:00:00", "1970-02-01T00:00:00"}
     assert dict(raster.dtypes)["time"] == "timestamp_ntz" and raster.filter("lai is null").count() == 1
 
 
@@ -55,6 +58,53 @@ def test_netcdf_errors(spark, tmp_path):
         netcdf.read_netcdf(spark, str(tmp_path / "x.nc"))
 
 
+def test_netcdf_header_of_any_length(spark, tmp_path):
+    path = str(tmp_path / "long.nc")
+    axes = {"time": np.array([0.0]), "latitude": np.array([1.0]), "longitude": np.array([2.0])}
+    netcdf.write_netcdf(path, axes, {"lai": np.ones((1, 1, 1))}, {"": {"history": "h" * 3_000_000}, "time": {"units": "days since 2001-01-01"}})
+    row = netcdf.read_netcdf(spark, path).first()
+    assert row["time"].isoformat() == "2001-01-01T00:00:00" and row["lai"] == 1.0
+    (tmp_path / "cut.nc").write_bytes((tmp_path / "long.nc").read_bytes()[:50])
+    with pytest.raises(ValueError):
+        netcdf.read_header(str(tmp_path / "cut.nc"))
+
+
+def test_raster_round_trip(spark, tmp_path):
+    """A table with gaps, written slice by slice, reads back the same."""
+    rows = spark.sql("select timestamp_ntz'2001-01-01' + make_interval(0, cast(t as int)) time, y * 0.25 latitude, x * 0.25D longitude, cast(t * 100 + y * 10 + x as float) u, cast(if(x = 2, null, t) as float) v from (select explode(sequence(0, 3)) t), (select explode(sequence(-2, 2)) y), (select explode(sequence(0, 3)) x) where not (t = 1 and y = 0)")
+    rows = rows.withColumn("latitude", F.col("latitude").cast("double")).repartition(3)
+    path = str(tmp_path / "out.nc")
+    netcdf.write_raster(rows, path, ["u", "v"], {"": {"aggregation": "none"}, "u": {"units": "m s-1"}})
+    assert netcdf.read_header(path).attributes == {"aggregation": "none"}
+    back = readers.as_raster(netcdf.read_netcdf(spark, path), ["u", "v"])
+    assert back.count() == 4 * 5 * 4
+    assert back.filter("u is not null").exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+
+
+def test_fetch(spark, tmp_path, capsys):
+    from fluxpanel import cli
+
+    daily = spark.sql("select timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, cast(id as int)) time, 0.05 * (id % 5) + 0.025 latitude, 0.025D longitude, 1000D + id lai from range(40)")
+    daily.withColumn("latitude", F.col("latitude").cast("double")).write.parquet(str(tmp_path / "daily"))
+    hourly = spark.sql("select timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, 0, cast(id as int)) time, 0D latitude, 0D longitude, explode(array(70000D, 80000D)) level, cast(id as double) u, 0D v, 0D w from range(1000)")
+    hourly.write.parquet(str(tmp_path / "hourly"))
+    args = ["--fetch-raw", "--what", "both", "--lai-raw", str(tmp_path / "daily"), "--wind-raw", str(tmp_path / "hourly"), "--lai-out", str(tmp_path / "l.nc"), "--wind-out", str(tmp_path / "w.nc"), "--cache", str(tmp_path / "cache"), "--start-year", "2001", "--end-year", "2001"]
+    for _ in range(2):
+        assert cli.main(args) == 0
+        assert "without 10 months" in capsys.readouterr().out
+    wind = {r["time"].month: r["u"] for r in readers.as_raster(netcdf.read_netcdf(spark, str(tmp_path / "w.nc")), ["u"]).collect()}
+    assert wind == {1: np.float32(np.mean(range(744))), 2: np.float32(np.mean(range(744, 1000)))}
+    lai = readers.as_raster(netcdf.read_netcdf(spark, str(tmp_path / "l.nc")), ["lai"])
+    assert lai.count() == 2 and lai.filter("month(time) = 1").first()["lai"] == pytest.approx(1.015, abs=1e-6)
+    assert cli.main([*args[:-1], "2014"]) == 2
+
+
+def test_specifications_by_name():
+    from fluxpanel import cli
+
+    assert [len(cli._chosen(n)) for n in ("all", "both", "season-matched")] == [3, 3, 1]
+
+
 def test_months(spark, tmp_path):
     assert len(months.month_starts(2000, 2001)) == 24 and len(months.days_of(date(2000, 2, 1))) == 29
     raw = spark.sql("select timestamp_ntz'2001-01-05' + make_interval(0, 0, 0, cast(id as int)) time, 0.05 * (id % 5) + 0.025 latitude, 0.025 longitude, case when id = 3 then -9999 else 1000 + id end lai from range(40)")
