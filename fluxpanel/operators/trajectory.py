@@ -35,28 +35,42 @@ class Field:
     def __init__(self, times: np.ndarray, lats: np.ndarray, lons: np.ndarray, field: np.ndarray):
         self.times, self.lats, self.lons, self.field = times, lats, lons, field
 
-    def snapshot(self, k: int, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """Bilinear, NaN outside; a missing corner without weight does no harm."""
-        i = np.clip(np.searchsorted(self.lats, lat, side="right") - 1, 0, max(len(self.lats) - 2, 0))
-        j = np.clip(np.searchsorted(self.lons, lon, side="right") - 1, 0, max(len(self.lons) - 2, 0))
-        i1, j1 = np.minimum(i + 1, len(self.lats) - 1), np.minimum(j + 1, len(self.lons) - 1)
-        a = np.where(i1 > i, (lat - self.lats[i]) / np.where(i1 > i, self.lats[i1] - self.lats[i], 1), 0)
-        b = np.where(j1 > j, (lon - self.lons[j]) / np.where(j1 > j, self.lons[j1] - self.lons[j], 1), 0)
-        out = np.zeros((len(lat), 3))
-        for row, col, w in ((i, j, (1 - a) * (1 - b)), (i, j1, (1 - a) * b), (i1, j, a * (1 - b)), (i1, j1, a * b)):
-            out += np.where(w[:, None] != 0, w[:, None] * self.field[k, row, col], 0)
-        outside = (lat < self.lats[0]) | (lat > self.lats[-1]) | (lon < self.lons[0]) | (lon > self.lons[-1])
-        out[outside] = np.nan
+    def _corners(self, lat: np.ndarray, lon: np.ndarray):
+        """Places of the four cells around each point, and their weights."""
+        out = []
+        for axis, value in ((self.lats, lat), (self.lons, lon)):
+            last = len(axis) - 1
+            step = (axis[-1] - axis[0]) / last if last else 1.0
+            part = (value - axis[0]) / step
+            low = np.clip(np.floor(part).astype(np.int64), 0, max(last - 1, 0))
+            out.append((low, np.minimum(low + 1, last), part - low if last else np.zeros(len(value))))
+        (i, i1, a), (j, j1, b) = out
+        n = len(self.lons)
+        return [(i * n + j, (1 - a) * (1 - b)), (i * n + j1, (1 - a) * b), (i1 * n + j, a * (1 - b)), (i1 * n + j1, a * b)]
+
+    def _mixed(self, k: int, corners) -> np.ndarray:
+        """A snapshot's values; a missing corner without weight does no harm."""
+        held = self.field[k].reshape(-1, self.field.shape[-1])
+        out = sum(held[at] * w[:, None] for at, w in corners)
+        lost = np.flatnonzero(np.isnan(out).any(1))
+        if len(lost):
+            out[lost] = sum(np.where(w[lost, None] != 0, held[at[lost]] * w[lost, None], 0) for at, w in corners)
         return out
 
     def at(self, moment: np.datetime64, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """Linear between the stamps around the moment, constant beyond the ends."""
+        """Bilinear in space, NaN outside; linear between the stamps around the
+        moment, constant beyond the ends."""
+        corners = self._corners(lat, lon)
         k = int(np.searchsorted(self.times, moment, side="right"))
         if k == 0 or k == len(self.times):
-            return self.snapshot(0 if k == 0 else k - 1, lat, lon)
-        late = (moment - self.times[k - 1]) / (self.times[k] - self.times[k - 1])
-        early = self.snapshot(k - 1, lat, lon)
-        return early if late == 0 else (1 - late) * early + late * self.snapshot(k, lat, lon)
+            out = self._mixed(0 if k == 0 else k - 1, corners)
+        else:
+            late = (moment - self.times[k - 1]) / (self.times[k] - self.times[k - 1])
+            out = self._mixed(k - 1, corners)
+            if late:
+                out = (1 - late) * out + late * self._mixed(k, corners)
+        out[(lat < self.lats[0]) | (lat > self.lats[-1]) | (lon < self.lons[0]) | (lon > self.lons[-1])] = np.nan
+        return out
 
 
 def walk(wind: Field, moment: np.datetime64, lat: np.ndarray, lon: np.ndarray, hours: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,7 +129,7 @@ class Wind:
     def field(self, times: np.ndarray, blobs: list[bytes]) -> Field:
         shape = (self.lattice.rows, self.lattice.cols, len(_FIELDS))
         order = np.argsort(times)
-        return Field(times[order], *self.axes, np.stack([np.frombuffer(blobs[k], np.float32).reshape(shape) for k in order]))
+        return Field(times[order], *self.axes, np.stack([np.frombuffer(blobs[k], np.float32).astype(float).reshape(shape) for k in order]))
 
     def reached(self, moment: np.datetime64, hours: int) -> np.ndarray:
         """The stamps whose snapshots a walk of so many hours may need."""
@@ -193,13 +207,13 @@ class Domain:
         i, j = (np.floor((v - a) / d + 1e-9).astype(np.int64) for v, a, d in ((lat, n.lat, n.dlat), (lon, n.lon, n.dlon)))
         best, out = np.full(len(lat), np.inf), np.full(len(lat), -1, np.int64)
         for a in (0, 1):
+            r, y = i + a, lat - (n.lat + (i + a) * n.dlat)
             for b in (0, 1):
-                r, c = i + a, j + b
-                ok = (r >= 0) & (r < n.rows) & (c >= 0) & (c < n.cols)
-                ok[ok] = self.held[r[ok], c[ok]]
-                away = np.hypot(lat - (n.lat + r * n.dlat), lon - (n.lon + c * n.dlon))
-                ok &= (away <= reach) & (away < best - 1e-12)
-                best[ok], out[ok] = away[ok], (r * n.cols + c)[ok]
+                c, x = j + b, lon - (n.lon + (j + b) * n.dlon)
+                away = np.sqrt(y * y + x * x)
+                near = np.flatnonzero((away <= reach) & (away < best - 1e-12) & (r >= 0) & (r < n.rows) & (c >= 0) & (c < n.cols))
+                near = near[self.held[r[near], c[near]]]
+                best[near], out[near] = away[near], r[near] * n.cols + c[near]
         return out
 
 
@@ -230,10 +244,13 @@ def snapped_circulation(grid: DataFrame, months: DataFrame, wind: Wind, hours: i
         if not starts.num_rows or not fields.num_rows:
             return schema.empty_table()
         moment, ids, lat, lon, field = _opened(own, starts, fields)
-        domain, codes = Domain(lattice, mask), np.zeros(0, np.int64)
+        domain, met, last = Domain(lattice, mask), [], np.full(len(ids), -1, np.int64)
         for _, a, y, x in walk(field, moment, lat, lon, hours):
             cell = domain.nearest(y, x, reach)
-            codes = np.union1d(codes, a[cell >= 0] * size + cell[cell >= 0])
+            fresh = (cell >= 0) & (cell != last[a])
+            met.append(a[fresh] * size + cell[fresh])
+            last[a] = cell
+        codes = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
         return pa.table([pa.array(np.full(len(codes), moment)), pa.array(ids[codes // size]), pa.array(codes % size)], schema=schema)
 
     met = _blocks(grid, months, wind, hours, PARCELS[1]).applyInArrow(pairs, "ts timestamp_ntz, i long, cell long")
