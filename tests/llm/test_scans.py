@@ -64,6 +64,48 @@ def test_slices_and_spans(spark, docs, texts, benchmark):
         assert hit == r["n_hit"]
 
 
+def test_automaton_matches_windows():
+    """Against a set of windows, with items of every length and pieces of texts that cut through them."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}".encode() for k in range(6)]
+    items = [(f"i{k}", [rng.choice(vocabulary) for _ in range(rng.choice((0, 1, 2, 3, 5, 9, 14)))]) for k in range(12)]
+    items = [(n, w) for n, w in items if len(w) != 1] + [("twice", items[-1][1])]
+    wins = {}
+    for name, w in items:
+        for k in range(max(1, len(w) - 3)) if w else ():
+            wins.setdefault(tuple(w[k : k + 4]), set()).add(name)
+    built = decontaminate.Automaton.of(items, 4)
+    texts = [[rng.choice([*vocabulary, b"other"]) for _ in range(rng.choice((0, 1, 7, 64, 65, 300)))] for _ in range(40)]
+    hit, first, found = built.scan(texts)
+    for k, t in enumerate(texts):
+        marks, names = [False] * len(t), set()
+        for n in {len(w) for w in wins}:
+            for a in range(len(t) - n + 1):
+                if tuple(t[a : a + n]) in wins:
+                    marks[a : a + n] = [True] * n
+                    names |= wins[tuple(t[a : a + n])]
+        assert hit[first[k] : first[k] + len(t)].tolist() == marks and found[k] == sorted(names)
+    assert decontaminate.Automaton.of([("none", [])], 4) is None
+
+
+def test_memory_of_the_automaton():
+    """Distinct words only: the most states that a text can make."""
+    items = [(str(k), [b"%d" % (300 * k + j) for j in range(300)]) for k in range(400)]
+    built = decontaminate.Automaton.of(items, 13)
+    size = sum(v.nbytes for v in (built.keys, built.fail, built.ends, built.windows, built.first, built.owners))
+    assert size < 40 * sum(len(w) + 1 for _, found in items for w in found)
+
+
+def test_null_item_ids_and_long_texts(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    bench = spark.createDataFrame([(None, item), (None, "other words"), ("x", None)], "item_id string, text string")
+    long = "plain " * 900_000 + item + " plain" * 5
+    rows = {r["doc_id"]: r for r in decontaminate.contamination(spark.createDataFrame([(1, long), (2, "OTHER, words!")], "doc_id long, text string"), bench).collect()}
+    assert rows[1]["n_hit"] == 20 and not rows[1]["contaminated"] and rows[1]["items"] == [""]
+    assert [long[s["start"] : s["end"]] for s in rows[1]["spans"]] == [item]
+    assert rows[2]["contaminated"] and rows[2]["n_words"] == 2
+
+
 def test_decontamination_of_nothing(spark, docs, nothing):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert not any(r[4] for r in digest(docs, bench).values())
