@@ -3,22 +3,25 @@
 A document's set of word shingles is summed up in REGISTERS registers: per
 register the least of exponentially distributed hashes, kept as a truncated
 logarithm to the base BASE (Ertl, SetSketch).  Registers of a union are the
-larger ones; equal registers mean similar sets.  Runs of BAND registers are
-the buckets of a locality-sensitive search; the chance to miss a pair at the
-threshold of 0.85 is below one in a million.  A pair met there is estimated
-from all registers and both set sizes by maximum likelihood, dropped only if
-the threshold is out of reach, and then confirmed on the full sets.
+larger ones; equal registers mean similar sets.  Runs of registers are the
+buckets of a locality-sensitive search, as long as leaves the chance to miss a
+pair at the threshold below MISSED.  A pair met there is estimated from all
+registers and both set sizes by maximum likelihood, dropped only if the threshold
+is out of reach, and then confirmed on the full sets.
 
 Plan:
-1. sketch every document; documents with equal sets become one node;
-2. compare the members of each bucket with its smallest member only (a star),
-   so a bucket of any size costs one pair a member;
-3. components of the confirmed links, and of all pairs met (groups);
-4. in groups that are still in several components, members outside the largest
-   component are compared with the rest: in cells of bounded size, where a pair
-   already connected is skipped and only new links come out;
-5. components of the links between components.
-No step lists the pairs of a group.
+1. sketch every document; documents with equal sets become one node, and nodes
+   that share a doc_id are linked;
+2. compare the members of each bucket with its smallest member (a star), so a
+   bucket of any size costs one pair a member;
+3. buckets of three or more that still hold several components get further
+   stars, LEADS at a time, around members picked by hash: a round costs LEADS
+   pairs a member, and joins what one centre missed;
+4. buckets that hold several components even then are finished exactly: members
+   outside the bucket's largest component meet all others, in cells of bounded
+   rows and bytes, where a pair is taken in the first band that it shares, one
+   already connected is skipped, and only new links come out.
+Components grow from round to round.  No step lists the pairs of a group.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from .textkit import words_of
 #: Words of a shingle and the percentage of shingles shared, by this query's rule.
 SHINGLE, PERCENT = 3, 85
 
-REGISTERS, BAND = 192, 6
-BANDS = REGISTERS // BAND
+#: Registers, and the chance to miss a pair at the threshold, at most.
+REGISTERS, MISSED = 192, 1e-6
 
 #: Of the registers: base and rate of the exponentially spaced values, their limit.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
@@ -47,14 +50,24 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: this far below the maximum (5.5 standard deviations).
 UNREACHED = 15.0
 
-#: Bytes of shingle sets on either side of a cell.
-CELL_BYTES = 1 << 20
+#: Centres of a further star of a bucket, and rounds of such stars at most.
+LEADS, ROUNDS = 4, 3
+
+#: Members, and bytes of shingle sets, on either side of a cell.
+CELL_ROWS, CELL_BYTES = 256, 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _SLOPES = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFTS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 
 
+def band_of(percent: int) -> int:
+    """Registers of a band: the most with which a pair at the threshold is missed
+    with a chance of MISSED at most (one register, if none does)."""
+    fits = [b for b in range(1, 17) if (1 - (percent / 100) ** b) ** (REGISTERS // b) <= MISSED]
+    return max(fits, default=1)
+
+
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of one with fewer words
     than `width`, the whole sequence; none without words."""
@@ -131,26 +144,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sketched(batches, width):
+def _sketched(batches, width, keep_sets):
+    """doc_id, n_shingles, mark and registers of each row, and on demand the set."""
     for batch in batches:
         sets = shingle_sets(blobs(batch, "text"), width)
         full = [s for s in sets if len(s)]
         rows = iter(sketches(full)) if full else iter(())
         regs = [next(rows).tobytes() if len(s) else None for s in sets]
         marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "mark", "registers"],
-        )
-
-
-def _with_sets(batches, width):
-    for batch in batches:
-        sets = shingle_sets(blobs(batch, "text"), width)
-        full = [s for s in sets if len(s)]
-        rows = iter(sketches(full)) if full else iter(())
-        regs = [next(rows).tobytes() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(regs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "registers", "shingles"])
+        cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(regs, pa.binary())]
+        if keep_sets:
+            cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "mark", "registers", "shingles"][: len(cols)])
 
 
 def _registers(column) -> np.ndarray:
@@ -170,12 +175,15 @@ def _confirmed(batches, percent):
         yield pa.RecordBatch.from_arrays([col("u").take(pa.array(ok, pa.int64())), col("v").take(pa.array(ok, pa.int64()))], ["u", "v"])
 
 
-def _cell(percent):
+def _cell(percent, band):
+    """Links between components, of the buckets in a cell."""
+
     def links(table: pa.Table) -> pa.Table:
-        outside = np.array(table.column("outside").to_pylist(), bool)
-        own = np.array(table.column("component").to_pylist(), np.int64)
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        col = lambda name: table.column(name).to_pylist()
+        outside, own, bucket, place = (np.array(col(n)) for n in ("outside", "component", "bucket", "band"))
+        sets = [np.frombuffer(s, np.uint64) for s in col("shingles")]
         sizes, regs = np.array([len(s) for s in sets]), _registers(table.column("registers"))
+        bands = regs[:, : REGISTERS // band * band].reshape(len(regs), -1, band)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -186,21 +194,23 @@ def _cell(percent):
 
         out = []
         inner = np.flatnonzero(~outside)
-        bands = regs.reshape(-1, BANDS, BAND)
+        inner = inner[np.argsort(bucket[inner], kind="stable")]
+        sorted_buckets = bucket[inner]
         for o in np.flatnonzero(outside).tolist():
-            top = find(int(own[o]))
-            rest = inner[np.array([find(c) != top for c in own[inner].tolist()], bool)] if len(inner) else inner
+            a, b = np.searchsorted(sorted_buckets, bucket[o]), np.searchsorted(sorted_buckets, bucket[o], side="right")
+            rest, top = inner[a:b], find(int(own[o]))
+            rest = rest[np.array([find(c) != top for c in own[rest].tolist()], bool)] if len(rest) else rest
             rest = rest[100 * np.minimum(sizes[rest], sizes[o]) >= percent * np.maximum(sizes[rest], sizes[o])]
-            # Candidates share a band, as anywhere else.
-            rest = rest[(bands[rest] == bands[o]).all(2).any(1)] if len(rest) else rest
+            # A pair is taken in the first band that it shares.
+            rest = rest[(bands[rest] == bands[o]).all(2).argmax(1) == place[o]] if len(rest) else rest
             if not len(rest):
                 continue
             rest = rest[reachable(regs[rest], regs[o][None], sizes[rest], sizes[o][None], percent)]
             rest = rest[np.argsort(-(regs[rest] == regs[o]).sum(1), kind="stable")]
             for m in rest.tolist():
-                a, b = find(int(own[o])), find(int(own[m]))
-                if a != b and linked(sets[o], sets[m], percent):
-                    root[max(a, b)] = min(a, b)
+                x, y = find(int(own[o])), find(int(own[m]))
+                if x != y and linked(sets[o], sets[m], percent):
+                    root[max(x, y)] = min(x, y)
                     out.append((int(own[o]), int(own[m])))
         cols = list(zip(*out, strict=True)) if out else [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
@@ -208,58 +218,131 @@ def _cell(percent):
     return links
 
 
-def _across_components(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components, of nodes (node, component, group,
-    registers, shingles): in each group with several components, all outside
-    the largest against all others, in cells of two blocks."""
+def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with the component of their node, alone by default, and its size."""
+    sized = found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    return members.join(sized, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """(bucket, n, n_out, largest) of the buckets that hold several components.  Of
+    two members the star has compared the only pair."""
+    largest = F.max_by("component", F.struct("size", "component"))
+    per = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), largest.alias("largest"))
+    return per.filter("n > 2 and lo < hi").select("bucket", "n", "largest")
+
+
+def _across(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, band: int) -> DataFrame:
+    """Links (u, v) between components, of the members of unsettled buckets."""
+    inside = members.join(open_, "bucket").join(sets.select("node", "registers", "shingles"), "node").withColumn("outside", F.col("component") != F.col("largest"))
     size = F.octet_length("shingles").cast("long")
-    parts = nodes.groupBy("group", "component").agg(F.sum(size).alias("bytes"))
-    groups = parts.groupBy("group").agg(F.max_by("component", F.struct("bytes", "component")).alias("largest"), F.max("bytes").alias("most"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter("n > 1").select("group", "largest", F.ceil(F.col("bytes") / CELL_BYTES).cast("int").alias("all_blocks"), F.ceil((F.col("bytes") - F.col("most")) / CELL_BYTES).cast("int").alias("out_blocks"))
-    groups = materialise(groups)
-    inside = nodes.join(small_side(groups, groups.count()), "group")
-    own = ["group", "component", "registers", "shingles"]
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / CELL_ROWS), F.ceil(size / CELL_BYTES)).cast("int")
+    per = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.count_if("outside").alias("n_out"), F.sum(F.when(F.col("outside"), size)).alias("bytes_out"))
+    per = materialise(per.select("bucket", blocks(F.col("n"), F.col("bytes")).alias("all_blocks"), blocks(F.col("n_out"), F.col("bytes_out")).alias("out_blocks"), "n"))
+    # Buckets of one cell share cells, by hash, so that a cell is worth its call.
+    one = F.expr("all_blocks = 1 and out_blocks = 1")
+    small = per.filter(one).agg(F.sum("n")).first()[0] or 0
+    per = per.withColumn("pack", F.when(one, F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-small // CELL_ROWS))))).otherwise(F.col("bucket"))).withColumn("single", one).drop("n")
+    inside = inside.join(small_side(per, per.count()), "bucket")
+    own = ["single", "pack", "bucket", "band", "component", "registers", "shingles"]
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = inside.select(*own, F.lit(False).alias("outside"), spread_over("out_blocks").alias("i"), place("all_blocks").alias("j"))
-    outsiders = inside.filter("component <> largest").select(*own, F.lit(True).alias("outside"), place("out_blocks").alias("i"), spread_over("all_blocks").alias("j"))
-    return members.unionByName(outsiders).groupBy("group", "i", "j").applyInArrow(_cell(percent), "u long, v long")
+    all_ = inside.select(*own, F.lit(False).alias("outside"), spread_over("out_blocks").alias("i"), place("all_blocks").alias("j"))
+    out = inside.filter("outside").select(*own, "outside", place("out_blocks").alias("i"), spread_over("all_blocks").alias("j"))
+    return all_.unionByName(out).groupBy("single", "pack", "i", "j").applyInArrow(_cell(percent, band), "u long, v long")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (u, v) between nodes: components of links
+    between components, taken over by their members."""
+    label = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    between = links.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    more = materialise(components(between).select(F.col("node").alias("component"), F.col("component").alias("final")))
+    old = found.join(more, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    new = more.select(F.col("component").alias("node"), F.col("final").alias("component")).join(found, "node", "left_anti")
+    out = materialise(old.unionByName(new))
+    discard(found, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
-    Documents without words are linked with nothing.  Rows with equal doc_id
-    count as one document; a null doc_id is linked with nothing, its component
-    is null and it is kept.  Other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialise(map_batches(docs, lambda b: _sketched(b, width), "doc_id long, n_shingles long, mark binary, registers binary"))
-    nodes = sketched.filter("mark is not null and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"))
-    nodes = materialise(nodes)
-
-    band = [F.struct(F.xxhash64(F.substring("registers", 2 * BAND * k + 1, 2 * BAND), F.lit(k)).alias("bucket")) for k in range(BANDS)]
-    met = nodes.select("node", F.explode(F.array(*band)).alias("b")).select("node", "b.bucket")
-    buckets = met.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).filter("lead < most").select("bucket", "lead")
-    star = materialise(met.join(buckets, "bucket").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
-
-    wanted = materialise(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct())
-    found = docs.join(small_side(wanted, wanted.count()), "doc_id", "left_semi")
-    sets = materialise(map_batches(found, lambda b: _with_sets(b, width), "node long, registers binary, shingles binary").filter("registers is not null"))
+    Rows with equal doc_id are one document: what any of their texts is linked
+    with is linked, and they have one component.  A row without words is linked
+    with nothing, whatever else stands under its id.  A null doc_id is linked with
+    nothing, its component is null and it is kept.  Ids may be of any type that can be compared; component_id is
+    the smallest of its component.  Other columns are ignored."""
+    band = band_of(percent)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text")
+    schema = f"doc_id {kind}, n_shingles long, mark binary, registers binary"
+    sketched = materialise(map_batches(docs, lambda b: _sketched(b, width, False), schema))
+    marked = sketched.filter("mark is not null and doc_id is not null")
+    nodes = marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    owners = materialise(marked.select("doc_id", "n_shingles", "mark").join(nodes.select("mark", "node", "least"), "mark").select("doc_id", "n_shingles", "node", "least"))
+    # Different texts of one doc_id: all their nodes are linked with the first.
+    several = owners.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v").select("doc_id", "u")
+    several = materialise(several)
+    same = owners.join(small_side(several, several.count()), "doc_id").filter("u < node").select("u", F.col("node").alias("v")).distinct()
+
+    key = lambda k: F.struct(F.xxhash64(F.substring("registers", 2 * band * k + 1, 2 * band), F.lit(k)).alias("bucket"), F.lit(k).alias("band"))
+    met = nodes.select("node", F.explode(F.array(*[key(k) for k in range(REGISTERS // band)])).alias("b")).select("node", "b.bucket", "b.band")
+    crowded = met.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).filter("lead < most").select("bucket", "lead")
+    members = materialise(met.join(crowded, "bucket"))
+    star = materialise(members.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
+
+    wanted = materialise(members.select("node").distinct().join(nodes.select("node", "mark", "least"), "node"))
+    n_wanted = wanted.count()
+    asked = wanted.select(F.col("least").alias("doc_id")).distinct()
+    again = map_batches(docs.join(small_side(asked, n_wanted), "doc_id", "left_semi"), lambda b: _sketched(b, width, True), schema + ", shingles binary")
+    sets = materialise(again.select("mark", "registers", "shingles", "doc_id").join(small_side(wanted, n_wanted, 100_000), "mark").filter("doc_id = least").select("node", "registers", "shingles"))
+    if sets.count() > n_wanted:  # a text stands twice under its id
+        held, sets = sets, materialise(sets.groupBy("node").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles")))
+        discard(held)
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("registers").alias(f"reg_{k}"), F.col("shingles").alias(f"set_{k}"))
-    pairs = star.join(side("v"), "v").join(side("u"), "u")
-    links = materialise(map_batches(pairs, lambda b: _confirmed(b, percent), "u long, v long"))
-
-    both = components(star.withColumn("kind", F.lit(0)).unionByName(links.withColumn("kind", F.lit(1))), ["kind"])
-    groups = both.filter("kind = 0").select("node", F.col("component").alias("group"))
-    own = both.filter("kind = 1").select("node", "component")
-    placed = materialise(groups.join(own, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component")))
-    more = components(_across_components(sets.join(placed, "node"), percent))
-    discard(star, wanted, sets, links)
-    more = more.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    final = placed.join(more, "component", "left").select("node", F.coalesce("final", "component").alias("component_id"))
-
-    members = sketched.select("doc_id", "n_shingles", "mark")
-    out = members.join(nodes.select("mark", "node"), "mark", "left").join(final, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "node", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return materialise(map_batches(pairs.join(side("v"), "v").join(side("u"), "u"), lambda b: _confirmed(b, percent), "u long, v long"))
+
+    links = confirmed(star)
+    found = materialise(components(links.unionByName(same)))
+    discard(links, star, several)
+    spent = [members, wanted, sets]
+    fresh = True
+    for turn in range(ROUNDS + 1):
+        now = _with_components(members, found)
+        open_ = materialise(_unsettled(now))
+        n_open, most = open_.agg(F.count(F.lit(1)), F.max("n")).first()
+        if not n_open:
+            discard(open_)
+            break
+        narrowed = materialise(now.join(small_side(open_, n_open), "bucket", "left_semi"))
+        spent.append(narrowed)
+        # Further stars are for buckets beyond a cell, as long as they join anything.
+        if turn == ROUNDS or most <= CELL_ROWS or not fresh:
+            links = materialise(_across(narrowed, open_, sets, percent, band))
+            found = _merged(found, links)
+            discard(open_, links)
+            break
+        pick = lambda q: F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADS + q)).alias("h"), "node", "component"))  # noqa: E731, B023
+        large = narrowed.join(small_side(open_.filter(F.col("n") > CELL_ROWS), n_open), "bucket", "left_semi")
+        leads = large.groupBy("bucket").agg(F.array_distinct(F.array(*[pick(q) for q in range(LEADS)])).alias("leads")).select("bucket", F.explode("leads").alias("l"))
+        leads = leads.select("bucket", F.col("l.node").alias("lead"), F.col("l.component").alias("own"))
+        pairs = large.join(leads, "bucket").filter("component <> own").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
+        pairs = materialise(pairs)
+        links = confirmed(pairs)
+        fresh = not links.isEmpty()
+        if fresh:
+            found = _merged(found, links)
+        members = narrowed.select("bucket", "band", "node")
+        discard(open_, links, pairs)
+    discard(*spent)
+
+    final = found.join(nodes.select("node", "least"), "node")
+    final = final.join(final.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    out = owners.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
+    alone = sketched.filter("mark is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

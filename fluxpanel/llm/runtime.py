@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 
 from ..tables import discard, materialise, shared_folder, small_side
 
-#: Rows of an Arrow batch.  A row may hold a whole document, so the default of
-#: 10,000 rows could be gigabytes.
+#: Rows, and bytes of text, that an operator takes at a time.  Arrow batches hold
+#: more (64 MB, by spark.sql.execution.arrow.maxBytesPerBatch) and are sliced here,
+#: so nothing depends on settings of the session that a later action may not find.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 
 
@@ -22,23 +23,23 @@ __all__ = ["blobs", "discard", "fields", "map_batches", "materialise", "shared_f
 
 
 def map_batches(df: DataFrame, f, schema: str | StructType) -> DataFrame:
-    """`df.mapInArrow`, with batches of at most BATCH_ROWS rows and, where there
-    is a text, BATCH_BYTES of text (or one row)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """`df.mapInArrow`, in batches of at most BATCH_ROWS rows and, where there is a
+    text, BATCH_BYTES of text (or one row)."""
     return df.mapInArrow(lambda batches: f(_slices(batches)), schema)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = batch.schema.get_field_index("text")
-        if place < 0 or batch.num_rows < 2:
-            yield batch
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+        part = np.arange(batch.num_rows) // BATCH_ROWS
+        if place >= 0:
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+            part = part + text
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield batch.slice(a, b - a)
+            if b > a or not batch.num_rows:
+                yield batch.slice(a, b - a)
 
 
 def fields(df: DataFrame, names: list[str], more: str) -> str:

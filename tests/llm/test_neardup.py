@@ -59,6 +59,55 @@ def test_odd_rows(spark, nothing):
     assert got == sorted([(None, None, True), (7, 7, True), (7, 7, True), (9, 7, False), (4, 4, True)], key=str)
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows_ = [(5, a), (7, a), (7, b), (9, b), (11, c), (12, c), (12, None), (13, b), (13, b), (-3, c)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    assert found == sorted([(5, 28, 5, True), (7, 28, 5, False), (7, 28, 5, False), (9, 28, 5, False), (13, 28, 5, False), (13, 28, 5, False), (11, 28, -3, False), (12, 28, -3, False), (12, 0, 12, True), (-3, 28, -3, True)])
+    named = spark.createDataFrame([("x1", a), ("w", a), (None, a), ("y", c)], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(named).collect()} == {"x1": "w", "w": "w", None: None, "y": "y"}
+
+
+@pytest.mark.parametrize(("rounds", "size"), [(0, 64), (3, 256)])
+def test_a_chain_of_five_thousand(spark, monkeypatch, rounds, size):
+    """Each text is linked with a few before and after it only, so no centre reaches far; once by cells alone."""
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "CELL_ROWS", size)
+    n, width = 5000, 80
+    words = [f"w{k}" for k in range(n + width)]
+    texts = {k: " ".join(words[k : k + width]) for k in range(n) if k % 1000 != 999}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    sets = width - 2
+    # Texts k apart share 78 - k of 78 + k shingles: up to 6 apart they are linked, so the gaps of one text are bridged.
+    assert 100 * (sets - 6) >= 85 * (sets + 6) > 100 * (sets - 7) - 85
+    assert set(got.values()) == {0}
+
+
+def test_bands():
+    assert neardup.band_of(85) == 6 and neardup.band_of(80) == 5
+    for percent in (50, 70, 80, 85, 95):
+        b = neardup.band_of(percent)
+        assert (1 - (percent / 100) ** b) ** (neardup.REGISTERS // b) <= neardup.MISSED
+
+
+def test_five_words_at_eighty_percent(spark):
+    texts = corpus(11, 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(neardup.near_duplicates(df, 5, 80)) == brute(dict(enumerate(texts)), 5, 80)
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in rng.integers(0, 50_000, 900_000)]
+    long = " ".join(words)
+    other = " ".join(words[:400_000] + ["x"] * 3 + words[400_003:])
+    df = spark.createDataFrame([(1, long), (2, other), (3, "short text")], "doc_id long, text string")
+    got = rows(neardup.near_duplicates(df))
+    assert [got[k][1:] for k in (1, 2, 3)] == [(1, True), (1, False), (3, True)] and got[1][0] > 800_000
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -80,7 +129,9 @@ def test_registers_merge():
     assert (np.maximum(ra, rb) == rc).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr("fluxpanel.llm.components.LOCAL_EDGES", limit)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 360)]
     df = spark.createDataFrame(edges, "u long, v long")
