@@ -7,8 +7,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
-from .runtime import materialise, small_side
+from .runtime import discard, materialise, small_side
 
 
 def fold(key: str, parts: int) -> Column:
@@ -20,11 +21,17 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, allowed: Column, b
     """(text, label) of at most `bound` labelled documents for which `allowed`
     holds: those whose doc_id has the smallest hash, so any bound is a fair and
     repeatable sample.  The bound is a parameter of the model, not of the data
-    that it scores.  Several labels of a document count as the largest."""
-    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & allowed)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
+    that it scores.  Several labels of a document count as the largest; labels whose
+    id cannot be one of `docs` count for nothing.  Ids may be of any type."""
+    key = docs.schema["doc_id"].dataType
+    if isinstance(key, IntegralType):
+        key = LongType()
+    known = labels.filter(F.col(column).isNotNull() & allowed).select(F.col("doc_id").try_cast(key).alias("doc_id"), F.col(column).cast("int").alias("label")).filter("doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(known, bound), "doc_id").select("doc_id", "text", "label"))
+    out = materialise(docs.select(F.col("doc_id").cast(key).alias("doc_id"), "text").join(small_side(known, bound), "doc_id").select("doc_id", "text", "label"))
+    discard(known)
+    return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -131,12 +131,18 @@ class Scanner:
         """Start words of all places of the phrases, and their labels."""
         starts, labels = [], set()
         joined = b" " + b" ".join(words) + b" "
+        spaces = None
         for phrase, label in self.phrases:
-            at = joined.find(b" " + phrase + b" ")
+            found, wanted = [], b" " + phrase + b" "
+            at = joined.find(wanted)
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                found.append(at)
+                at = joined.find(wanted, at + 1)
+            if found:
+                if spaces is None:
+                    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+                starts += np.searchsorted(spaces, found).tolist()
                 labels.add(label)
-                at = joined.find(b" " + phrase + b" ", at + 1)
         return starts, labels
 
 
@@ -185,8 +191,10 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     spans (label, first and last word, share of the template covered), labels
     (array: those of the phrases and of the spans) and score.
 
-    score is the largest share covered by a span, and 0.5 at least where a
-    phrase stands.  Null and empty texts have no words, labels or spans and
+    A run that several templates hold, such as an opening that two licences
+    share, counts for each; of spans that cover enough all are listed, so a tie
+    between templates gives both labels.  score is the largest share covered by a
+    span, and 0.5 at least where a phrase stands.  Null and empty texts have no words, labels or spans and
     score 0.  Columns of these names are replaced."""
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "spans", "labels", "score")
     own = [c for c in docs.columns if c not in added]

@@ -42,8 +42,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Lin
     return fit(labelled(docs, labels.select("doc_id", domain.alias("domain")), "domain", F.lit(True), bound), len(DOMAINS))
 
 
-def with_posteriors(docs: DataFrame, model: LinearModel) -> DataFrame:
-    """doc_id, n_tokens and posteriors (array) of every row."""
+def with_posteriors(docs: DataFrame, model: LinearModel, columns: list[str]) -> DataFrame:
+    """The columns of every row, n_tokens and posteriors (array)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def described(batches):
@@ -51,9 +51,11 @@ def with_posteriors(docs: DataFrame, model: LinearModel) -> DataFrame:
             texts = blobs(batch, "text")
             rows = shipped.value.posteriors(texts) if texts else np.zeros((0, len(DOMAINS)))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of(texts).counts, pa.int64()), values], ["doc_id", "n_tokens", "posteriors"])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(words_of(texts).counts, pa.int64()), values], [*columns, "n_tokens", "posteriors"])
 
-    return map_batches(docs.select("doc_id", "text"), described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>")
+    own = docs.select(*dict.fromkeys([*columns, "text"]))
+    return map_batches(own, described, fields(own, columns, "n_tokens long, posteriors array<double>"))
 
 
 def rates(p: np.ndarray, shares: np.ndarray, residuals: list[np.ndarray], pull: float, ahead: bool = False) -> np.ndarray:
@@ -91,6 +93,11 @@ def multiplied(p: np.ndarray, multipliers: np.ndarray, pull: float) -> np.ndarra
     return np.maximum(0, 1 - p @ multipliers / pull)
 
 
+def _rate(multipliers: np.ndarray, pull: float) -> Column:
+    """The same as an expression over the column of posteriors."""
+    return F.greatest(F.lit(0.0), 1 - sum((F.col("posteriors")[k] * float(m) for k, m in enumerate(multipliers)), F.lit(0.0)) / pull)
+
+
 def _curved(described: DataFrame, multipliers: np.ndarray, pull: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Of the rates at `multipliers`, in tokens: half the sum of their squares,
     the totals of the domains, and the products of posteriors where a rate is positive."""
@@ -167,32 +174,21 @@ def mix(docs: DataFrame, model: LinearModel, targets: tuple[float, ...] = TARGET
     copies is the whole part of the rate, and one more with the chance of the
     rest, by the hash of doc_id.  Documents without words have rates by their
     posteriors too, and change no total.  An empty table stays empty."""
-    described = materialise(with_posteriors(docs, model))
+    described = materialise(with_posteriors(docs, model, ["doc_id"]))
     multipliers = fit_rates(described, targets, pull)
-
-    def rated(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(multiplied(_matrix(batch.column(2), len(multipliers)), multipliers, pull))], [*batch.schema.names, "rate"])
-
-    out = map_batches(described, rated, f"doc_id {described.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>, rate double")
     named = [F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return out.select("doc_id", "n_tokens", *named, "rate", _copies("doc_id"))
+    return described.select("doc_id", "n_tokens", *named, _rate(multipliers, pull).alias("rate")).select("*", _copies("doc_id"))
 
 
 def mix_rows(docs: DataFrame, model: LinearModel, targets: tuple[float, ...] = TARGETS, pull: float = PULL) -> DataFrame:
-    """`docs` with rate and copies beside each row: the rates are fitted on a
-    table of posteriors, and taken again from each text, so that no join moves
-    texts.  Columns of these names are replaced."""
-    own = [c for c in docs.columns if c not in ("rate", "copies")]
-    multipliers = fit_rates(materialise(with_posteriors(docs, model)), targets, pull)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rated(batches):
-        for batch in batches:
-            p = shipped.value.posteriors(blobs(batch, "text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(multiplied(p, multipliers, pull))], [*batch.schema.names, "rate"])
-
-    return map_batches(docs.select(*own), rated, fields(docs, own, "rate double")).withColumn("copies", _copies("doc_id"))
+    """`docs` with rate and copies beside each row.  Rows are written once with
+    their posteriors, on which the rates are fitted, so no text is scored twice
+    and no join moves texts.  Columns of these names, and of n_tokens and
+    posteriors, are replaced."""
+    own = [c for c in docs.columns if c not in ("rate", "copies", "n_tokens", "posteriors")]
+    described = materialise(with_posteriors(docs, model, own))
+    multipliers = fit_rates(described.select("n_tokens", "posteriors"), targets, pull)
+    return described.select(*own, _rate(multipliers, pull).alias("rate")).withColumn("copies", _copies("doc_id"))
 
 
 def mixing_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

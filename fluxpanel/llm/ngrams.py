@@ -12,15 +12,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .learning import SparseRows, logistic, sigmoid, sparse_softmax
-from .runtime import blobs, map_batches
+from .runtime import blobs, discard, map_batches, materialise
 from .textkit import words_of
 
 #: Buckets of each of the two kinds, and bytes of a character n-gram.
 BUCKETS, CHARS = 1 << 15, 4
 SCALE = 8.0
 
+#: Bytes of features that a model is fitted on, at most, so that long documents
+#: do not fill the driver.
+TRAINING_BYTES = 128 << 20
+
 
 @dataclass
 class Grams:
@@ -110,12 +115,30 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([*keep, *cols], ["doc_id", "label", "index", "value"])
 
 
+def _bounded(rows: DataFrame) -> list:
+    """The featured rows, at most TRAINING_BYTES of them: those with the smallest
+    hash of doc_id up to the first that goes beyond, in the order of doc_id."""
+    featured = materialise(rows)
+    sizes = featured.select("doc_id", F.xxhash64("doc_id").alias("h"), (2 * F.octet_length("index")).cast("long").alias("size")).collect()
+    total, last = 0, None
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["size"]
+        if total > TRAINING_BYTES and last is not None:
+            break
+        last = r["h"]
+    found = featured.filter(F.xxhash64("doc_id") <= F.lit(last)).orderBy("doc_id").collect() if sizes else []
+    discard(featured)
+    return found
+
+
 def fit(rows: DataFrame, classes: int, ridge: float = 1e-6, rounds: int = 80, calibrate: bool = False) -> LinearModel:
-    """Fits (doc_id, text, label) rows, of which there is a bounded number.
+    """Fits (doc_id, text, label) rows, of which there is a bounded number and,
+    as features, at most TRAINING_BYTES.
 
     With `calibrate`, every fifth row is kept from the fit of the weights and
     serves the logistic calibration of a binary model."""
-    found = map_batches(rows, _featured, "doc_id long, label int, index binary, value binary").orderBy("doc_id").collect()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = _bounded(map_batches(rows, _featured, f"doc_id {kind}, label int, index binary, value binary"))
     rows_of = [(np.frombuffer(r["index"], np.uint32), np.frombuffer(r["value"], np.float32)) for r in found]
     y = np.array([r["label"] for r in found], np.int64)
     held = np.arange(len(y)) % 5 == 0 if calibrate else np.zeros(len(y), bool)

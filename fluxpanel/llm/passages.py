@@ -30,6 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .runtime import map_batches, materialise
 from .textkit import Words, spread, words_of
@@ -45,19 +46,19 @@ ANCHOR = WINDOW - PERIOD + 1
 #: reply bytes that are broadcast rather than joined.
 BLOCK_BYTES, REPLY_BYTES = 4 << 20, 32 << 20
 
-#: Anchors in a hash partition: the lesser number up to PARTS partitions, then
-#: as many as keep to PARTS, then the greater number.  So a block's share of a
+#: Hashes in a hash partition: the lesser number up to PARTS partitions, then as
+#: many as keep to PARTS, then the greater number.  So a block's share of a
 #: partition stays worth a row, and a partition fits a task, at every size.
-PART_ANCHORS, PARTS = (1 << 20, 1 << 23), 1024
+PART_HASHES, PARTS = (1 << 18, 1 << 23), 1024
 
 _ANCHOR_SEED, _WINDOW_SEED, _SECOND_SEED = 11, 12, 13
 _NULL_ID = np.iinfo(np.int64).min
 _BLOCK = "block long, ids binary, known binary, counts binary, words binary, n_words long"
 
 
-def partitions(anchors: int) -> int:
-    each = min(max(anchors // PARTS, PART_ANCHORS[0]), PART_ANCHORS[1])
-    return max(16, -(-anchors // each))
+def partitions(hashes: int) -> int:
+    each = min(max(hashes // PARTS, PART_HASHES[0]), PART_HASHES[1])
+    return max(1, -(-hashes // each))
 
 
 def _blocks(batches) -> Iterator[pa.RecordBatch]:
@@ -198,8 +199,8 @@ def _send_anchors(batches, parts):
 def _replies(table: pa.Table, wanted: list[np.ndarray], flags: np.ndarray) -> pa.Table:
     """One packed row of flags for each sender."""
     cuts = np.cumsum([len(w) for w in wanted])[:-1]
-    packed = [np.packbits(f).tobytes() for f in np.split(flags, cuts)]
-    return pa.table([table.column("block"), table.column("part"), pa.array(packed, pa.binary())], names=["block", "part", "bits"])
+    split = np.split(flags, cuts)
+    return pa.table([table.column("block"), table.column("part"), pa.array([np.packbits(f).tobytes() for f in split], pa.binary()), pa.array([int(f.sum()) for f in split], pa.int64())], names=["block", "part", "bits", "set"])
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
@@ -208,12 +209,13 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     return _replies(table, sent, times[place] > 1)
 
 
-def _ordered_windows(block: Block, bits: dict[int, bytes], parts: int):
+def _ordered_windows(block: Block, bits: dict[int, bytes], parts: tuple[int, int]):
     """The candidate windows' first words and, for each distinct window in the
-    order sent: key, hash parts and the place of its first occurrence."""
-    at = block.candidates(bits, parts)
+    order sent: key, hash parts and the place of its first occurrence.  `parts`
+    are the partitions of anchors and of windows."""
+    at = block.candidates(bits, parts[0])
     full, second = block.windows(at)
-    order = np.lexsort((second, full, _by_part(full, parts) >> np.uint64(40)))
+    order = np.lexsort((second, full, _by_part(full, parts[1]) >> np.uint64(40)))
     f, s = full[order], second[order]
     fresh = np.concatenate(([True], (f[1:] != f[:-1]) | (s[1:] != s[:-1]))) if len(f) else np.zeros(0, bool)
     group = np.empty(len(at), np.int64)
@@ -226,7 +228,7 @@ def _send_windows(batches, parts):
         at, _, full, second, lead = _ordered_windows(block, _bits(row, "anchor_bits"), parts)
         owner = block.words.owner()[at[lead]]
         rows = []
-        for part, a, b in _ranges(_by_part(full, parts) & ~np.uint64((1 << 40) - 1), parts):
+        for part, a, b in _ranges(_by_part(full, parts[1]) & ~np.uint64((1 << 40) - 1), parts[1]):
             docs, index = np.unique(owner[a:b], return_inverse=True)
             rows.append((part, block.block, full[a:b].tobytes(), second[a:b].tobytes(), index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes(), block.ids[docs].tobytes()))
         yield _sent(rows)
@@ -251,7 +253,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
 def _finish(batches, parts):
     for block, row in _rows(batches):
         at, group, full, _, lead = _ordered_windows(block, _bits(row, "anchor_bits"), parts)
-        owned = _unpack(_by_part(full, parts) & ~np.uint64((1 << 40) - 1), _bits(row, "window_bits"), parts)
+        owned = _unpack(_by_part(full, parts[1]) & ~np.uint64((1 << 40) - 1), _bits(row, "window_bits"), parts[1])
         keep = np.zeros(len(at), bool)
         keep[lead[owned]] = True
         w = block.words
@@ -282,22 +284,26 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     between them) of every row of `docs` (doc_id, text).
 
     Null and empty texts have no words and an empty kept_text.  Rows with equal
-    doc_id count as separate documents in input order; a null doc_id comes
-    before all others.  Other columns are ignored."""
+    doc_id count as separate documents, in an order that depends on how the input
+    is split into tasks; a null doc_id comes before all others.  An id that is no
+    integer is an error.  Other columns are ignored."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("documents are ordered by doc_id, which must be an integer")
     blocks = materialise(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _blocks, _BLOCK))
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = partitions(total * len(COVER) // PERIOD)
 
-    def each_block(df: DataFrame, f, schema: str) -> DataFrame:
-        return map_batches(df, lambda b: f(b, parts), schema)
+    def answered(sent: DataFrame, n: int, f) -> DataFrame:
+        # As many tasks as partitions, so that a task's share does not grow with the input.
+        return materialise(sent.repartition(n, "part").groupBy("part").applyInArrow(f, "block long, part int, bits binary, set long"))
 
-    answer = "block long, part int, bits binary"
-    anchors = each_block(blocks, _send_anchors, _SENT).groupBy("part").applyInArrow(_answer_anchors, answer)
-    first = materialise(anchors)
+    first = answered(map_batches(blocks, lambda b: _send_anchors(b, parts), _SENT), parts, _answer_anchors)
+    # Between repeated anchors lie at most PERIOD windows for len(COVER) anchors.
+    repeated = first.agg(F.sum("set")).first()[0] or 0
+    both = (parts, partitions(repeated * PERIOD // len(COVER)))
     seen = _with_bits(blocks, first, "anchor_bits")
-    windows = each_block(seen, _send_windows, _SENT).groupBy("part").applyInArrow(_answer_windows, answer)
-    second = materialise(windows)
-    return each_block(_with_bits(seen, second, "window_bits"), _finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    second = answered(map_batches(seen, lambda b: _send_windows(b, both), _SENT), both[1], _answer_windows)
+    return map_batches(_with_bits(seen, second, "window_bits"), lambda b: _finish(b, both), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def passage_digest(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .docstats import doc_stats, statistics
 from .learning import fold, isotonic
-from .runtime import blobs, map_batches, materialise
+from .runtime import blobs, discard, map_batches, materialise
 
 #: Cosines, kernel width in standard deviations, ridge penalty (a share of the
 #: rows), bins of the calibration, and how many partial sums reach the driver.
@@ -104,7 +104,8 @@ def _summed(rows: DataFrame, one) -> np.ndarray | None:
 
 def train(described: DataFrame, labels: DataFrame, allowed: Column) -> Kernel:
     """From (doc_id, statistics) rows and labels of the allowed folds."""
-    known = labels.filter(F.col("quality").isNotNull() & allowed).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    known = labels.filter(F.col("quality").isNotNull() & allowed).select(F.col("doc_id").try_cast(described.schema["doc_id"].dataType).alias("doc_id"), "quality")
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
     rows = materialise(described.join(known, "doc_id").select("statistics", "label"))
     width = statistics(doc_stats([b"a b"])).shape[1]
 
@@ -134,6 +135,7 @@ def train(described: DataFrame, labels: DataFrame, allowed: Column) -> Kernel:
     share = sums[:BINS].sum() / n
     kernel.cuts = (filled + 0.5) / BINS * 2 - 0.5
     steps = isotonic(kernel.cuts, sums[:BINS][filled] + PRIOR * share, sums[BINS:][filled] + PRIOR)
+    discard(rows)
     # A small slope within a step keeps the order of the ridge scores.
     kernel.chances = 0.999 * steps + 0.001 * np.clip((kernel.cuts + 0.5) / 2, 0, 1)
     return kernel
@@ -144,7 +146,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFr
 
     Null and empty texts are scored as texts without characters.  Without
     labelled rows every score is 0.5.  Other columns are ignored."""
-    described = materialise(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _described, "doc_id long, statistics array<double>"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    described = materialise(map_batches(docs.select("doc_id", "text"), _described, f"doc_id {kind}, statistics array<double>"))
     kernel = train(described, labels, allowed)
     shipped = docs.sparkSession.sparkContext.broadcast(kernel)
 
@@ -153,7 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFr
             chance = shipped.value.chance(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance)], ["doc_id", "score"])
 
-    return map_batches(described, scored, "doc_id long, score double")
+    return map_batches(described, scored, f"doc_id {kind}, score double")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

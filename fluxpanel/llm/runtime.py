@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..tables import discard, materialise, shared_folder, small_side
 
@@ -42,10 +42,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
-def fields(df: DataFrame, names: list[str], more: str) -> str:
+def fields(df: DataFrame, names: list[str], more: str) -> StructType:
     """A schema: columns of `df` by name, then `more`."""
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names]
-    return ", ".join([*kept, more])
+    return StructType([StructField(f.name, f.dataType) for f in df.schema if f.name in names] + StructType.fromDDL(more).fields)
 
 
 def blobs(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learning import fold, labelled, logistic, sigmoid
-from .runtime import blobs, fields, map_batches
+from .runtime import blobs, discard, fields, map_batches
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 TRAINING_ROWS = 20_000
@@ -196,7 +196,7 @@ def quoted(t: Text, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out |= (last(a, starts) >= line) & (last(a, starts) > last(b, starts)) & follows(b)
     for k in np.flatnonzero(~out).tolist():
         near = t.codes[max(line[k], starts[k] - REPORTED) : starts[k]].tobytes().decode("utf-32-le")
-        out[k] = any(w in REPORTING for w in near.split()[-4:])
+        out[k] = any(w.strip(".,:;!?()'\"") in REPORTING for w in near.split()[-4:])
     return out
 
 
@@ -329,7 +329,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = TRAI
             values = hit_inputs(blobs(batch, "text"), shipped.value)[0]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(values), pa.list_(pa.float64()))], ["label", "doc_id", "inputs"])
 
-    found = map_batches(rows.select("text", "label", "doc_id"), described, "label int, doc_id long, inputs array<double>").orderBy("doc_id").collect()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = map_batches(rows.select("text", "label", "doc_id"), described, f"label int, doc_id {kind}, inputs array<double>").orderBy("doc_id").collect()
+    discard(rows)
     x = np.array([r["inputs"] for r in found]).reshape(-1, len(INPUTS))
     return Toxicity(automaton, logistic(x, np.array([r["label"] for r in found], float), 1e-3))
 

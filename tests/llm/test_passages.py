@@ -50,5 +50,23 @@ def test_odd_rows(spark, nothing):
 
 
 def test_partitions():
-    assert passages.partitions(0) == 16 and passages.partitions(43 << 20) == 43
-    assert passages.partitions(1 << 32) == 1024 and passages.partitions(1 << 40) == 1 << 17
+    low, high = passages.PART_HASHES
+    assert passages.partitions(0) == 1 and passages.partitions(43 * low) == 43
+    assert passages.partitions(4 * low * passages.PARTS) == passages.PARTS
+    assert passages.partitions(1 << 40) == (1 << 40) // high
+
+
+def test_many_partitions(docs, texts, monkeypatch):
+    monkeypatch.setattr(passages, "PART_HASHES", (64, 1 << 23))
+    got = {r["doc_id"]: r["n_removed"] for r in passages.passage_digest(docs).collect()}
+    assert got == {k: v[1] for k, v in brute(enumerate(texts)).items()}
+
+
+def test_a_long_text_and_other_ids(spark):
+    words = [f"w{k % 5000}x{k // 700}" for k in range(700_000)]
+    long = " ".join(words)
+    df = spark.createDataFrame([(1, long), (2, "start " + " ".join(words[300_000:300_060]) + " end")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in passages.dedup_passages(df).collect()}
+    assert got[1][:2] == (700_000, 0) and got[2] == (62, 60, "start end")
+    with pytest.raises(TypeError):
+        passages.dedup_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

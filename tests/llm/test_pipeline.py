@@ -1,4 +1,5 @@
 import corpus_pipeline as cp
+from fluxpanel.llm import mixing, toxicity
 
 from .test_neardup import brute as groups
 from .test_scans import brute as contaminated
@@ -7,7 +8,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     bench = [(str(a), b) for a, b in bench]
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -15,10 +17,17 @@ def test_stages(spark):
         out = stage(spark, docs, FOLDER).cache()
         got = [r["doc_id"] for r in out.collect()]
         if name == "near_duplicates":
-            assert sorted(got) == sorted(k for k, v in groups(rows).items() if v[2])
+            assert sorted(got) == sorted(k for k, v in groups(rows, 5, 80).items() if v[2])
         elif name == "decontamination":
             flags = contaminated([rows[k] for k in sorted(rows)], bench)
             assert sorted(got) == sorted(k for k, i in zip(sorted(rows), range(len(rows)), strict=True) if not flags[i][4])
+        elif name == "toxicity":
+            model = toxicity.train(documents, labels, toxicity.allowed_rows())
+            scored = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+            assert sorted(got) == sorted(k for k, v in scored.items() if v < 0.5) and len(got) < len(rows)
+        elif name == "mixing":
+            copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, mixing.train(documents, labels)).collect()}
+            assert sorted(got) == sorted(k for k, n in copies.items() for _ in range(n)) and 0 in copies.values()
         elif name == "sharding":
             assert len(got) == docs.count()
             places = {(r["shard"], r["slot"]) for r in out.collect()}
@@ -36,6 +45,23 @@ def test_odd_documents(spark, docs, nothing):
         assert stage(spark, extra, FOLDER).count() > 0
 
 
+def test_columns_of_any_name(spark, docs):
+    """Names that the operators use themselves, and those of the stages' own columns."""
+    odd = docs.withColumnRenamed("lang", "row").withColumnRenamed("source", "key").withColumnRenamed("n_chars", "copies")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns == odd.columns and out.schema == odd.schema, name
+        kept = {r["doc_id"]: tuple(r) for r in odd.collect()}
+        assert all(kept[r["doc_id"]] == tuple(r) for r in out.collect())
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " more"), (None, a), (None, "c " * 9), (None, "c " * 9), (5, None), (5, None), (None, ""), (None, "")]
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert sorted(map(str, out)) == sorted(map(str, spark.createDataFrame([(1, a), (2, b), (None, "c " * 9), (5, None), (None, ""), (None, "")], "doc_id long, text string").collect()))
+
+
 def test_repeated_rows_stay_once(spark, docs):
     twice = docs.unionByName(docs)
     out = cp.drop_near_duplicates(spark, twice, FOLDER)

@@ -126,6 +126,19 @@ def test_licence_base(spark, docs, texts):
         assert 0 <= got[k]["score"] <= 1
 
 
+def test_a_hot_phrase(spark):
+    import time
+
+    scanner = licences.Scanner.of(TEMPLATES, PHRASES)
+    words = b" ".join([b"mit license"] * 800_000).split()
+    began = time.perf_counter()
+    starts, labels = scanner.base(words)
+    assert (len(starts), starts[-1], labels) == (800_000, 1_599_998, {"mit"}) and scanner.spans(words) == []
+    assert time.perf_counter() - began < 10
+    row = licences.licence_digest(spark.createDataFrame([(1, "MIT License, " * 400_000)], "doc_id long, text string")).first()
+    assert (row["n_base"], row["last_word"], row["score"]) == (400_000, 799_998, 0.5)
+
+
 def test_templates_are_found(spark, nothing):
     rng = random.Random(2)
     rows = []

@@ -75,6 +75,55 @@ def test_random_strings_match_the_library(path):
     assert tokens.count_tokens(found, merges, {}) == expected
 
 
+def test_every_code_point_matches_the_library(path):
+    library = tokenizers.Tokenizer.from_file(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        text = " q ".join(f"a{chr(c)}b1{chr(c)}." for c in points[k : k + 50_000])
+        norm = library.normalizer.normalize_str(text)
+        assert tokens.pieces(text)[0] == [norm[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(norm)]
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "é你ba"])
+def test_long_words_match_the_library(path, letters):
+    import random
+
+    rng = random.Random(len(letters))
+    merges, library = tokens.Merges.load(path), tokenizers.Tokenizer.from_file(path)
+    for n in (tokens.LONG - 1, tokens.LONG + 1, 5000, 300_000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert tokens.count_tokens([text], merges, known := {}) == [len(library.encode(text, add_special_tokens=False).ids)]
+        assert not known
+
+
+def test_a_million_letters(spark, path):
+    import time
+
+    merges = tokens.Merges.load(path)
+    began = time.perf_counter()
+    assert tokens.count_tokens(["abcab" * 200_000], merges, {})[0] > 1000
+    assert time.perf_counter() - began < 10
+
+
+def test_other_vocabularies_are_an_error(tmp_path, path):
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": held["model"] | {"end_of_word_suffix": None}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(held | change))
+        with pytest.raises(ValueError, match="not a vocabulary"):
+            tokens.Merges.load(str(other))
+
+
+def test_odd_tables(spark, nothing, docs, path):
+    assert tokens.with_token_counts(nothing, path).count() == 0
+    clash = docs.withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "n_bytes")
+    out = tokens.with_token_counts(clash, path)
+    assert dict(out.dtypes)["n_tokens"] == "bigint" and out.count() == docs.count()
+
+
 def test_cache_is_bounded(path, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 3)
     merges, known = tokens.Merges.load(path), {}
