@@ -15,8 +15,9 @@ Plan:
 2. compare the members of each bucket with its smallest member (a star), so a
    bucket of any size costs one pair a member;
 3. buckets of three or more that still hold several components get further
-   stars, LEADS at a time, around members picked by hash: a round costs LEADS
-   pairs a member, and joins what one centre missed;
+   stars, LEADS at a time, around members of their largest component picked by
+   hash: a round costs LEADS pairs a member outside of it, and joins what one
+   centre missed;
 4. buckets that hold several components even then are finished exactly: members
    outside the bucket's largest component meet all others, in cells of bounded
    rows and bytes, where a pair is taken in the first band that it shares, one
@@ -224,32 +225,38 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(sized, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
-    """(bucket, n, n_out, largest) of the buckets that hold several components.  Of
-    two members the star has compared the only pair."""
+def _unsettled(members: DataFrame, turn: int) -> DataFrame:
+    """(bucket, n, largest, leads) of the buckets that hold several components, with
+    LEADS members of the largest.  Of two members the star has compared the only pair."""
     largest = F.max_by("component", F.struct("size", "component"))
-    per = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), largest.alias("largest"))
-    return per.filter("n > 2 and lo < hi").select("bucket", "n", "largest")
+    # The largest component first, and in it by hash.
+    pick = lambda q: F.min(F.struct((-F.col("size")).alias("s"), (-F.col("component")).alias("c"), F.xxhash64("node", F.lit(turn * LEADS + q)).alias("h"), "node"))
+    leads = F.array_distinct(F.array(*[pick(q)["node"] for q in range(LEADS)]))
+    per = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), largest.alias("largest"), leads.alias("leads"))
+    return per.filter("n > 2 and lo < hi").select("bucket", "n", "largest", "leads")
 
 
 def _across(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, band: int) -> DataFrame:
     """Links (u, v) between components, of the members of unsettled buckets."""
-    inside = members.join(open_, "bucket").join(sets.select("node", "registers", "shingles"), "node").withColumn("outside", F.col("component") != F.col("largest"))
-    size = F.octet_length("shingles").cast("long")
+    rows = members.drop("size").join(open_.select("bucket", "largest"), "bucket").join(sets.select("node", "size"), "node")
+    rows = materialise(rows.select("bucket", "band", "node", "component", "size", (F.col("component") != F.col("largest")).alias("outside")))
     blocks = lambda rows, size: F.greatest(F.ceil(rows / CELL_ROWS), F.ceil(size / CELL_BYTES)).cast("int")
-    per = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.count_if("outside").alias("n_out"), F.sum(F.when(F.col("outside"), size)).alias("bytes_out"))
+    per = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_if("outside").alias("n_out"), F.sum(F.when(F.col("outside"), F.col("size"))).alias("bytes_out"))
     per = materialise(per.select("bucket", blocks(F.col("n"), F.col("bytes")).alias("all_blocks"), blocks(F.col("n_out"), F.col("bytes_out")).alias("out_blocks"), "n"))
     # Buckets of one cell share cells, by hash, so that a cell is worth its call.
     one = F.expr("all_blocks = 1 and out_blocks = 1")
     small = per.filter(one).agg(F.sum("n")).first()[0] or 0
     per = per.withColumn("pack", F.when(one, F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-small // CELL_ROWS))))).otherwise(F.col("bucket"))).withColumn("single", one).drop("n")
-    inside = inside.join(small_side(per, per.count()), "bucket")
-    own = ["single", "pack", "bucket", "band", "component", "registers", "shingles"]
+    inside = rows.join(small_side(per, per.count()), "bucket")
+    own = ["single", "pack", "bucket", "band", "component", "node"]
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     all_ = inside.select(*own, F.lit(False).alias("outside"), spread_over("out_blocks").alias("i"), place("all_blocks").alias("j"))
     out = inside.filter("outside").select(*own, "outside", place("out_blocks").alias("i"), spread_over("all_blocks").alias("j"))
-    return all_.unionByName(out).groupBy("single", "pack", "i", "j").applyInArrow(_cell(percent, band), "u long, v long")
+    # Sets come last, and only those of these members.
+    asked = materialise(rows.select("node").distinct())
+    held = sets.join(small_side(asked, asked.count()), "node", "left_semi").select("node", "registers", "shingles")
+    return all_.unionByName(out).join(held, "node").groupBy("single", "pack", "i", "j").applyInArrow(_cell(percent, band), "u long, v long")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,49 +304,48 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     n_wanted = wanted.count()
     asked = wanted.select(F.col("least").alias("doc_id")).distinct()
     again = map_batches(docs.join(small_side(asked, n_wanted), "doc_id", "left_semi"), lambda b: _sketched(b, width, True), schema + ", shingles binary")
-    sets = materialise(again.select("mark", "registers", "shingles", "doc_id").join(small_side(wanted, n_wanted, 100_000), "mark").filter("doc_id = least").select("node", "registers", "shingles"))
+    sets = materialise(again.select("mark", "registers", "shingles", "doc_id").join(small_side(wanted, n_wanted, 100_000), "mark").filter("doc_id = least").select("node", "registers", "shingles", F.octet_length("shingles").cast("long").alias("size")))
     if sets.count() > n_wanted:  # a text stands twice under its id
-        held, sets = sets, materialise(sets.groupBy("node").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles")))
+        held, sets = sets, materialise(sets.groupBy("node").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles"), F.first("size").alias("size")))
         discard(held)
 
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("registers").alias(f"reg_{k}"), F.col("shingles").alias(f"set_{k}"))
+    side = lambda k, of: of.select(F.col("node").alias(k), F.col("registers").alias(f"reg_{k}"), F.col("shingles").alias(f"set_{k}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialise(map_batches(pairs.join(side("v"), "v").join(side("u"), "u"), lambda b: _confirmed(b, percent), "u long, v long"))
+        """Of (u, v), few different u among them, the links.  Few pairs go to the
+        sets of v, and only the sets of u are moved."""
+        n = pairs.count()
+        centres = pairs.select(F.col("u").alias("node")).distinct()
+        led = side("u", sets.join(small_side(centres, n), "node", "left_semi"))
+        return materialise(map_batches(side("v", sets).join(small_side(pairs, n), "v").join(led, "u"), lambda b: _confirmed(b, percent), "u long, v long"))
 
     links = confirmed(star)
     found = materialise(components(links.unionByName(same)))
     discard(links, star, several)
-    spent = [members, wanted, sets]
     fresh = True
     for turn in range(ROUNDS + 1):
         now = _with_components(members, found)
-        open_ = materialise(_unsettled(now))
+        open_ = materialise(_unsettled(now, turn))
         n_open, most = open_.agg(F.count(F.lit(1)), F.max("n")).first()
         if not n_open:
             discard(open_)
             break
-        narrowed = materialise(now.join(small_side(open_, n_open), "bucket", "left_semi"))
-        spent.append(narrowed)
         # Further stars are for buckets beyond a cell, as long as they join anything.
         if turn == ROUNDS or most <= CELL_ROWS or not fresh:
-            links = materialise(_across(narrowed, open_, sets, percent, band))
+            links = materialise(_across(now, small_side(open_, n_open), sets, percent, band))
             found = _merged(found, links)
             discard(open_, links)
             break
-        pick = lambda q: F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADS + q)).alias("h"), "node", "component"))  # noqa: E731, B023
-        large = narrowed.join(small_side(open_.filter(F.col("n") > CELL_ROWS), n_open), "bucket", "left_semi")
-        leads = large.groupBy("bucket").agg(F.array_distinct(F.array(*[pick(q) for q in range(LEADS)])).alias("leads")).select("bucket", F.explode("leads").alias("l"))
-        leads = leads.select("bucket", F.col("l.node").alias("lead"), F.col("l.component").alias("own"))
-        pairs = large.join(leads, "bucket").filter("component <> own").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
-        pairs = materialise(pairs)
+        # Members of the largest component are done: only the others meet its leads.
+        large = open_.filter(F.col("n") > CELL_ROWS).select(F.col("bucket").alias("open"), "largest", "leads")
+        outside = now.join(small_side(large, n_open), F.expr("bucket = open and component <> largest"))
+        pairs = materialise(outside.select(F.explode("leads").alias("u"), F.col("node").alias("v")).distinct())
         links = confirmed(pairs)
         fresh = not links.isEmpty()
         if fresh:
             found = _merged(found, links)
-        members = narrowed.select("bucket", "band", "node")
         discard(open_, links, pairs)
-    discard(*spent)
+    discard(members, wanted, sets)
 
     final = found.join(nodes.select("node", "least"), "node")
     final = final.join(final.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
