@@ -227,13 +227,13 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _unsettled(members: DataFrame, turn: int) -> DataFrame:
     """(bucket, n, largest, leads) of the buckets that hold several components, with
-    LEADS members of the largest.  Of two members the star has compared the only pair."""
+    LEADS members of the largest."""
     largest = F.max_by("component", F.struct("size", "component"))
     # The largest component first, and in it by hash.
     pick = lambda q: F.min(F.struct((-F.col("size")).alias("s"), (-F.col("component")).alias("c"), F.xxhash64("node", F.lit(turn * LEADS + q)).alias("h"), "node"))
     leads = F.array_distinct(F.array(*[pick(q)["node"] for q in range(LEADS)]))
     per = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), largest.alias("largest"), leads.alias("leads"))
-    return per.filter("n > 2 and lo < hi").select("bucket", "n", "largest", "leads")
+    return per.filter("lo < hi").select("bucket", "n", "largest", "leads")
 
 
 def _across(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, band: int) -> DataFrame:
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     key = lambda k: F.struct(F.xxhash64(F.substring("registers", 2 * band * k + 1, 2 * band), F.lit(k)).alias("bucket"), F.lit(k).alias("band"))
     met = nodes.select("node", F.explode(F.array(*[key(k) for k in range(REGISTERS // band)])).alias("b")).select("node", "b.bucket", "b.band")
-    crowded = met.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).filter("lead < most").select("bucket", "lead")
+    crowded = met.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(met.join(crowded, "bucket"))
     star = materialise(members.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
 
@@ -322,19 +322,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     links = confirmed(star)
     found = materialise(components(links.unionByName(same)))
     discard(links, star, several)
-    fresh = True
+    # Of two members the star has compared the only pair, and a settled bucket stays
+    # so: each round reads the members of the buckets that the last one left open.
+    rest, fresh = members.filter("n > 2").select("bucket", "band", "node"), True
     for turn in range(ROUNDS + 1):
-        now = _with_components(members, found)
+        now = materialise(_with_components(rest, found))
+        discard(rest)
         open_ = materialise(_unsettled(now, turn))
         n_open, most = open_.agg(F.count(F.lit(1)), F.max("n")).first()
         if not n_open:
-            discard(open_)
+            discard(open_, now)
             break
         # Further stars are for buckets beyond a cell, as long as they join anything.
         if turn == ROUNDS or most <= CELL_ROWS or not fresh:
             links = materialise(_across(now, small_side(open_, n_open), sets, percent, band))
             found = _merged(found, links)
-            discard(open_, links)
+            discard(open_, links, now)
             break
         # Members of the largest component are done: only the others meet its leads.
         large = open_.filter(F.col("n") > CELL_ROWS).select(F.col("bucket").alias("open"), "largest", "leads")
@@ -344,7 +347,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         fresh = not links.isEmpty()
         if fresh:
             found = _merged(found, links)
-        discard(open_, links, pairs)
+        rest = materialise(now.select("bucket", "band", "node").join(small_side(open_.select("bucket"), n_open), "bucket", "left_semi"))
+        discard(open_, links, pairs, now)
     discard(members, wanted, sets)
 
     final = found.join(nodes.select("node", "least"), "node")
