@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fluxpanel.llm import mixing, toxicity
 from fluxpanel.llm.decontaminate import contamination
 from fluxpanel.llm.neardup import near_duplicates
-from fluxpanel.llm.runtime import discard, materialise, small_side, table
+from fluxpanel.llm.runtime import discard, materialise, packed, small_side, table, unpacked
 from fluxpanel.llm.shards import jump_shards
 
 
@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that is below one half; repeated rows are judged alike; an empty table stays
     empty; further columns, of whatever name, stay as they are."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.allowed_rows())
-    own = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.score_toxicity(own, model).filter("score < 0.5").select("row.*")
+    scored = toxicity.score_toxicity(packed(docs, "text"), model)
+    return unpacked(scored.filter("score < 0.5"), docs.columns)
 
 
 def _identity(docs: DataFrame) -> Column:
@@ -52,8 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
     n = dropped.count()
     names = [f"c{k}" for k in range(len(docs.columns))]
-    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], _identity(docs).alias("key"))
-    back = [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+    own = docs.select("*", _identity(docs).alias("key")).toDF(*names, "key")
     out = own.join(small_side(dropped, n), "key", "left_anti")
     many = judged.filter("kept and not (doc_id.none and n_shingles = 0)").groupBy(F.col("doc_id").alias("key")).count().filter("count > 1").select("key")
     n = many.count()
@@ -61,7 +60,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         # First of each key within a task, then of all: no key gathers its rows.
         once = out.join(small_side(many, n), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in names])
         out = out.join(small_side(many, n), "key", "left_anti").select(*names).union(once.select(*names))
-    return out.select(*back)
+    return out.select(*names).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +68,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts are clean; repeated rows are judged alike; an empty table
     stays empty; further columns, of whatever name, stay as they are."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return contamination(own, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select("row.*")
+    judged = contamination(packed(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return unpacked(judged.filter(~F.col("contaminated")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,9 +79,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rate of their posteriors; an empty table stays empty; further columns, of
     whatever name, stay as they are."""
     model = mixing.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    fitted = mixing.mix_rows(own, model)
-    return fitted.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    fitted = mixing.mix_rows(packed(docs, "doc_id", "text"), model)
+    return unpacked(fitted.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))), docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blobs, discard, fields, map_batches, materialise, small_side
+from .runtime import blobs, discard, fields, map_batches, materialise, named, plain, small_side
 from .textkit import ALNUM_LOWER, spread
 
 #: Words of a window; a document is contaminated if a twentieth of its words is hit.
@@ -248,8 +248,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     Null and empty texts have no words and are clean; an empty benchmark, or an
     item without words, hits nothing; items of one id, and those whose id is null
     under the id "", count as one item.  Columns of these names are replaced."""
-    added = ("n_words", "n_hit", "items", "spans", "contaminated", "__row", "__bits", "__items")
-    own = [c for c in docs.columns if c not in added]
+    docs, named_own = plain(docs, ("n_words", "n_hit", "items", "spans", "contaminated"))
+    own = docs.columns
     more = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     context = docs.sparkSession.sparkContext
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
@@ -282,7 +282,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
         joined = numbered.join(small_side(every, every.count(), 10_000), "__row", "left").drop("__row")
         out = map_batches(joined.select(*own, "__bits", "__items"), _merged, fields(docs, own, more))
     verdict = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    return out.withColumn("contaminated", verdict)
+    return named(out.withColumn("contaminated", verdict), named_own)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licence_texts import PHRASES, TEMPLATES
-from .runtime import blobs, fields, map_batches
+from .runtime import blobs, fields, map_batches, named, plain
 from .textkit import ALNUM_LOWER
 
 #: Words that a run must have, the share of a template that its chain must
@@ -197,12 +197,12 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     span, and 0.5 at least where a phrase stands.  Null and empty texts have no words, labels or spans and
     score 0.  Columns of these names are replaced."""
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "spans", "labels", "score")
-    own = [c for c in docs.columns if c not in added]
-    schema = fields(docs, own, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,first:long,last:long,cover:double>>")
-    out = map_batches(docs.select(*own), lambda b: _scanned(b, templates, phrases), schema)
+    docs, own = plain(docs, added)
+    schema = fields(docs, docs.columns, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<struct<label:string,first:long,last:long,cover:double>>")
+    out = map_batches(docs, lambda b: _scanned(b, templates, phrases), schema)
     both = F.array_sort(F.array_union("base_labels", "spans.label"))
     base = F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)
-    return out.withColumns({"labels": both, "score": F.greatest(base, F.coalesce(F.array_max("spans.cover"), F.lit(0.0)))})
+    return named(out.withColumns({"labels": both, "score": F.greatest(base, F.coalesce(F.array_max("spans.cover"), F.lit(0.0)))}), own)
 
 
 def licence_digest(docs: DataFrame) -> DataFrame:

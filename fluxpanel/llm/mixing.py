@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .learning import labelled
 from .ngrams import LinearModel, fit
-from .runtime import blobs, fields, map_batches, materialise
+from .runtime import blobs, fields, map_batches, materialise, named, plain
 from .textkit import words_of
 
 #: Domains, from the labels table, and their target shares of all tokens.
@@ -185,10 +185,10 @@ def mix_rows(docs: DataFrame, model: LinearModel, targets: tuple[float, ...] = T
     their posteriors, on which the rates are fitted, so no text is scored twice
     and no join moves texts.  Columns of these names, and of n_tokens and
     posteriors, are replaced."""
-    own = [c for c in docs.columns if c not in ("rate", "copies", "n_tokens", "posteriors")]
-    described = materialise(with_posteriors(docs, model, own))
+    docs, own = plain(docs, ("rate", "copies", "n_tokens", "posteriors"), ("doc_id", "text"))
+    described = materialise(with_posteriors(docs, model, docs.columns))
     multipliers = fit_rates(described.select("n_tokens", "posteriors"), targets, pull)
-    return described.select(*own, _rate(multipliers, pull).alias("rate")).withColumn("copies", _copies("doc_id"))
+    return named(described.select(*docs.columns, _rate(multipliers, pull).alias("rate")).withColumn("copies", _copies("doc_id")), own)
 
 
 def mixing_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

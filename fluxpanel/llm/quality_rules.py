@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .docstats import doc_stats
 from .learning import labelled
 from .ngrams import LinearModel, fit
-from .runtime import blobs, fields, map_batches
+from .runtime import blobs, fields, map_batches, named, plain
 
 #: Labelled rows that the model is fitted on, at most.
 TRAINING_ROWS = 2000
@@ -51,10 +51,10 @@ def apply_rules(docs: DataFrame, model: LinearModel) -> DataFrame:
     Null and empty texts have no words and fail.  Columns of these names are
     replaced."""
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
-    own = [c for c in docs.columns if c not in added]
+    docs, own = plain(docs, added)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = fields(docs, own, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double")
-    return map_batches(docs.select(*own), lambda b: _scored(b, shipped), schema)
+    schema = fields(docs, docs.columns, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double")
+    return named(map_batches(docs, lambda b: _scored(b, shipped), schema), own)
 
 
 def rules_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

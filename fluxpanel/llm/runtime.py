@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..tables import discard, materialise, shared_folder, small_side
@@ -19,7 +20,7 @@ from ..tables import discard, materialise, shared_folder, small_side
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 
 
-__all__ = ["blobs", "discard", "fields", "map_batches", "materialise", "shared_folder", "small_side", "table"]
+__all__ = ["blobs", "discard", "fields", "map_batches", "materialise", "named", "packed", "plain", "shared_folder", "small_side", "table", "unpacked"]
 
 
 def map_batches(df: DataFrame, f, schema: str | StructType) -> DataFrame:
@@ -42,6 +43,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
+def plain(df: DataFrame, added: tuple[str, ...], read: tuple[str, ...] = ("text",)) -> tuple[DataFrame, list[str]]:
+    """`df` without the columns `added`, and the names of what is left.  Columns but
+    those in `read` are renamed by their place, so names with dots, backticks or
+    blanks and names that an operator uses itself mean nothing to it; `named` gives
+    them back."""
+    inner = [c if c in read and c not in added else f"_{k}" for k, c in enumerate(df.columns)]
+    kept = [(n, c) for n, c in zip(inner, df.columns, strict=True) if c not in added]
+    return df.toDF(*inner).select(*[n for n, _ in kept]), [c for _, c in kept]
+
+
+def named(df: DataFrame, own: list[str]) -> DataFrame:
+    """`df` with its first columns called `own`."""
+    return df.toDF(*own, *df.columns[len(own) :])
+
+
+def packed(df: DataFrame, *read: str) -> DataFrame:
+    """`row`, all columns of `df` by their place, and those in `read` beside it."""
+    inner = [f"_{k}" for k in range(len(df.columns))]
+    return df.toDF(*inner).select(F.struct(*inner).alias("row"), *[F.col(inner[df.columns.index(c)]).alias(c) for c in read])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that `packed` put into `row`, by their names."""
+    return df.select("row.*").toDF(*names)
+
+
 def fields(df: DataFrame, names: list[str], more: str) -> StructType:
     """A schema: columns of `df` by name, then `more`."""
     return StructType([StructField(f.name, f.dataType) for f in df.schema if f.name in names] + StructType.fromDDL(more).fields)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, IntegerType, LongType, StructField, StructType
 
-from .runtime import map_batches, materialise, small_side
+from .runtime import map_batches, materialise, named, plain, small_side
 
 #: Shards of the production layout.
 SHARDS = 16
@@ -66,7 +66,8 @@ def jump_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> Dat
     Integer keys are used as they are, others by their 64-bit hash; a null key
     counts as 0.  Rows that share a key share its shard and get slots of their
     own.  Columns of these three names are replaced; an empty table stays empty."""
-    own = [c for c in df.columns if c not in ("shard", "slot", "grown_shard", "__task", "__key")]
+    df, named_own = plain(df, ("shard", "slot", "grown_shard"), (key,))
+    own = df.columns
     kind = df.schema[key].dataType
     hashed = F.col(key).cast("long") if isinstance(kind, IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(key))
     schema = StructType([df.schema[c] for c in own] + [StructField("shard", IntegerType()), StructField("slot", LongType()), StructField("grown_shard", IntegerType()), StructField("__task", IntegerType())])
@@ -75,7 +76,7 @@ def jump_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> Dat
     before = Window.partitionBy("shard").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     placed = rows.join(small_side(offsets, counts.count()), ["shard", "__task"])
-    return placed.select(*own, "shard", (F.col("slot") + F.col("__before")).alias("slot"), "grown_shard")
+    return named(placed.select(*own, "shard", (F.col("slot") + F.col("__before")).alias("slot"), "grown_shard"), named_own)
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

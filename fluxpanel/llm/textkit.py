@@ -1,20 +1,29 @@
 """Words and hashes of whole texts, vectorised over batches of documents.
 
 A batch of documents becomes one byte buffer in which words are separated by
-one space.  The hash of any run of words is then a difference of two prefix
-sums, so n-grams of any width cost a few numpy operations a byte and memory is
-bounded by `CHUNK_WORDS`, however long a document is.
+one space.  Every distinct word is hashed on its own by BLAKE2b.  A run of words
+is hashed by doubling: two halves of 2^k words (which overlap where the width is
+no power of two) are mixed into one number, each half by a step that no linear
+relation passes.  So n-grams of any width cost a few numpy operations a word for
+each doubling, there are no texts whose hashes collide by their structure, and
+two given different runs collide with a chance of 2^-64.  Memory is bounded by
+`CHUNK_WORDS` beside the words themselves, however long a document is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 #: Words hashed at a time.
 CHUNK_WORDS = 1 << 17
 
+#: Distinct words whose hashes a worker keeps, and the longest of them in bytes.
+KEPT_WORDS, KEPT_BYTES = 1 << 18, 64
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -31,29 +40,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _streams(seed: int, n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_GOLDEN) + np.uint64(seed))
+class _Digests(dict):
+    """128 bits of BLAKE2b of each word; those of short words are kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = digest
+        return digest
 
 
-class _Powers:
-    """base^k and base^-k modulo 2^64, as far as needed so far."""
+_DIGESTS = _Digests()
 
-    def __init__(self, seed: int):
-        self.base = int(_streams(seed + 77, 1)[0]) | 5
-        self.codes = _streams(seed, 256)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-        return self.up[:n], self.down[:n]
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
+    return np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
-_POWERS: dict[int, _Powers] = {}
+def joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    """The hash of two parts, in order, from their hashes."""
+    return mix(mix(left + np.uint64(salt & (1 << 64) - 1)) + right)
 
 
 @dataclass
@@ -85,17 +94,26 @@ class Words:
         at = np.flatnonzero(owner[:n] == owner[width - 1 :])
         return self.hashes(at, at + width - 1, seed), at
 
+    @cached_property
+    def digests(self) -> np.ndarray:
+        return word_digests(self.buffer.tobytes().split(b" ")[:-1])
+
     def hashes(self, a: np.ndarray, b: np.ndarray, seed: int = 1) -> np.ndarray:
-        """Hashes of the runs from word a[i] to word b[i]; a ascends."""
-        powers = _POWERS.setdefault(seed, _Powers(seed))
+        """Hashes of the runs from word a[i] to word b[i]; a ascends.  Odd seeds
+        take one half of a word's 128 bits, even ones the other."""
         out = np.empty(len(a), np.uint64)
         for lo in range(0, len(a), CHUNK_WORDS):
-            x, y = self.starts[a[lo : lo + CHUNK_WORDS]], self.ends[b[lo : lo + CHUNK_WORDS]]
-            left, right = int(x[0]), int(y.max())
-            up, down = powers.upto(right - left + 1)
-            sums = np.zeros(right - left + 1, np.uint64)
-            np.cumsum(powers.codes[self.buffer[left:right]] * up[:-1], out=sums[1:])
-            out[lo : lo + CHUNK_WORDS] = mix((sums[y - left] - sums[x - left]) * down[x - left] + (y - x).astype(np.uint64))
+            x, size = a[lo : lo + CHUNK_WORDS], (b[lo : lo + CHUNK_WORDS] - a[lo : lo + CHUNK_WORDS] + 1).astype(np.int64)
+            left, right = int(x[0]), int((x + size).max())
+            # level[i] is the hash of the 2^k words from i on.
+            level = mix(self.digests[left:right, seed % 2] + np.uint64(_GOLDEN * seed & (1 << 64) - 1))
+            x, part, top = x - left, out[lo : lo + CHUNK_WORDS], int(size.max()).bit_length() - 1
+            for k in range(top + 1):
+                own = slice(None) if top == 0 or (size.min() == size.max() and k == top) else np.flatnonzero(size >> k == 1)
+                if k == top or len(own):
+                    part[own] = joined(level[x[own]], level[x[own] + size[own] - (1 << k)], _GOLDEN * (k + 2)) + mix(size[own].astype(np.uint64))
+                if k < top:
+                    level = joined(level[: -(1 << k)], level[1 << k :], _GOLDEN * (k + 2))
         return out
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blobs, fields, map_batches
+from .runtime import blobs, fields, map_batches, named, plain
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 2048
@@ -286,9 +286,9 @@ def with_token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts have none; an empty table stays empty.  A file of another
     kind is an error.  A column of that name is replaced."""
-    own = [c for c in docs.columns if c != "n_tokens"]
+    docs, own = plain(docs, ("n_tokens",))
     shipped = docs.sparkSession.sparkContext.broadcast(Merges.load(path))
-    return map_batches(docs.select(*own), lambda b: _counted(b, shipped), fields(docs, own, "n_tokens long"))
+    return named(map_batches(docs, lambda b: _counted(b, shipped), fields(docs, docs.columns, "n_tokens long")), own)
 
 
 def token_digest(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learning import fold, labelled, logistic, sigmoid
-from .runtime import blobs, discard, fields, map_batches
+from .runtime import blobs, discard, fields, map_batches, named, plain
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 TRAINING_ROWS = 20_000
@@ -345,7 +345,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     Null and empty texts have no hits and get the score of a text without any.
     Columns of these names are replaced."""
-    own = [c for c in docs.columns if c not in ("score", "hits")]
+    docs, own = plain(docs, ("score", "hits"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
@@ -353,8 +353,8 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
             rows, hits = hit_inputs(blobs(batch, "text"), shipped.value.automaton)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shipped.value.scores(rows)), pa.array(hits, _HITS)], [*batch.schema.names, "score", "hits"])
 
-    schema = fields(docs, own, "score double, hits array<struct<start:long,end:long,term:string,edits:long,quoted:boolean>>")
-    return map_batches(docs.select(*own), scored, schema)
+    schema = fields(docs, docs.columns, "score double, hits array<struct<start:long,end:long,term:string,edits:long,quoted:boolean>>")
+    return named(map_batches(docs, scored, schema), own)
 
 
 def allowed_rows() -> Column:

@@ -6,6 +6,7 @@ from fluxpanel.llm import neardup
 from fluxpanel.llm.components import components
 
 from .conftest import corpus, invented, near
+from .test_textkit import thue_morse
 
 
 def brute(texts: dict[int, str | None], width=3, percent=85) -> dict[int, tuple[int, int, bool]]:
@@ -155,3 +156,12 @@ def test_corpus_of_another_seed(spark):
     texts = corpus(9, 60)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     assert rows(neardup.near_duplicates(df)) == brute(dict(enumerate(texts)))
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    texts = {}
+    for n in (1024, 2048, 4096):
+        for flip in (False, True):
+            texts[len(texts)] = f"{thue_morse(n, flip).decode()} one"
+    got = rows(neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert got == brute(texts) and all(v[2] for v in got.values())

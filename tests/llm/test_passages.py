@@ -4,6 +4,8 @@ import pytest
 
 from fluxpanel.llm import passages
 
+from .test_textkit import thue_morse
+
 
 def brute(texts, width=20):
     seen, out = set(), {}
@@ -70,3 +72,13 @@ def test_a_long_text_and_other_ids(spark):
     assert got[1][:2] == (700_000, 0) and got[2] == (62, 60, "start end")
     with pytest.raises(TypeError):
         passages.dedup_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    rest = " ".join(f"w{k}" for k in range(19))
+    rows = []
+    for n in (1024, 2048, 4096):
+        rows += [f"{thue_morse(n, flip).decode()} {rest[:k]}" for k, flip in ((None, False), (None, True))]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in passages.passage_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and not any(v[1] for v in got.values())

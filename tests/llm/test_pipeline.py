@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from fluxpanel.llm import mixing, toxicity
 
@@ -55,6 +57,41 @@ def test_columns_of_any_name(spark, docs):
         assert all(kept[r["doc_id"]] == tuple(r) for r in out.collect())
 
 
+ODD_NAMES = ["a.b", "back`tick", "a blank", "__row", "__bits", "__items", "__task", "__key", "__n", "_0", "_1", "row", "key", "TEXT2", "c0"]
+
+
+def test_names_with_dots_and_backticks(spark, docs):
+    odd = docs.limit(40).select("*", *[F.lit(k) for k in range(len(ODD_NAMES))]).toDF(*docs.columns, *ODD_NAMES)
+    kept = {r[0]: tuple(r) for r in odd.collect()}
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns[: len(odd.columns)] == odd.columns, name
+        got = [tuple(r)[: len(odd.columns)] for r in out.collect()]
+        assert got and all(kept[r[0]] == r for r in got), name
+
+
+def test_operators_keep_columns_of_any_name(spark, docs):
+    import public_tokenizers
+
+    from fluxpanel.llm import decontaminate, licences, quality_rules, shards, tokens
+
+    odd = docs.limit(40).select("*", *[F.lit(k) for k in range(len(ODD_NAMES))]).toDF(*docs.columns, *ODD_NAMES)
+    documents, labels, bench = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    kept = {r[0]: tuple(r) for r in odd.collect()}
+    for out in (
+        quality_rules.apply_rules(odd, quality_rules.train(documents, labels)),
+        tokens.with_token_counts(odd, public_tokenizers.path("word_bpe_49k.json")),
+        shards.jump_shards(odd),
+        decontaminate.contamination(odd, bench),
+        decontaminate.contamination(odd, bench, limit=4000),
+        toxicity.score_toxicity(odd, toxicity.train(documents, labels, toxicity.allowed_rows())),
+        licences.scan_licences(odd),
+        mixing.mix_rows(odd, mixing.train(documents, labels)),
+    ):
+        assert out.columns[: len(odd.columns)] == odd.columns
+        assert {r[0]: tuple(r)[: len(odd.columns)] for r in out.collect()} == kept
+
+
 def test_texts_of_one_id_are_judged_apart(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " more"), (None, a), (None, "c " * 9), (None, "c " * 9), (5, None), (5, None), (None, ""), (None, "")]

@@ -39,3 +39,38 @@ def test_statistics_of_odd_texts():
     rows = statistics(doc_stats([None, b"", b" ", "é".encode(), b"a a a a a a\na\na"]))
     assert np.isfinite(rows).all()
     assert statistics(doc_stats([])).shape[0] == 0
+
+
+def thue_morse(n: int, flip: bool = False) -> bytes:
+    """Strings on which polynomials modulo 2^64 collide, whatever their base."""
+    return bytes(97 + (bin(k).count("1") % 2 ^ flip) for k in range(n))
+
+
+def test_no_structure_collides():
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n), thue_morse(n, True)
+        for seed in (1, 11, 12, 13):
+            first, second = (textkit.words_of([w + b" one two"]).grams(3, seed)[0] for w in (a, b))
+            assert first[0] != second[0]
+        # Words instead of letters, in runs of such lengths.
+        texts = [b" ".join(w[k : k + 1] for k in range(n)) for w in (a, b)]
+        x, y = (textkit.words_of([t]).grams(n)[0] for t in texts)
+        assert x[0] != y[0]
+
+
+def test_repeated_words_of_long_words():
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n).decode(), thue_morse(n, True).decode()
+        stats = doc_stats([f"{a} q r s t z {b} q r s t".encode(), f"{a} q r s t z {a} q r s t".encode()])
+        assert stats.n_repeat_words.tolist() == [0, 10]
+
+
+def test_runs_of_any_width():
+    words = textkit.words_of([b"a b c d e f g a b c d e f g"])
+    for width in range(1, 8):
+        hashes = words.hashes(np.arange(14 - width + 1), np.arange(14 - width + 1) + width - 1)
+        assert len(set(hashes.tolist())) == 7
+    a, b = np.array([0, 0, 1, 7, 7]), np.array([2, 6, 3, 9, 13])
+    mixed = words.hashes(a, b)
+    assert mixed[0] == mixed[3] and mixed[1] == mixed[4] and len(set(mixed.tolist())) == 3
+    assert mixed[0] == words.hashes(a[:1], b[:1])[0]
