@@ -17,8 +17,10 @@ from .quality_kernel import quality_digest
 from .quality_rules import rules_digest
 from .runtime import table
 from .shards import shard_digest
+from .spelling import spelling_digest
 from .tokens import token_digest
 from .toxicity import toxicity_digest
+from .urls import url_digest
 
 
 def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,14 @@ def op10_licence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_quality": op1_ngram_quality,
     "op2_bpe_tokens": op2_bpe_tokens,
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_levenshtein_toxicity": op8_levenshtein_toxicity,
     "op9_kernel_quality": op9_kernel_quality,
     "op10_licence_spans": op10_licence_spans,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_url_filters": op12_url_filters,
 }
 
 #: DuckDB forms, where SQL can express the operator's rows.  The others rest on
@@ -87,4 +99,5 @@ SQL: dict[str, str] = {
     "op4_setsketch_neardup": sql.NEAR_DUPLICATES,
     "op6_passage_dedup": sql.PASSAGES,
     "op7_decontaminate": sql.CONTAMINATION,
+    "op12_url_filters": sql.URLS,
 }

@@ -39,3 +39,18 @@ items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) l
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(listed, '')) items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_HOST = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+
+URLS = f"""
+WITH u AS (SELECT page_id, url, {_HOST} host, {_PATH} path,
+  list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND split_part(p, '=', 1) NOT IN ('ref', 'fbclid', 'gclid'))) told FROM pages),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(regexp_replace(host, ':(80|443)$', ''), '\\.$', ''), '^www\\.', '') || regexp_replace(path, '/+$', '')
+  || CASE WHEN len(told) > 0 THEN '?' || array_to_string(told, '&') ELSE '' END END canonical FROM u),
+listed AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'ads-track', 'spam-farm', 'cheap-pills'])),
+ruled AS (SELECT c.*, l.canonical IS NOT NULL listed, CASE WHEN {_FITS.format("example.net", "/en/")} THEN 'example.net/en/' WHEN {_FITS.format("example.com", "/de/")} THEN 'example.com/de/'
+  WHEN {_FITS.format("org", "/fr/")} THEN 'org/fr/' WHEN {_FITS.format("net", "/")} THEN 'net/' END AS rule FROM c LEFT JOIN listed l ON l.canonical = c.canonical)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END verdict, listed FROM ruled
+"""

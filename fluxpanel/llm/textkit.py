@@ -22,7 +22,7 @@ import numpy as np
 CHUNK_WORDS = 1 << 17
 
 #: Distinct words whose hashes a worker keeps, and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 1 << 18, 64
+KEPT_WORDS, KEPT_BYTES = 1 << 15, 64
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = 0x9E3779B97F4A7C15
