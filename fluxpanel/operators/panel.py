@@ -80,6 +80,20 @@ def panel_lags(panel: DataFrame, unit: str = "pixel_id", t: str = "t", value: st
     return panel.withColumns({"dy": lag[0] - lag[1], "dyl": lag[1] - lag[2], "l2": lag[2], "l3": lag[3]})
 
 
+def keyed_lags(panel: DataFrame, unit: list[str], t: str = "t", value: str = "y", orders: tuple[int, ...] = (1, 2, 3), keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(unit, t, keep, value, lag1, ...): the value exactly k periods earlier, null if
+    that period is absent, of a panel with one row a unit and integer period.
+
+    Every row goes to its own period and those that look back at it, in one aggregate
+    by unit and period.  So a unit with any share of the rows is spread over all tasks,
+    which a window by unit would not do; where units are short, `shift` moves less."""
+    moved = panel.select(*unit, t, *keep, value, F.explode(F.array(*[F.lit(k) for k in (0, *orders)])).alias("__k"))
+    moved = moved.withColumn(t, F.col(t) + F.col("__k"))
+    own = lambda c, k=0: F.max(F.when(F.col("__k") == k, F.col(c)))
+    found = moved.groupBy(*unit, t).agg(F.min("__k").alias("__k"), *[own(c).alias(c) for c in (*keep, value)], *[own(value, k).alias(f"lag{k}") for k in orders])
+    return found.filter("__k = 0").drop("__k")
+
+
 def change_points(df: DataFrame, unit: str, order: list[str]) -> DataFrame:
     """The first row of each unit in the given order."""
     w = Window.partitionBy(unit).orderBy(*order)

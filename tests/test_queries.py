@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fluxpanel.plans import estimation_queries, graph_queries, panel_queries, spatial_queries  # noqa: F401
+from fluxpanel.plans import estimation_queries, graph_queries, job_queries, panel_queries, spatial_queries  # noqa: F401
 from fluxpanel.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events conversations".split()
 
 
 @pytest.fixture(scope="module")
