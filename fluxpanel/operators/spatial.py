@@ -203,6 +203,30 @@ def row_col_fill(raster: DataFrame, value: str | list[str] = "value", lat: str =
     return once.withColumns({v: F.coalesce(F.col(v), F.avg(v).over(col), F.lit(0.0)) for v in values})
 
 
+def overlap_mean(field: DataFrame, value: str, native: float, resolution: float, keys: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """(keys, lat, lon, value) at the centres of cells of `resolution` degrees whose edges
+    are its multiples: means of the native cells (centres, `native` degrees wide),
+    weighted by the share of each that lies in the target cell.  Missing native cells have
+    no weight; a target cell with none of weight is absent.  Neither width need divide
+    the other.
+
+    A native cell meets a bounded number of target cells, (native / resolution + 2)^2 at
+    most, so this is one explode and one partial aggregate, whatever the grids are."""
+
+    def met(c: str) -> Column:
+        # In units of target cells, rounded so that edges that coincide stay together.
+        lo, hi = (F.round((F.col(c) + side * native / 2) / resolution, 9) for side in (-1, 1))
+        last = F.greatest(F.ceil(hi) - 1, F.floor(lo)).cast("long")
+        cover = lambda k: F.least(hi, k + F.lit(1.0)) - F.greatest(lo, k.cast("double"))
+        return F.transform(F.sequence(F.floor(lo).cast("long"), last), lambda k: F.struct(k.alias("k"), cover(k).alias("w")))
+
+    rows = field.filter(F.col(value).isNotNull()).select(*keys, value, F.explode(met(lat)).alias("__a"), met(lon).alias("__b"))
+    rows = rows.select(*keys, value, "__a", F.explode("__b").alias("__b")).withColumn("__w", F.col("__a.w") * F.col("__b.w")).filter("__w > 0")
+    total = rows.groupBy(*keys, F.col("__a.k").alias("__i"), F.col("__b.k").alias("__j")).agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias(value))
+    centre = lambda k: (F.col(k) + 0.5) * resolution
+    return total.select(*keys, centre("__i").alias(lat), centre("__j").alias(lon), value)
+
+
 def land_mask(raster: DataFrame, value: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Whether a cell ever has a finite value."""
     return raster.groupBy(lat, lon).agg(F.coalesce(F.bool_or(finite(F.col(value))), F.lit(False)).alias("land"))

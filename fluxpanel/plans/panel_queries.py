@@ -121,11 +121,12 @@ def exclude_base_year(spark: SparkSession, d: str) -> DataFrame:
     return panel.after_base_year(fx.filled_a(spark, d), fx.BASE_YEAR).select("pixel_id", "ts", *r6("y"))
 
 
-@query("SELECT pixel_id, " + ", ".join(f"round(max(CASE WHEN t = {k} THEN y END), 6) AS t{k}" for k in range(80)) + " FROM filled_a GROUP BY pixel_id")
+@query("SELECT * FROM (PIVOT (SELECT pixel_id, 't' || t AS name, round(y, 6) y FROM filled_a) ON name USING max(y) GROUP BY pixel_id)")
 def panel_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """All months of the tables, of which there are 80 at every size."""
-    wide = fx.filled_a(spark, d).groupBy("pixel_id").pivot("t", list(range(80))).agg(F.max("y"))
-    return wide.select("pixel_id", *[F.round(f"`{k}`", 6).alias(f"t{k}") for k in range(80)])
+    """A column for each month of the axis, as many as it has."""
+    months = [r["t"] for r in fx.months(spark, d).select("t").distinct().orderBy("t").collect()]
+    wide = fx.filled_a(spark, d).groupBy("pixel_id").pivot("t", months).agg(F.max("y"))
+    return wide.select("pixel_id", *[F.round(f"`{k}`", 6).alias(f"t{k}") for k in months])
 
 
 @query("SELECT pixel_id, t, 'dy' AS name, round(dy, 6) AS value FROM lags WHERE dy IS NOT NULL UNION ALL SELECT pixel_id, t, 'dyl', round(dyl, 6) FROM lags WHERE dyl IS NOT NULL")

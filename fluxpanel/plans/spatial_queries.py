@@ -9,6 +9,7 @@ from ..functions import geo
 from ..operators import spatial, trajectory
 from ..sources import synthetic
 from . import build
+from ..sources import months
 from . import fixtures as fx
 from .panel_queries import r6
 from .registry import query
@@ -236,3 +237,15 @@ def demo_smoke_panel(spark: SparkSession, d: str) -> DataFrame:
     t = synthetic.smoke_rasters(spark)
     rows = build.build_panel(t["grid"], t["lai"], t["wind"])
     return rows.select("pixel_id", "ts", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("lai", "u", "v", "omega")])
+
+
+_OVERLAP = """seen AS (SELECT date_trunc('day', ts)::TIMESTAMP AS time, k // 10 AS a, k % 10 AS b, avg(value) v FROM (SELECT *, (props->>'$.k')::BIGINT k FROM events) GROUP BY 1, 2, 3),
+met AS (SELECT time, i, j, v, greatest(least((a + 1) * 0.4, i + 1) - greatest(a * 0.4, i), 0) * greatest(least((b + 1) * 0.4, j + 1) - greatest(b * 0.4, j), 0) w FROM seen, range(4) x(i), range(4) y(j))"""
+
+
+@query("SELECT time, (i + 0.5) * 2.5 AS latitude, (j + 0.5) * 2.5 AS longitude, round(sum(w * v) / sum(w), 6) AS value FROM met WHERE w > 1e-9 GROUP BY 1, 2, 3", _OVERLAP)
+def leaf_area_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means of the events' cells, one degree wide, then means by overlap in cells of two and a half degrees."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    raw = fx.load(spark, d, "events").select(F.col("ts").alias("time"), (F.floor(k / 10) + 0.5).alias("latitude"), (k % 10 + 0.5).alias("longitude"), "value")
+    return months.mean_of_means(raw, "value", 1.0, 2.5, "day").withColumn("value", F.round("value", 6))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.panel import clean, sentinel_null
+from ..operators.spatial import overlap_mean
 from .netcdf import write_raster
 
-#: Scale of the stored leaf area, and the last year that it covers.
-LEAF_SCALE, LEAF_LAST_YEAR = 0.001, 2013
+#: Scale of the stored leaf area, degrees of its cells, and the last year that it covers.
+LEAF_SCALE, LEAF_NATIVE, LEAF_LAST_YEAR = 0.001, 0.05, 2013
 
 
 def month_starts(first: int, last: int) -> list[date]:
@@ -24,15 +25,23 @@ def days_of(month: date) -> list[date]:
     return [month.replace(day=k + 1) for k in range(calendar.monthrange(month.year, month.month)[1])]
 
 
-def leaf_area_months(raw: DataFrame, first: int, last: int, resolution: float = 0.25, sentinel: float = -9999.0) -> DataFrame:
-    """(time, latitude, longitude, lai): monthly means of scaled leaf area over
-    bins of `resolution` degrees, at bin centres.  Missing cells do not count."""
+def mean_of_means(raw: DataFrame, value: str, native: float, resolution: float, period: str = "month") -> DataFrame:
+    """(time, latitude, longitude, value): the mean over the times of a period in each
+    native cell, then of those means over a target cell by overlap.  So a cell that was
+    seen on few days counts as much as one that was seen on many."""
+    at = F.date_trunc(period, "time").cast("timestamp_ntz").alias("time")
+    cells = raw.groupBy(at, "latitude", "longitude").agg(F.avg(value).alias(value))
+    return overlap_mean(cells, value, native, resolution, ["time"])
+
+
+def leaf_area_months(raw: DataFrame, first: int, last: int, resolution: float = 0.25, sentinel: float = -9999.0, native: float = LEAF_NATIVE) -> DataFrame:
+    """(time, latitude, longitude, lai): scaled leaf area of each month in cells of
+    `resolution` degrees, at their centres, from cells of `native` degrees: means over
+    the month's days, then over the cells by overlap.  Missing values do not count."""
     if last > LEAF_LAST_YEAR:
         raise ValueError(f"the leaf area record ends in {LEAF_LAST_YEAR}")
     rows = clean(sentinel_null(raw, "lai", sentinel), "lai").filter(F.year("time").between(first, last))
-    centre = lambda c: ((F.floor(F.col(c) / resolution + 1e-9) + 0.5) * resolution).alias(c)
-    month = F.date_trunc("month", "time").cast("timestamp_ntz").alias("time")
-    return rows.groupBy(month, centre("latitude"), centre("longitude")).agg((F.avg("lai") * LEAF_SCALE).cast("float").alias("lai"))
+    return mean_of_means(rows, "lai", native, resolution).withColumn("lai", (F.col("lai") * LEAF_SCALE).cast("float"))
 
 
 def wind_months(hourly: DataFrame) -> DataFrame:

@@ -110,8 +110,8 @@ def test_months(spark, tmp_path):
     raw = spark.sql("select timestamp_ntz'2001-01-05' + make_interval(0, 0, 0, cast(id as int)) time, 0.05 * (id % 5) + 0.025 latitude, 0.025 longitude, case when id = 3 then -9999 else 1000 + id end lai from range(40)")
     got = months.leaf_area_months(raw.withColumn("lai", F.col("lai").cast("double")), 2001, 2001)
     first = got.filter("month(time) = 1").first()
-    kept = [1000 + k for k in range(27) if k != 3]
-    assert first["lai"] == pytest.approx(np.mean(kept) * 0.001) and first["latitude"] == 0.125
+    cells = [[1000 + k for k in range(27) if k != 3 and k % 5 == c] for c in range(5)]
+    assert first["lai"] == pytest.approx(np.mean([np.mean(c) for c in cells]) * 0.001) and first["latitude"] == 0.125
     with pytest.raises(ValueError):
         months.leaf_area_months(raw, 2001, 2014)
     folder, wanted = str(tmp_path / "cache"), [date(2001, 1, 1), date(2001, 2, 1)]
@@ -122,6 +122,36 @@ def test_months(spark, tmp_path):
     assert months.wind_months(wind).filter("u = 1 and v = 2").count() == 10
 
 
+def test_leaf_area_is_a_mean_of_means(spark):
+    """Cells seen on one day and on three count alike."""
+    rows = [("2001-01-01", 0.025, 1000.0), *[(f"2001-01-0{k}", 0.075, 2000.0) for k in (2, 3, 4)], ("2001-01-09", 0.125, -9999.0)]
+    raw = spark.createDataFrame(rows, "time string, latitude double, lai double").select(F.col("time").cast("timestamp_ntz").alias("time"), "latitude", F.lit(0.025).alias("longitude"), "lai")
+    got = months.leaf_area_months(raw, 2001, 2001).collect()
+    assert [(r["latitude"], r["longitude"], r["lai"]) for r in got] == [(0.125, 0.125, 1.5)]
+
+
+@pytest.mark.parametrize(("native", "resolution", "origin"), [(0.05, 0.25, 0.025), (0.1, 0.25, 0.05), (0.07, 0.25, -1.0), (0.4, 0.25, 0.2), (1.0, 1.0, 0.5), (1.0, 0.3, -0.35)])
+def test_overlap_mean_against_dense(spark, native, resolution, origin):
+    from fluxpanel.operators.spatial import overlap_mean
+
+    rng = np.random.default_rng(1)
+    n = 13
+    at, values = origin + native * np.arange(n), rng.normal(size=(n, n))
+    values[rng.random((n, n)) < 0.2] = np.nan
+    rows = [(1, float(at[i]), float(at[j]), None if np.isnan(values[i, j]) else float(values[i, j])) for i in range(n) for j in range(n)]
+    df = spark.createDataFrame(rows, "time int, latitude double, longitude double, value double").repartition(3)
+    got = {(r["latitude"], r["longitude"]): r["value"] for r in overlap_mean(df, "value", native, resolution, ["time"]).collect()}
+    lo, hi = np.floor((at[0] - native / 2) / resolution) - 1, np.ceil((at[-1] + native / 2) / resolution) + 1
+    cells = np.arange(lo, hi)
+    share = np.clip(np.minimum.outer((cells + 1) * resolution, at + native / 2) - np.maximum.outer(cells * resolution, at - native / 2), 0, None)
+    share[share < 1e-8] = 0
+    weight, there = share @ ~np.isnan(values) @ share.T, share @ np.nan_to_num(values) @ share.T
+    expected = {((cells[i] + 0.5) * resolution, (cells[j] + 0.5) * resolution): there[i, j] / weight[i, j] for i, j in zip(*np.nonzero(weight > 1e-12), strict=True)}
+    assert {(round(a, 6), round(b, 6)) for a, b in got} == {(round(a, 6), round(b, 6)) for a, b in expected}
+    wanted = {(round(a, 6), round(b, 6)): v for (a, b), v in expected.items()}
+    assert {(round(a, 6), round(b, 6)): v for (a, b), v in got.items()} == pytest.approx(wanted, rel=1e-6, abs=1e-7)
+
+
 def test_figures():
     results = [Result("season-matched", "binary", None, [0.08, -0.01], [0.01, 0.01], {"mean": 1.4, "min": 1.1, "max": 1.6}), Result("paper-literal", "composition", None, [0.07, 0.02], [0.01, 0.01])]
     assert figures.decay_figure(results).count("<polyline") == 3
