@@ -15,7 +15,7 @@ from .operators.spatial import grid_difference, queen_adjacency
 from .plans import build, estimate, figures, report
 from .session import session
 from .sources import months, readers, synthetic
-from .sources.netcdf import read_netcdf
+from .sources.netcdf import read_netcdf, variables_of
 from .tables import materialise, small_side
 
 
@@ -33,8 +33,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-figures", action="store_true")
     build_ = p.add_argument_group("building")
     build_.add_argument("--grid", help="cells as CSV; with a polygon, what its cells are compared with")
-    build_.add_argument("--lai", help="parquet or NetCDF classic")
-    build_.add_argument("--wind", help="parquet or NetCDF classic; one or several pressure levels")
+    build_.add_argument("--lai", help="parquet or NetCDF")
+    build_.add_argument("--wind", help="parquet or NetCDF; one or several pressure levels")
     build_.add_argument("--time-units", help='what a numeric time in parquet counts, such as "hours since 1900-01-01"')
     build_.add_argument("--resolution", type=float, default=0.25)
     build_.add_argument("--hours-back", type=int, default=120)
@@ -92,13 +92,14 @@ def run_full(spark, args) -> str:
 
 
 def _field(spark, path: str, variables: list[str], time_units: str | None = None):
-    """A gridded field from parquet, a NetCDF classic file or a folder of such files."""
+    """A gridded field from parquet, a NetCDF file or a folder of such files, of which only
+    the variables of these roles are read."""
     if not path:
         raise FileNotFoundError("no path is given for " + ", ".join(variables))
     files = [path] if path.endswith(".nc") else sorted(str(f) for f in Path(path).glob("*.nc")) if Path(path).is_dir() else []
     if not files:
         return readers.read_raster(spark, path, variables, time_units=time_units)
-    parts = [readers.as_raster(read_netcdf(spark, f), variables, time_units=time_units) for f in files]
+    parts = [readers.as_raster(read_netcdf(spark, f, variables_of(f, variables)), variables, time_units=time_units) for f in files]
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 

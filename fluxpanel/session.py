@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "fluxpanel", master: str | None = None, **conf: str) -> SparkSession:
-    """AQE and Arrow on, UTC; anything in `conf` (dots as double underscores) wins."""
+    """AQE, Arrow and filters for Python sources on, UTC; anything in `conf` (dots as double underscores) wins."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -15,5 +15,6 @@ def session(app: str = "fluxpanel", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.python.filterPushdown.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()

@@ -1,7 +1,7 @@
 """Readers and writers.
 
 Gridded fields are long tables (time, latitude, longitude, level?, variables).
-NetCDF classic files have a data source of their own (`netcdf.py`).  Checkpoints are parquet folders, never pickles."""
+NetCDF files have a data source of their own (`netcdf.py`).  Checkpoints are parquet folders, never pickles."""
 
 from __future__ import annotations
 

@@ -11,7 +11,7 @@ from fluxpanel.plans.estimate import Result
 from fluxpanel.sources import months, netcdf, readers
 
 
-def test_netcdf_round_trip(spark, tmp_path, monkeypatch):
+def test_netcdf_round_trip(spark, tmp_path):
     path = str(tmp_path / "field.nc")
     axes = {"time": np.array([0.0, 744.0]), "latitude": np.array([-1.0, 0.0, 1.0]), "longitude": np.array([5.0, 6.0])}
     values = np.arange(12.0).reshape(2, 3, 2)
@@ -19,8 +19,7 @@ def test_netcdf_round_trip(spark, tmp_path, monkeypatch):
     netcdf.write_netcdf(path, axes, {"lai": values, "u": values * 2}, {"lai": {"units": "1"}, "": {"title": "a field"}})
     header = netcdf.read_header(path)
     assert header.attributes == {"title": "a field"} and header.variables["lai"].attributes["units"] == "1"
-    monkeypatch.setattr(netcdf._Reader, "CELLS", 6)
-    df = netcdf.read_netcdf(spark, path)
+    df = netcdf.read_netcdf(spark, path, cells=6)
     assert df.columns == ["time", "latitude", "longitude", "lai", "u"]
     got = {(r["time"], r["latitude"], r["longitude"]): r["lai"] for r in df.collect()}
     assert len(got) == 12 and got[744.0, -1.0, 5.0] is None and got[744.0, 1.0, 6.0] == 11.0
@@ -53,7 +52,7 @@ def test_netcdf_records(spark, tmp_path):
 def test_netcdf_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         netcdf.read_netcdf(spark, str(tmp_path / "none.nc"))
-    (tmp_path / "x.nc").write_bytes(b"\x89HDF\r\n")
+    (tmp_path / "x.nc").write_bytes(b"\x89HDF\r\n\x1a\n" + bytes(20))
     with pytest.raises(ValueError):
         netcdf.read_netcdf(spark, str(tmp_path / "x.nc"))
 
@@ -156,3 +155,134 @@ def test_figures():
     results = [Result("season-matched", "binary", None, [0.08, -0.01], [0.01, 0.01], {"mean": 1.4, "min": 1.1, "max": 1.6}), Result("paper-literal", "composition", None, [0.07, 0.02], [0.01, 0.01])]
     assert figures.decay_figure(results).count("<polyline") == 3
     assert figures.multiplier_figure(results).count("<circle") == 1
+
+
+def _twins(tmp_path, new, more=0, **how):
+    """One field in a classic file and in one of the HDF5-based format."""
+    from . import hdf5_files
+
+    rng = np.random.default_rng(3)
+    hours, lat, lon = np.arange(10) * 6.0, np.linspace(-1, 1, 5), np.linspace(4, 7, 7)
+    packed = {n: rng.integers(-30000, 30000, (10, 5, 7)).astype("<i2") for n in ("u", "v")}
+    packed["u"][2, 1, 3] = -32767
+    units = "hours since 2001-01-01"
+    scaled = {n: np.where(p == -32767, np.nan, p * 0.25 + 100.0) for n, p in packed.items()}
+    netcdf.write_netcdf(str(tmp_path / "classic.nc"), {"time": hours, "latitude": lat, "longitude": lon}, scaled, {"time": {"units": units}})
+    axes = {"time": (hours.astype("<i4"), {"units": units}), "latitude": (lat, {}), "longitude": (lon.astype(">f8"), {})}
+    own = {"scale_factor": np.float64(0.25), "add_offset": np.float64(100.0), "_FillValue": np.int16(-32767)}
+    hdf5_files.write(tmp_path / "new.nc", axes, {n: (p, own) for n, p in packed.items()}, new, {"title": "a field"}, more, **how)
+    return str(tmp_path / "classic.nc"), str(tmp_path / "new.nc")
+
+
+@pytest.mark.parametrize("new", [False, True])
+@pytest.mark.parametrize("how", [{}, {"chunk": (3, 2, 4), "filters": ("shuffle", "deflate")}, {"chunk": (4, 5, 7), "filters": ("deflate", "fletcher32")}])
+def test_netcdf4_equals_its_classic_twin(spark, tmp_path, new, how):
+    classic, hdf = _twins(tmp_path, new, 20, **how)
+    a, b = netcdf.read_netcdf(spark, classic, cells=70), netcdf.read_netcdf(spark, hdf, cells=70)
+    assert a.schema == b.schema and a.columns == ["time", "latitude", "longitude", "u", "v"]
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and b.filter("u is null").count() == 1
+    header = netcdf.read_header(hdf)
+    assert header.attributes == {"title": "a field"} and header.variables["u"].attributes["note19"] == "n" * 40
+    assert b.rdd.getNumPartitions() == (5 if not how else 4 if how["chunk"][0] == 3 else 3)
+
+
+def test_netcdf4_chunks_that_are_not_there(tmp_path):
+    from . import hdf5_files
+    from fluxpanel.sources import hdf5
+
+    values = np.arange(24.0).reshape(6, 4)
+    for new in (False, True):
+        hdf5_files.write(tmp_path / "x.nc", {"time": (np.arange(6.0), {}), "x": (np.arange(4.0), {})}, {"v": (values, {})}, new, chunk=(2, 3), fill=-5.0, leave_out={(1, 0)})
+        expected = values.copy()
+        expected[2:4, :3] = -5
+        f = hdf5.File(str(tmp_path / "x.nc"))
+        assert (f.read("v") == expected).all() and (f.read("v", 3, 5) == expected[3:5]).all()
+
+
+def test_netcdf4_errors(tmp_path):
+    from . import hdf5_files
+
+    hdf5_files.write(tmp_path / "x.nc", {"t": (np.arange(3.0), {})}, {"v": (np.arange(3.0), {})}, True)
+    raw = (tmp_path / "x.nc").read_bytes()
+    (tmp_path / "cut.nc").write_bytes(raw[:150])
+    with pytest.raises(ValueError, match="early"):
+        netcdf.read_header(str(tmp_path / "cut.nc"))
+
+
+@pytest.mark.parametrize("kind", ["classic", "hdf5"])
+def test_netcdf_pruning(spark, tmp_path, kind):
+    """A filter on time and a choice of variables leave bytes unread."""
+    from datetime import datetime
+
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    classic, hdf = _twins(tmp_path, True, chunk=(2, 5, 7), filters=("shuffle",))
+    path = classic if kind == "classic" else hdf
+    at = lambda k: datetime(2001, 1, 1 + 6 * k // 24, 6 * k % 24)
+
+    def read(names, *filters):
+        reader = netcdf._PruningReader(path, names, 70)
+        counted = lambda: reader.header.read_bytes + (reader.header.file.read_bytes if reader.header.file else 0)
+        before = counted()
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        pieces = reader.partitions()
+        return [(p.lo, p.hi) for p in pieces], sum(b.num_rows for p in pieces for b in reader.read(p)), counted() - before
+
+    every, rows, both = read(["time", "latitude", "longitude", "u", "v"])
+    assert every == [(k, k + 2) for k in range(0, 10, 2)] and rows == 350
+    one = read(["u"])[2]
+    few = read(["u"], GreaterThanOrEqual(("time",), at(3)), LessThan(("time",), at(5)))
+    assert few[0] == [(2, 4), (4, 6)] and few[1] == 140 and few[2] < one < both
+    assert read(["u"], EqualTo(("time",), at(9)))[0] == [(8, 10)] and read(["u"], In(("time",), (at(0), at(3))))[0] == [(0, 2), (2, 4)]
+    assert read(["u"], EqualTo(("time",), datetime(1999, 1, 1)))[0] == [(0, 0)] and read(["u"], EqualTo(("latitude",), 1.0))[0] == every
+    # The same through Spark, with and without its setting for Python sources.
+    for on in ("true", "false"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+        try:
+            df = netcdf.read_netcdf(spark, path, ["v"], 70).filter("time >= timestamp_ntz'2001-01-01 18:00:00' and time < timestamp_ntz'2001-01-02 06:00:00'")
+            assert df.columns == ["time", "latitude", "longitude", "v"] and df.count() == 70
+            assert df.rdd.getNumPartitions() == (2 if on == "true" else 5)
+        finally:
+            spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert netcdf.variables_of(path, ["v"]) == ["v"] and netcdf.variables_of(path, ["v", "omega"]) is None
+    with pytest.raises(Exception, match="no variables"):
+        netcdf.read_netcdf(spark, path, ["w"])
+
+
+def test_raster_writer_commits_or_leaves_nothing(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, cast(t as int)) time, cast(y as double) latitude, cast(x as double) longitude, cast(t * 100 + y * 10 + x as float) u from (select explode(sequence(0, 5)) t), (select explode(sequence(0, 3)) y), (select explode(sequence(0, 2)) x) where t <> 3")
+    path = tmp_path / "out.nc"
+    broken = rows.withColumn("u", F.when(F.col("u") == 211, F.raise_error(F.lit("lost")).cast("float")).otherwise(F.col("u")))
+    with pytest.raises(Exception, match="lost"):
+        netcdf.write_raster(broken, str(path), ["u"])
+    assert list(tmp_path.iterdir()) == []
+    netcdf.write_raster(rows, str(path), ["u"])
+    first = path.read_bytes()
+    # A run that fails leaves the file as it was; one that succeeds writes the same bytes, however it is dealt out.
+    with pytest.raises(Exception, match="lost"):
+        netcdf.write_raster(broken, str(path), ["u"])
+    assert path.read_bytes() == first
+    netcdf.write_raster(rows.repartition(7), str(path), ["u"])
+    assert path.read_bytes() == first and [p.name for p in tmp_path.iterdir()] == ["out.nc"]
+    # An attempt of its own that is run twice, of which one is committed.
+    writer = netcdf._Writer(str(tmp_path / "twice.nc"), {"run": "r", "times": [0, 3_600_000_000], "latitude": [0.0], "longitude": [0.0, 1.0], "variables": ["u"], "attributes": {}, "fill": -1.0})
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"time": pa.array([0, 0], pa.timestamp("us")), "latitude": [0.0, 0.0], "longitude": [1.0, 0.0], "u": pa.array([4.0, 5.0], pa.float32())})
+    writer.write(iter([batch]))
+    writer.commit([writer.write(iter([batch])), writer.write(iter([])), None])
+    assert netcdf.read_variable(str(tmp_path / "twice.nc"), netcdf.read_header(str(tmp_path / "twice.nc")), "u").ravel().tolist()[:2] == [5.0, 4.0]
+    assert not list(tmp_path.glob("*attempts*"))
+
+
+def test_netcdf_single_record_of_odd_size(tmp_path):
+    """Records of one variable of two-byte numbers follow each other without padding."""
+    import struct
+
+    name = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    none = struct.pack(">ii", 0, 0)
+    head = b"CDF\x01" + struct.pack(">i", 4) + struct.pack(">ii", 10, 2) + name("time") + struct.pack(">i", 0) + name("x") + struct.pack(">i", 3)
+    head += none + struct.pack(">ii", 11, 1) + name("v") + struct.pack(">iii", 2, 0, 1) + none + struct.pack(">ii", 3, 8)
+    path = tmp_path / "r.nc"
+    path.write_bytes(head + struct.pack(">i", len(head) + 4) + np.arange(12).astype(">i2").tobytes())
+    assert netcdf.read_variable(str(path), netcdf.read_header(str(path)), "v").tolist() == np.arange(12.0).reshape(4, 3).tolist()
