@@ -3,37 +3,45 @@
 A classifier fitted on the labels table gives every document posteriors over
 domains.  Documents get nonnegative rates whose expected token totals per
 domain match the targets: least squares with a pull towards rate 1, solved by
-projected gradients with momentum and finished exactly.  A step needs the totals
-per domain only, and a document's rate follows from its posteriors and the
-residuals so far, so the state that travels is a short list of numbers and a lost
-executor costs one re-read.  At the solution a rate follows from one multiplier a
-domain, and Newton's method on these few settles what the gradients leave.
+projected gradients with spectral steps until no rate can still improve.  A
+step needs the totals per domain only, and a document's rate follows from its
+posteriors and the steps so far, so the state that travels is a short list of
+numbers and a lost executor costs one re-read.
+
+Posteriors are kept in steps of 1 / GRID.  Documents with the same posteriors have the
+same rate, so one aggregate sums up their tokens, and the passes of the gradients run
+over its rows: GRID + 2 over 2 of them at most for three domains, however many
+documents there are.
 
 Tokens are words here (runs of characters other than ASCII white space).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learning import labelled
 from .ngrams import LinearModel, fit
-from .runtime import blobs, fields, map_batches, materialise, named, plain
+from .runtime import blobs, discard, fields, map_batches, materialise, named, plain
 from .textkit import words_of
 
 #: Domains, from the labels table, and their target shares of all tokens.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = (0.94, 0.06, 0.0)
 
-#: Labelled rows that the classifier is fitted on, at most; pull towards rate 1;
-#: steps at most; and the change of the residuals that ends them.
-TRAINING_ROWS, PULL, STEPS, SETTLED = 3000, 1e-3, 60, 1e-6
+#: Labelled rows that the classifier is fitted on, at most; pull towards rate 1; parts
+#: of a posterior.
+TRAINING_ROWS, PULL, GRID = 3000, 1e-3, 1024
 
-#: Newton steps at most, and the error of a domain's share that ends them.
-NEWTON, EXACT = 100, 1e-9
+#: Steps at most; the weighted length of the projected gradient that ends them; earlier
+#: steps that a step may be no worse than.
+STEPS, SETTLED, LOOK_BACK = 400, 1e-9, 10
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> LinearModel:
@@ -49,7 +57,7 @@ def with_posteriors(docs: DataFrame, model: LinearModel, columns: list[str]) ->
     def described(batches):
         for batch in batches:
             texts = blobs(batch, "text")
-            rows = shipped.value.posteriors(texts) if texts else np.zeros((0, len(DOMAINS)))
+            rows = on_grid(shipped.value.posteriors(texts)) if texts else np.zeros((0, len(DOMAINS)))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(words_of(texts).counts, pa.int64()), values], [*columns, "n_tokens", "posteriors"])
@@ -58,108 +66,109 @@ def with_posteriors(docs: DataFrame, model: LinearModel, columns: list[str]) ->
     return map_batches(own, described, fields(own, columns, "n_tokens long, posteriors array<double>"))
 
 
-def rates(p: np.ndarray, shares: np.ndarray, residuals: list[np.ndarray], pull: float, ahead: bool = False) -> np.ndarray:
-    """Rates of documents with posteriors `p` after the steps taken so far, or,
-    `ahead`, where the next residual is taken: steps are accelerated by momentum."""
-    r = q = np.ones(len(p))
-    for t, residual in enumerate(residuals, 1):
-        was, r = r, np.maximum(0, q - (p @ (residual / shares) + pull * (q - 1)) / (1 + pull))
-        q = r + (t - 1) / (t + 2) * (r - was)
-    return q if ahead else r
-
+def on_grid(p: np.ndarray) -> np.ndarray:
+    """Posteriors as multiples of 1 / GRID that add up to 1, those with the largest
+    remainders rounded up."""
+    whole = np.floor(p * GRID)
+    rest = np.argsort(np.argsort(whole - p * GRID, axis=1, kind="stable"), axis=1)
+    return (whole + (rest < GRID - whole.sum(1, keepdims=True))) / GRID
 
-def _matrix(column, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
+@dataclass(frozen=True)
+class Step:
+    """The size of a step and the residuals of the domains, divided by their shares, that it goes against."""
 
-def _totals(described: DataFrame, shares: np.ndarray, residuals: list[np.ndarray], pull: float) -> np.ndarray:
-    """Expected tokens of each domain at the present rates, and all tokens."""
-    width = len(shares)
+    size: float
+    slope: tuple[float, ...]
 
-    def partial(batches):
-        total = np.zeros(width + 1)
-        for batch in batches:
-            p, n = _matrix(batch.column(1), width), batch.column(0).to_numpy(zero_copy_only=False)
-            total[:width] += (rates(p, shares, residuals, pull, ahead=True) * n) @ p
-            total[width] += n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.tolist()], [f"d{k}" for k in range(width + 1)])
 
-    parts = map_batches(described.select("n_tokens", "posteriors"), partial, ", ".join(f"d{k} double" for k in range(width + 1)))
-    return np.array([v or 0.0 for v in parts.agg(*[F.sum(f"d{k}") for k in range(width + 1)]).first()])
+def gradient(p: np.ndarray, r: np.ndarray, slope, pull: float) -> np.ndarray:
+    return p @ np.asarray(slope) + pull * (r - 1)
 
 
-def multiplied(p: np.ndarray, multipliers: np.ndarray, pull: float) -> np.ndarray:
-    """Rates of documents with posteriors `p` at the domains' multipliers."""
-    return np.maximum(0, 1 - p @ multipliers / pull)
+def rates(p: np.ndarray, steps: list[Step], pull: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors `p` after the steps, and before the last."""
+    r = was = np.ones(len(p))
+    for s in steps:
+        was, r = r, np.maximum(0, r - s.size * gradient(p, r, s.slope, pull))
+    return r, was
 
 
-def _rate(multipliers: np.ndarray, pull: float) -> Column:
-    """The same as an expression over the column of posteriors."""
-    return F.greatest(F.lit(0.0), 1 - sum((F.col("posteriors")[k] * float(m) for k, m in enumerate(multipliers)), F.lit(0.0)) / pull)
+def _matrix(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _curved(described: DataFrame, multipliers: np.ndarray, pull: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Of the rates at `multipliers`, in tokens: half the sum of their squares,
-    the totals of the domains, and the products of posteriors where a rate is positive."""
-    width = len(multipliers)
-    names = [f"v{k}" for k in range(1 + width + width * width)]
+def _sums(groups: DataFrame, width: int, f) -> list[np.ndarray]:
+    """Sums over the groups of the arrays that f(posteriors, tokens) gives."""
+    shapes = [np.shape(v) for v in f(np.zeros((1, width)), np.zeros(1))]
+    cuts = np.cumsum([int(np.prod(s, dtype=int)) for s in shapes])
+    names = [f"v{k}" for k in range(cuts[-1])]
 
     def partial(batches):
-        total = np.zeros(len(names))
+        total = np.zeros(cuts[-1])
         for batch in batches:
-            p, n = _matrix(batch.column(1), width), batch.column(0).to_numpy(zero_copy_only=False)
-            r = multiplied(p, multipliers, pull)
-            total += np.concatenate(([(n * r * r).sum() / 2], (n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()))
+            found = f(_matrix(batch.column(1), width), batch.column(0).to_numpy(zero_copy_only=False).astype(float))
+            total += np.concatenate([np.ravel(v) for v in found])
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.tolist()], names)
 
-    parts = map_batches(described.select("n_tokens", "posteriors"), partial, ", ".join(f"{v} double" for v in names))
-    out = np.array([v or 0.0 for v in parts.agg(*[F.sum(v) for v in names]).first()])
-    return float(out[0]), out[1 : 1 + width], out[1 + width :].reshape(width, width)
-
-
-def finish(described: DataFrame, total: float, wanted: np.ndarray, shares: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
-    """The multipliers of the solution: those at which the residual of each
-    domain, divided by its share, is its multiplier.
-
-    They minimise a convex function whose gradient is piecewise linear, so
-    damped Newton steps from anywhere come to an end; if not, it is an error."""
-
-    def at(x: np.ndarray):
-        half, totals, products = _curved(described, x, pull)
-        return (x * x) @ shares / 2 + x @ wanted + pull * half / total, shares * x + wanted - totals / total, np.diag(shares) + products / (pull * total)
-
-    x = start
-    value, gradient, curvature = at(x)
-    for _ in range(NEWTON):
-        if np.abs(gradient).max() < EXACT:
-            # Rounded, so that the order of summation does not show in the rates.
-            return np.round(x - np.linalg.solve(curvature, gradient), 12)
-        step, size = np.linalg.solve(curvature, gradient), 1.0
-        while True:
-            new = at(x - size * step)
-            if new[0] <= value - 1e-4 * size * (gradient @ step) or np.abs(new[1]).max() < np.abs(gradient).max() / 2 or size < 1e-6:
-                break
-            size /= 2
-        x = x - size * step
-        value, gradient, curvature = new
-    raise RuntimeError(f"rates did not settle: shares miss their solution by {np.abs(gradient).max():.3g} after {NEWTON} steps")
-
-
-def fit_rates(described: DataFrame, targets: tuple[float, ...] = TARGETS, pull: float = PULL, steps: int = STEPS) -> np.ndarray:
-    """Multipliers of the domains, which give each document its rate."""
+    parts = groups.select("n_tokens", "posteriors").mapInArrow(partial, ", ".join(f"{v} double" for v in names))
+    row = np.array([v or 0.0 for v in parts.agg(*[F.sum(v) for v in names]).first()])
+    return [v.reshape(s) for v, s in zip(np.split(row, cuts[:-1]), shapes, strict=True)]
+
+
+def fit_rates(described: DataFrame, targets: tuple[float, ...] = TARGETS, pull: float = PULL, steps: int = STEPS) -> list[Step]:
+    """The steps that lead to the rates, at which the projected gradient vanishes.
+
+    Sizes are those of Barzilai and Borwein, its two rules in turn; a step that comes
+    out worse than the last LOOK_BACK ones is taken back and halved.  Rates that have
+    not settled after `steps` passes are an error."""
     width = len(targets)
-    start = _totals(described, np.ones(width), [], pull)
+    # Written, as every pass reads it; of bounded size, so a few tasks are enough.
+    groups = materialise(described.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")).filter("n_tokens > 0").coalesce(8))
+    start, square = _sums(groups, width, lambda p, n: (np.append(n @ p, n.sum()), (p * n[:, None]).T @ p))
     total = start[width]
     if not total:
-        return np.zeros(width)
+        return []
     wanted, shares = np.array(targets) / sum(targets), np.maximum(start[:width] / total, 1e-6)
-    residuals, now = [], start
+    slope_at = lambda totals: np.round((totals / total - wanted) / shares, 12)
+    slope = slope_at(start[:width])
+    done, values = [Step(1 / (1 + pull), tuple(slope))], [shares @ slope**2 / 2]
     for _ in range(steps):
-        residuals.append(now[:width] / total - wanted)
-        if len(residuals) > 1 and np.abs(residuals[-1] - residuals[-2]).max() < SETTLED:
-            break
-        now = _totals(described, shares, residuals, pull)
-    return finish(described, total, wanted, shares, residuals[-1] / shares, pull)
+        now = list(done)
+
+        def moved(p, n, now=now):
+            r, was = rates(p, now, pull)
+            # How far the rates before the step could still move, and the step itself.
+            free = was - np.maximum(0, was - gradient(p, was, now[-1].slope, pull))
+            step = r - was
+            return (n * r) @ p, n @ (free * free), n @ (step * step), (n * step) @ p, n @ ((r - 1) ** 2)
+
+        totals, free, ss, sp, off = (v / total for v in _sums(groups, width, moved))
+        if np.sqrt(free) < SETTLED:
+            discard(groups)
+            return done[:-1]
+        fresh = slope_at(totals * total)
+        value = shares @ fresh**2 / 2 + pull * off / 2
+        if value > max(values[-LOOK_BACK:]) + 1e-15:
+            done[-1] = Step(done[-1].size / 2, done[-1].slope)
+            continue
+        turn = fresh - slope
+        sy, yy = turn @ sp + pull * ss, turn @ square @ turn / total + 2 * pull * turn @ sp + pull**2 * ss
+        size = 1 / (1 + pull) if sy <= 0 or yy <= 0 else ss / sy if len(done) % 2 else sy / yy
+        slope = fresh
+        values.append(value)
+        done.append(Step(float(np.round(min(max(size, 0.1), 1 / pull), 12)), tuple(slope)))
+    raise RuntimeError(f"rates did not settle: a projected gradient of {np.sqrt(free):.3g} is left after {steps} steps")
+
+
+def _rate(steps: list[Step], pull: float) -> Column:
+    """The rates that the steps lead to, of the column of posteriors."""
+
+    @F.pandas_udf("double")
+    def rate(*p: pd.Series) -> pd.Series:
+        return pd.Series(rates(np.column_stack([c.to_numpy(float) for c in p]), steps, pull)[0])
+
+    return rate(*[F.col("posteriors")[k] for k in range(len(DOMAINS))])
 
 
 def _copies(key: str) -> Column:
@@ -175,9 +184,9 @@ def mix(docs: DataFrame, model: LinearModel, targets: tuple[float, ...] = TARGET
     rest, by the hash of doc_id.  Documents without words have rates by their
     posteriors too, and change no total.  An empty table stays empty."""
     described = materialise(with_posteriors(docs, model, ["doc_id"]))
-    multipliers = fit_rates(described, targets, pull)
+    steps = fit_rates(described, targets, pull)
     named = [F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return described.select("doc_id", "n_tokens", *named, _rate(multipliers, pull).alias("rate")).select("*", _copies("doc_id"))
+    return described.select("doc_id", "n_tokens", *named, _rate(steps, pull).alias("rate")).select("*", _copies("doc_id"))
 
 
 def mix_rows(docs: DataFrame, model: LinearModel, targets: tuple[float, ...] = TARGETS, pull: float = PULL) -> DataFrame:
@@ -187,8 +196,8 @@ def mix_rows(docs: DataFrame, model: LinearModel, targets: tuple[float, ...] = T
     posteriors, are replaced."""
     docs, own = plain(docs, ("rate", "copies", "n_tokens", "posteriors"), ("doc_id", "text"))
     described = materialise(with_posteriors(docs, model, docs.columns))
-    multipliers = fit_rates(described.select("n_tokens", "posteriors"), targets, pull)
-    return named(described.select(*docs.columns, _rate(multipliers, pull).alias("rate")).withColumn("copies", _copies("doc_id")), own)
+    steps = fit_rates(described.select("n_tokens", "posteriors"), targets, pull)
+    return named(described.select(*docs.columns, _rate(steps, pull).alias("rate")).withColumn("copies", _copies("doc_id")), own)
 
 
 def mixing_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -252,25 +252,54 @@ def test_mixing_settles_near_its_targets(world):
     assert np.abs(gradient[rate > 0]).max() < 1e-8 and (gradient[rate == 0] > -1e-8).all()
 
 
-def test_rates_that_do_not_settle_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "NEWTON", 0)
+def test_rates_that_do_not_settle_are_an_error(spark):
     df = spark.createDataFrame([(5, [0.5, 0.3, 0.2]), (7, [0.1, 0.2, 0.7])], "n_tokens long, posteriors array<double>")
     with pytest.raises(RuntimeError, match="did not settle"):
-        mixing.fit_rates(df)
-
-
-def test_rates_match_a_direct_solution():
+        mixing.fit_rates(df, steps=3)
+    assert mixing.fit_rates(df.limit(0)) == []
+
+
+def newton(p, n, wanted, pull):
+    """The same rates another way: each is max(0, 1 - p m / pull) for a multiplier m a
+    domain, the minimum of a convex function of these few numbers."""
+    w, shares = n / n.sum(), np.maximum(n @ p / n.sum(), 1e-6)
+    x = np.zeros(p.shape[1])
+
+    def at(x):
+        r = np.maximum(0, 1 - p @ x / pull)
+        return x * x @ shares / 2 + x @ wanted + pull * (w @ r**2) / 2, shares * x + wanted - (w * r) @ p, np.diag(shares) + (p * (w * (r > 0))[:, None]).T @ p / pull
+
+    for _ in range(200):
+        value, slope, curve = at(x)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while at(x - size * step)[0] > value - 1e-4 * size * (slope @ step) and size > 1e-9:
+            size /= 2
+        x = x - size * step
+        if np.abs(slope).max() < 1e-13:
+            break
+    return np.maximum(0, 1 - p @ x / pull)
+
+
+@pytest.mark.parametrize("pull", [0.05, 1e-3])
+@pytest.mark.parametrize("targets", [(0.7, 0.25, 0.05), (0.94, 0.06, 0.0), (0.0, 0.0, 1.0)])
+def test_rates_match_a_direct_solution(spark, pull, targets):
     rng = np.random.default_rng(0)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 500)
-    n, wanted, pull = rng.integers(1, 50, 500).astype(float), np.array([0.7, 0.25, 0.05]), 0.05
-    shares = n @ p / n.sum()
-    residuals = []
-    for _ in range(400):
-        q = mixing.rates(p, shares, residuals, pull, ahead=True)
-        residuals.append((q * n) @ p / n.sum() - wanted)
-    r = mixing.rates(p, shares, residuals, pull)
-    gradient = p @ (((r * n) @ p / n.sum() - wanted) / shares) + pull * (r - 1)
-    assert np.abs(gradient[r > 0]).max() < 1e-6 and (gradient[r == 0] > -1e-6).all()
+    p = mixing.on_grid(rng.dirichlet([0.3, 0.3, 0.3], 600))
+    n = np.concatenate((rng.integers(0, 50, 599), [30000])).astype(float)
+    df = spark.createDataFrame([(int(k), row.tolist()) for k, row in zip(n, p, strict=True)], "n_tokens long, posteriors array<double>").repartition(3)
+    steps = mixing.fit_rates(df, targets, pull)
+    r = mixing.rates(p, steps, pull)[0]
+    assert np.abs(r - newton(p, n, np.array(targets), pull)).max() < 1e-5 and len(steps) < 300
+    slope = ((r * n) @ p / n.sum() - np.array(targets)) / np.maximum(n @ p / n.sum(), 1e-6)
+    g = mixing.gradient(p, r, slope, pull)
+    assert np.abs(g[(r > 0) & (n > 0)]).max() < 1e-7 and (g[(r == 0) & (n > 0)] > -1e-7).all()
+
+
+def test_posteriors_on_the_grid():
+    rng = np.random.default_rng(1)
+    p = np.concatenate((rng.dirichlet([0.2, 0.2, 0.2], 500), np.eye(3), np.full((1, 3), 1 / 3), [[0.5, 0.5, 0.0]]))
+    q = mixing.on_grid(p)
+    assert (q.sum(1) == 1).all() and (q >= 0).all() and np.abs(p - q).max() < 1 / mixing.GRID and (q * mixing.GRID == np.round(q * mixing.GRID)).all()
 
 
 def test_isotonic():
