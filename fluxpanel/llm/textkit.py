@@ -1,28 +1,29 @@
 """Words and hashes of whole texts, vectorised over batches of documents.
 
 A batch of documents becomes one byte buffer in which words are separated by
-one space.  Every distinct word is hashed on its own by BLAKE2b.  A run of words
-is hashed by doubling: two halves of 2^k words (which overlap where the width is
-no power of two) are mixed into one number, each half by a step that no linear
-relation passes.  So n-grams of any width cost a few numpy operations a word for
-each doubling, there are no texts whose hashes collide by their structure, and
-two given different runs collide with a chance of 2^-64.  Memory is bounded by
-`CHUNK_WORDS` beside the words themselves, however long a document is.
+one space.  A word of up to seven bytes is its own number, longer ones are hashed by
+XXH3.  A run of words is hashed by doubling: two halves of 2^k words (which overlap
+where the width is no power of two) become one number by a product, an exclusive or
+and a shift, which no linear relation passes.  So n-grams of any width cost a few
+numpy operations a word for each doubling, there are no texts whose hashes collide by
+their structure, and two given different runs collide with a chance of about 2^-64.
+Memory is bounded by `CHUNK_WORDS` beside the words themselves, however long a document
+is.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+from xxhash import xxh3_128_digest
 
-#: Words hashed at a time.
-CHUNK_WORDS = 1 << 17
+#: Words hashed at a time, few enough to stay in a core's cache.
+CHUNK_WORDS = 1 << 15
 
-#: Distinct words whose hashes a worker keeps, and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 1 << 15, 64
+#: Bytes of a word that is its own number.
+OWN_BYTES = 7
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -40,29 +41,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Digests(dict):
-    """128 bits of BLAKE2b of each word; those of short words are kept."""
+def word_digests(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers of each word of a buffer."""
+    sizes, out = ends - starts, np.empty((2, len(starts)), np.uint64)
+    padded = np.concatenate((buffer, np.zeros(8, np.uint8)))
+    # Eight bytes from any place on, of which those behind the word and the last go.
+    lanes = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))[starts]
+    masks = (np.uint64(1) << (np.uint64(8) * np.arange(OWN_BYTES + 1, dtype=np.uint64))) - np.uint64(1)
+    own = lanes & masks[np.minimum(sizes, OWN_BYTES)] | sizes.astype(np.uint64) << np.uint64(56)
+    out[0], out[1] = own, own
+    long = np.flatnonzero(sizes > OWN_BYTES)
+    if len(long):
+        raw = buffer.tobytes()
+        found = b"".join([xxh3_128_digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        out[:, long] = np.frombuffer(found, np.uint64).reshape(-1, 2).T
+    return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        digest = hashlib.blake2b(word, digest_size=16).digest()
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = digest
-        return digest
 
-
-_DIGESTS = _Digests()
-
-
-def word_digests(words: list[bytes]) -> np.ndarray:
-    """Two 64-bit hashes of each word."""
-    return np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), np.uint64).reshape(-1, 2)
+_LEFT, _WHOLE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
     """The hash of two parts, in order, from their hashes."""
-    return mix(mix(left + np.uint64(salt & (1 << 64) - 1)) + right)
+    x = left * _LEFT
+    x ^= right
+    x += np.uint64(salt & (1 << 64) - 1)
+    x ^= x >> np.uint64(32)
+    x *= _WHOLE
+    return x
 
 
 @dataclass
@@ -96,22 +102,30 @@ class Words:
 
     @cached_property
     def digests(self) -> np.ndarray:
-        return word_digests(self.buffer.tobytes().split(b" ")[:-1])
+        return word_digests(self.buffer, self.starts, self.ends)
 
     def hashes(self, a: np.ndarray, b: np.ndarray, seed: int = 1) -> np.ndarray:
         """Hashes of the runs from word a[i] to word b[i]; a ascends.  Odd seeds
         take one half of a word's 128 bits, even ones the other."""
         out = np.empty(len(a), np.uint64)
         for lo in range(0, len(a), CHUNK_WORDS):
-            x, size = a[lo : lo + CHUNK_WORDS], (b[lo : lo + CHUNK_WORDS] - a[lo : lo + CHUNK_WORDS] + 1).astype(np.int64)
-            left, right = int(x[0]), int((x + size).max())
+            x, size = a[lo : lo + CHUNK_WORDS], b[lo : lo + CHUNK_WORDS] - a[lo : lo + CHUNK_WORDS] + 1
+            least, most = int(size.min()), int(size.max())
+            left, right, top = int(x[0]), int((x + size).max()), most.bit_length() - 1
             # level[i] is the hash of the 2^k words from i on.
-            level = mix(self.digests[left:right, seed % 2] + np.uint64(_GOLDEN * seed & (1 << 64) - 1))
-            x, part, top = x - left, out[lo : lo + CHUNK_WORDS], int(size.max()).bit_length() - 1
+            level = mix(self.digests[seed % 2, left:right] + np.uint64(_GOLDEN * seed & (1 << 64) - 1))
+            x, part = x - left, out[lo : lo + CHUNK_WORDS]
+            dense = len(x) == int(x[-1]) + 1
             for k in range(top + 1):
-                own = slice(None) if top == 0 or (size.min() == size.max() and k == top) else np.flatnonzero(size >> k == 1)
-                if k == top or len(own):
-                    part[own] = joined(level[x[own]], level[x[own] + size[own] - (1 << k)], _GOLDEN * (k + 2)) + mix(size[own].astype(np.uint64))
+                if least == most and k == top:
+                    n = len(x)
+                    # Two halves, which overlap; of a power of two, the level itself.
+                    whole = level if most == 1 << k else joined(level[: len(level) - most + (1 << k)], level[most - (1 << k) :], _GOLDEN * (k + 2))
+                    part[:] = mix((whole[:n] if dense else whole[x]) + np.uint64(_GOLDEN * most & (1 << 64) - 1))
+                elif least != most and len(own := np.flatnonzero(size >> k == 1)):
+                    n = size[own]
+                    halves = joined(level[x[own]], level[x[own] + n - (1 << k)], _GOLDEN * (k + 2))
+                    part[own] = mix(np.where(n == 1 << k, level[x[own]], halves) + n.astype(np.uint64) * np.uint64(_GOLDEN))
                 if k < top:
                     level = joined(level[: -(1 << k)], level[1 << k :], _GOLDEN * (k + 2))
         return out

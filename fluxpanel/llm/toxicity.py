@@ -44,6 +44,14 @@ WHOLE, SHORTEST, LONGEST, FUZZY, ODDS, SHARE, EXPLAINED = 3, 4, 12, 5, 20.0, 0.0
 #: which a word of reporting is looked for.
 NEAR, REPORTED = 20, 40
 
+#: What a misspelled hit counts beside an exact one, in sums over hits.
+MISSPELLED = 0.5
+
+#: Word beginnings that the lexicon is chosen from, the most frequent, at most; of
+#: them, those that mark toxic documents, likewise.  With LONGEST they bound what the
+#: driver holds: some 20 MB.
+CANDIDATES, MARKS = 200_000, 5_000
+
 #: Opening and closing quotation marks, besides the one that is both.
 QUOTES = ("“”", "«»", "„“")
 
@@ -201,7 +209,7 @@ def quoted(t: Text, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 #: Sums over a document's hits, the inputs of its score.
-INPUTS = ("exact", "misspelled", "quoted", "weight", "near", "density")
+INPUTS = ("exact", "misspelled", "quoted", "weight", "near", "density", "near_all", "density_all")
 
 
 def hit_inputs(texts: list[bytes | None], automaton: Automaton) -> tuple[np.ndarray, list[list[dict]]]:
@@ -216,20 +224,25 @@ def hit_inputs(texts: list[bytes | None], automaton: Automaton) -> tuple[np.ndar
     in_quotes = quoted(t, t.starts[words], t.starts[words] + t.sizes[words])
     for doc, a, b in _runs(t.owner[words]):
         own = words[a:b]
-        abuse = []
+        abuse, share = [], []
         for w, e, k, said in zip(own.tolist(), edits[a:b].tolist(), terms[a:b].tolist(), in_quotes[a:b].tolist(), strict=True):
             start = int(t.starts[w] - t.base[doc])
             end = start + int(t.sizes[w])
             hits[doc].append({"start": start, "end": end, "term": automaton.terms[k].text, "edits": e, "quoted": said})
             rows[doc, 2 if said else e] += 1
-            if not said and not e:
+            if not said:
                 abuse.append(w)
-                rows[doc, 3] = max(rows[doc, 3], automaton.terms[k].weight)
-        near = np.array(abuse)
-        if len(near):
-            rows[doc, 4] = (np.searchsorted(near, near + NEAR, side="right") - np.searchsorted(near, near - NEAR)).max()
-        rows[doc, 5] = 100 * len(abuse) / max(1, first[doc + 1] - first[doc])
-    rows[:, [0, 1, 2, 4, 5]] = np.log1p(rows[:, [0, 1, 2, 4, 5]])
+                share.append(MISSPELLED if e else 1.0)
+                rows[doc, 3] = max(rows[doc, 3], share[-1] * automaton.terms[k].weight)
+        # Hits in the window around each hit and among all words: exact ones, then all by their shares.
+        for column, least in ((4, 1.0), (6, 0.0)):
+            taken = np.array(share) >= least
+            if taken.any():
+                near, total = np.array(abuse)[taken], np.concatenate(([0.0], np.cumsum(np.array(share)[taken])))
+                rows[doc, column] = (total[np.searchsorted(near, near + NEAR, side="right")] - total[np.searchsorted(near, near - NEAR)]).max()
+                rows[doc, column + 1] = 100 * total[-1] / max(1, first[doc + 1] - first[doc])
+    sums = [0, 1, 2, 4, 5, 6, 7]
+    rows[:, sums] = np.log1p(rows[:, sums])
     rows[:, 3] /= 5
     return rows, hits
 
@@ -267,10 +280,11 @@ def _counting(only: frozenset | None):
 
 
 def _counts(rows: DataFrame, least: int, only: frozenset | None = None) -> dict[str, int]:
-    """In how many of the (bounded) rows each beginning stands."""
+    """In how many of the (bounded) rows each beginning stands; of the most frequent
+    CANDIDATES, of which `only` is never more."""
     parts = map_batches(rows.select("text"), _counting(only), "part string, n long")
     total = parts.groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return {r["part"]: r["n"] for r in total.collect()}
+    return {r["part"]: r["n"] for r in total.orderBy(F.desc("n"), "part").limit(CANDIDATES).collect()}
 
 
 def learn_lexicon(rows: DataFrame) -> list[Term]:
@@ -285,7 +299,7 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     # Of beginnings in the same documents only the longest is of use.
     longer = {p[:-1] for p in marks if len(p) > SHORTEST and pos[p] == pos.get(p[:-1])}
     marks -= longer
-    wanted = frozenset(marks)
+    wanted = frozenset(sorted(marks, key=lambda p: (-pos[p], p))[:MARKS])
 
     def held(batches):
         for batch in batches:

@@ -126,6 +126,32 @@ def test_automaton_against_edit_distance():
         assert [h["edits"] for h in hits[0]] == ([best] if best <= 1 else [])
 
 
+def test_context_sums_against_brute_force():
+    """Every input of a text from its hits, counted word by word."""
+    import random
+    import re
+
+    terms = [toxicity.Term("grublak", False, 3.0), toxicity.Term("snorf", True, 2.0), toxicity.Term("zog", True, 5.0)]
+    automaton, rng = toxicity.Automaton(terms), random.Random(2)
+    pool = ["grublak", "grublakish", "grublok", "snorf", "snorv", "zog", "calm", "day", "tree", "sun"]
+    texts = [" ".join(rng.choice(pool[4 * (k % 2) :]) for _ in range(rng.randint(1, 90))) for k in range(40)]
+    rows, hits = toxicity.hit_inputs([t.encode() for t in texts], automaton)
+    weight = {t.text: t.weight for t in terms}
+    for text, row, found in zip(texts, rows, hits, strict=True):
+        words = [m.span() for m in re.finditer(r"\w+", text)]
+        at = {w: k for k, (w, _) in enumerate(words)}
+        place = [(at[h["start"]], h["edits"], weight[h["term"]]) for h in found]
+        share = lambda e: toxicity.MISSPELLED if e else 1.0
+        around = lambda own: max((sum(v for q, v in own if abs(q - p) <= toxicity.NEAR) for p, _ in own), default=0.0)
+        exact, every = [(p, 1.0) for p, e, _ in place if not e], [(p, share(e)) for p, e, _ in place]
+        expected = [
+            np.log1p(len(exact)), np.log1p(len(place) - len(exact)), 0.0, max((share(e) * w for _, e, w in place), default=0.0) / 5,
+            np.log1p(around(exact)), np.log1p(100 * len(exact) / len(words)), np.log1p(around(every)), np.log1p(100 * sum(v for _, v in every) / len(words)),
+        ]
+        assert np.allclose(row, expected), (text, row, expected)
+    assert sum(h["edits"] for found in hits for h in found) > 20
+
+
 def test_context():
     automaton = toxicity.Automaton([toxicity.Term("idiot", True, 3.0), toxicity.Term("zorg", False, 3.0)])
     texts = ['you idiot, you zorgblat', 'the word "idiot" here', "he said idiot once", "«idiot» un", "idiott idoit", "zor zo", None]

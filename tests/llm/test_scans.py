@@ -174,3 +174,40 @@ def test_matching_statistics():
             assert [(i, n) for i, n, _ in found] == expected
             for i, n, state in found:
                 assert automaton.ends[state] and all(sequences[k][e - n + 1 : e + 1] == text[i - n + 1 : i + 1] for k, e in automaton.ends[state])
+
+
+def chained(found, size, gap, cover):
+    """The same chains, one match at a time with every chain looked at: a match joins the
+    chain that its words bring furthest (the oldest of equals), else begins one."""
+    chains = []
+    for start, words, at in sorted(found):
+        fits = []
+        for k, c in enumerate(chains):
+            in_text, in_template = start + words - 1 - c[1], at + words - 1 - c[2]
+            if in_text > 0 and in_template > 0 and start - c[1] <= gap and at - c[2] <= gap:
+                gain = min(words, in_text, in_template)
+                fits.append((-(c[3] + gain), k, gain))
+        if fits:
+            _, k, gain = min(fits)
+            chains[k] = [chains[k][0], start + words - 1, at + words - 1, chains[k][3] + gain]
+        else:
+            chains.append([start, start + words - 1, at + words - 1, words])
+    return [(a, b, min(1.0, total / size)) for a, b, _, total in chains if total >= cover * size]
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        size = rng.randint(5, 60)
+        found = [(rng.randint(0, 90), rng.randint(1, 12), rng.randint(0, size - 1)) for _ in range(rng.randint(0, 14))]
+        assert licences._chains(list(found), size) == chained(found, size, licences.MAX_GAP, licences.MIN_COVER)
+
+
+def test_notices_are_told_apart(spark):
+    texts = dict(enumerate(t for _, t in TEMPLATES))
+    df = spark.createDataFrame([(k, "before it " + t + " after it") for k, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licences.scan_licences(df).select("doc_id", "labels").collect()}
+    assert all(TEMPLATES[k][0] in labels for k, labels in got.items())
+    by = {n: [labels for k, labels in got.items() if TEMPLATES[k][0] == n] for n in ("zlib", "boost", "cc0", "epl", "bsd-3-clause", "agpl")}
+    assert by["zlib"] == [["zlib"]] and by["boost"] == [["boost"]] and by["cc0"] == [["cc0"]] and by["epl"] == [["epl"]] and by["bsd-3-clause"] == [["bsd-3-clause"]]
+    assert "mit" not in by["agpl"][0]
