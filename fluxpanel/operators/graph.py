@@ -25,7 +25,7 @@ LOCAL_PAIRS = 1 << 20
 
 def _searched(edges: DataFrame, depth: int) -> DataFrame:
     """(i, j, k) by breadth-first searches, each within a task: the sources are
-    dealt to tasks, the links, a few MB, are with all of them."""
+    dealt to tasks, the links, 16 bytes each and so 64 MB at most, are with all of them."""
     import numpy as np
     import pyarrow as pa
 
@@ -101,19 +101,35 @@ def upwind(circulation: DataFrame, shell: DataFrame) -> DataFrame:
     return circulation.filter("i <> j").distinct().join(shell, ["i", "j"])
 
 
+def paired(circulation: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, ways) of the pairs a < b that are linked: 1 from a to b, 2 back, 3 both.
+    One aggregate, which both directions of a pair meet in; `one_way` and
+    `both_ways_share` need no other."""
+    way = F.when(F.col("i") < F.col("j"), 1).otherwise(2)
+    pairs = circulation.filter("i <> j").groupBy(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return pairs.agg(F.bit_or(way).alias("ways"))
+
+
+def one_way(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of `paired` links: of a pair linked both ways, the direction with i > j goes."""
+    back = F.col("ways") == 2
+    return pairs.select(*keys, F.when(back, F.col("b")).otherwise(F.col("a")).alias("i"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("j"))
+
+
+def both_ways_share(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Per month, the share of links whose reverse is a link too."""
+    links, both = F.sum(F.bit_count("ways")), F.sum(F.when(F.col("ways") == 3, 2).otherwise(0))
+    return pairs.groupBy(*keys).agg((both / links).alias("share"))
+
+
 def unidirectional(circulation: DataFrame, keys: list[str]) -> DataFrame:
     """Of a pair linked both ways, the direction with i > j goes."""
-    edges = circulation.filter("i <> j").select(*keys, "i", "j").distinct()
-    back = edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))
-    two_way = edges.filter("i > j").join(back, [*keys, "i", "j"], "left_semi")
-    return edges.join(two_way, [*keys, "i", "j"], "left_anti")
+    return one_way(paired(circulation, keys), keys)
 
 
 def bidirectional_share(circulation: DataFrame, keys: list[str]) -> DataFrame:
     """Per month, the share of links whose reverse is a link too."""
-    edges = circulation.filter("i <> j").select(*keys, "i", "j").distinct()
-    back = edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1).alias("back"))
-    return edges.join(back, [*keys, "i", "j"], "left").groupBy(*keys).agg((F.count("back") / F.count(F.lit(1))).alias("share"))
+    return both_ways_share(paired(circulation, keys), keys)
 
 
 def row_standardised(w: DataFrame, keys: list[str]) -> DataFrame:

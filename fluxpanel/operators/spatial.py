@@ -6,7 +6,9 @@ regular lattice the match is arithmetic and needs no join at all."""
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import chord, chord_degrees, finite
-from ..tables import small_side
+from ..tables import materialise, small_side
 
 #: Half the diagonal of a cell, and the reach of edge and corner neighbours.
 VORONOI, QUEEN = 0.7072, math.sqrt(2) + 1e-6
@@ -232,23 +234,66 @@ def land_mask(raster: DataFrame, value: str, lat: str = "latitude", lon: str = "
     return raster.groupBy(lat, lon).agg(F.coalesce(F.bool_or(finite(F.col(value))), F.lit(False)).alias("land"))
 
 
-def bracket(events: DataFrame, axis: DataFrame, ts: str = "ts", keys: list[str] | None = None, stamp: str = "ts") -> DataFrame:
+#: Stamps of an axis that goes to the events whole; stamps of a stretch of a longer one, at least.
+SHORT_AXIS, STRETCH = 4096, 256
+
+
+def _micros(c: str | Column) -> Column:
+    return F.unix_micros(F.to_timestamp(c))
+
+
+def _not_later(stamps: Column, than: Column) -> Column:
+    """How many of a sorted array are not later, by halving."""
+    n = F.size(stamps)
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda s: s <= n)
+    fits = lambda p, s: (p + s <= n) & (F.try_element_at(stamps, F.least(p + s, n)) <= than)
+    return F.aggregate(steps, F.lit(0), lambda p, s: p + F.when(fits(p, s), s).otherwise(F.lit(0)))
+
+
+def _stretches(axis: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """An axis in stretches of about the root of its length: (stretch, stamps, next), and
+    the stretch of a time.  Each but the first begins with a stamp, and the times at which
+    they begin, few as they are, stand in the expression."""
+    parts = max(1, n // max(STRETCH, int(n**0.5)))
+    shares = ", ".join(f"{k / parts!r}" for k in range(1, parts)) or "0.0"
+    cuts = axis.select(_micros("__stamp").alias("m")).agg(F.expr(f"percentile_approx(m, array({shares}), {max(10_000, 20 * parts)})")).first()[0]
+    literal = F.from_json(F.lit(json.dumps(sorted(set(cuts)))), "array<bigint>")
+    of = lambda c: _not_later(literal, _micros(c))
+    held = axis.groupBy(of(F.col("__stamp")).alias("__stretch")).agg(F.array_sort(F.collect_set("__stamp")).alias("__axis"))
+    held = materialise(held)
+    # A row a stretch, without its stamps: the window sees few and short ones.
+    onward = held.select("__stretch", F.lead(F.col("__axis")[0]).over(Window.orderBy("__stretch")).alias("__next"))
+    return held.join(onward, "__stretch"), of
+
+
+def bracket(events: DataFrame, axis: DataFrame, ts: str = "ts", keys: list[str] | None = None, stamp: str = "ts", short: int = SHORT_AXIS) -> DataFrame:
     """Events with the stamps (t0, t1) of the axis (column `stamp`) around them and the weight w1
     of the later one; before the first and after the last stamp both are that
-    stamp and w1 is 0.  The axis, a short table, goes to the events as one sorted
-    array, in which each halves its way to the last stamp that is not later."""
+    stamp and w1 is 0.  Null times and an empty axis give nulls.
+
+    An axis of at most `short` stamps goes to the events as one sorted array, in which
+    each halves its way to the last stamp that is not later.  A longer one is cut into
+    stretches, which events are joined with by time: an event then meets the stamps of
+    one stretch, so what stands beside it grows with the root of the axis, and a stretch
+    that many events fall into can be split like any join."""
     keys = keys or [c for c in events.columns if c != ts]
-    stamps = axis.agg(F.array_sort(F.collect_set(stamp)).alias("__axis")).withColumn("__n", F.size("__axis"))
-    halves = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-    steps = F.filter(halves, lambda s: s <= F.col("__n"))
-    n, at = F.col("__n"), F.col("__at")
-    fits = lambda p, s: (p + s <= n) & (F.try_element_at("__axis", F.least(p + s, n)) <= F.col(ts))
-    place = F.aggregate("__steps", F.lit(0), lambda p, s: p + F.when(fits(p, s), s).otherwise(F.lit(0)))
-    held = events.crossJoin(F.broadcast(stamps.withColumn("__steps", steps))).withColumn("__at", place)
-    lo = F.try_element_at("__axis", F.greatest(at, F.lit(1)))
-    hi = F.try_element_at("__axis", F.when(at <= 0, F.lit(1)).otherwise(F.least(at + 1, n)))
-    seconds = lambda c: F.unix_micros(F.to_timestamp(c)).cast("double")
-    out = held.withColumns({"t0": lo, "t1": hi})
+    times = materialise(axis.select(F.col(stamp).alias("__stamp")).filter("__stamp is not null").distinct())
+    n, first = times.agg(F.count(F.lit(1)), F.min("__stamp").cast("string")).first()
+    kind = axis.schema[stamp].dataType
+    if n <= short:
+        stamps = times.agg(F.array_sort(F.collect_list("__stamp")).alias("__axis"))
+        held = events.crossJoin(F.broadcast(stamps)).withColumn("__next", F.lit(None).cast(kind))
+    else:
+        stretches, of = _stretches(times, n)
+        held = events.withColumn("__stretch", of(F.col(ts))).join(stretches, "__stretch", "left")
+    size, at = F.size("__axis"), F.col("__at")
+    held = held.withColumn("__at", F.when(F.col("__axis").isNotNull(), _not_later(F.col("__axis"), F.col(ts))).otherwise(0))
+    own = lambda k: F.when(F.col(ts).isNotNull(), F.coalesce(F.try_element_at("__axis", k), F.lit(first).cast(kind)))
+    out = held.withColumns({
+        "t0": own(F.greatest(at, F.lit(1))),
+        "t1": F.when(at <= 0, own(F.lit(1))).when(at < size, own(at + 1)).otherwise(F.coalesce("__next", own(F.greatest(at, F.lit(1))))),
+    })
+    seconds = lambda c: _micros(c).cast("double")
     w1 = F.coalesce(F.try_divide(seconds(F.col(ts)) - seconds(F.col("t0")), seconds(F.col("t1")) - seconds(F.col("t0"))), F.lit(0.0))
     return out.select(*keys, ts, "t0", "t1", w1.alias("w1"))
 

@@ -87,8 +87,11 @@ def build(grid: DataFrame, lai: DataFrame, wind: DataFrame, resolution: float, h
     moved = trajectory.Wind(field)
     met = materialise(trajectory.snapped_circulation(grid, stamps, moved, hours, resolution))
     discard(moved.snapshots)
-    share = graph.bidirectional_share(met, ["ts"]).agg(F.avg("share").alias("mean"), F.max("share").alias("worst"))
-    return {"panel": rows, "circulation": materialise(graph.unidirectional(met, ["ts"])), "adjacency": materialise(spatial.queen_adjacency(grid, resolution)), "bidirectional": share}
+    # One shuffle of links serves the share and the graph.
+    pairs = materialise(graph.paired(met, ["ts"]))
+    discard(met)
+    share = graph.both_ways_share(pairs, ["ts"]).agg(F.avg("share").alias("mean"), F.max("share").alias("worst"))
+    return {"panel": rows, "circulation": graph.one_way(pairs, ["ts"]), "adjacency": materialise(spatial.queen_adjacency(grid, resolution)), "bidirectional": share}
 
 
 def contract(out: dict[str, DataFrame], cells: int, months: int, depth: int = 1) -> dict[str, bool]:

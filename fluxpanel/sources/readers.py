@@ -5,12 +5,15 @@ NetCDF files have a data source of their own (`netcdf.py`).  Checkpoints are par
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.panel import clean, sentinel_null
@@ -139,16 +142,44 @@ def lattice(spark: SparkSession, lat: tuple[float, float], lon: tuple[float, flo
     return ids.select(F.col("id").alias("pixel_id"), cell(lat[0], F.expr(f"id div {n_lon}")).alias("latitude"), cell(lon[0], F.col("id") % n_lon).alias("longitude"))
 
 
-def write_checkpoint(folder: str, **tables: DataFrame) -> None:
-    """panel, circulation (by month), adjacency, grid: one parquet folder each."""
+#: Buckets of the links of a checkpoint; what they are dealt by, as shells are joined on it.
+BUCKETS, DEALT_BY = 64, ("i", "j")
+
+
+def write_checkpoint(folder: str, buckets: int = BUCKETS, **tables: DataFrame) -> None:
+    """panel, circulation, adjacency, grid: one parquet folder each.  Circulation is dealt
+    by its links into buckets, in the order of months within each, so that what joins
+    on links later moves only the other side; `circulation_layout` says how."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy("ts") if name == "circulation" and "ts" in df.columns else writer).parquet(f"{folder}/{name}")
+        if name != "circulation":
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            continue
+        # The catalogue is where bucketed files are written by; files stay when the name goes.
+        table, spark = f"circulation_{uuid.uuid4().hex}", df.sparkSession
+        spread = df.repartition(buckets, *DEALT_BY)
+        writer = spread.write.format("parquet").mode("overwrite").bucketBy(buckets, *DEALT_BY).sortBy("ts", *DEALT_BY)
+        writer.option("path", f"{folder}/{name}").saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")
+        spark.createDataFrame([(buckets, spread.schema.json())], "buckets int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}_layout")
+
+
+def _bucketed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Links as a table that knows its buckets, under a name of this call; one
+    without a layout, as older checkpoints have it, is read as it is."""
+    try:
+        layout = spark.read.parquet(f"{folder}/{name}_layout").first()
+    except AnalysisException:
+        return spark.read.parquet(f"{folder}/{name}")
+    schema = StructType.fromJson(json.loads(layout["schema"]))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    table, path = f"circulation_{uuid.uuid4().hex}", f"{folder}/{name}".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({', '.join(DEALT_BY)}) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
 
 
 def read_checkpoint(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     try:
-        return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+        return {n: _bucketed(spark, folder, n) if n == "circulation" else spark.read.parquet(f"{folder}/{n}") for n in names}
     except AnalysisException as error:
         raise FileNotFoundError(f"no checkpoint in {folder}; build it with --build-inputs") from error
 

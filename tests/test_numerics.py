@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fluxpanel import cli
@@ -398,3 +399,67 @@ def test_streaming_daily_means(spark, tmp_path):
     full = {(r["k"], r["day"]): r["v"] for r in daily_means(rows, "ts", "v", "k").collect()}
     assert 0 < got.count() < len(full)
     assert all(full[r["k"], r["day"]] == r["v"] for r in got.collect())
+
+
+def test_long_axis_equals_short(spark):
+    """The as-of join over stretches of an axis, crowded in one place, beside the one over a whole array."""
+    from fluxpanel.operators.spatial import bracket
+
+    stamp = F.expr("timestamp_ntz'2001-01-01' + make_dt_interval(0, 0, 0, cast(s as decimal(18, 6)))")
+    at = F.when(F.col("id") % 3 == 0, F.col("id") * 0.001).otherwise(F.col("id") * 37.5)
+    axis = spark.range(5000).select(at.alias("s")).select(stamp.alias("ts")).union(spark.createDataFrame([(None,)], "ts timestamp_ntz"))
+    events = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, F.lit(7.5015)).otherwise(F.col("id") * 70.0 - 500).alias("s")).select("id", stamp.alias("at"))
+    events = events.union(spark.createDataFrame([(9999, None)], "id long, at timestamp_ntz")).union(axis.limit(300).select(F.lit(7).cast("long"), "ts"))
+    short, long = (sorted(map(str, bracket(events, axis, "at", ["id"], short=n).collect())) for n in (10_000, 100))
+    assert short == long and len(short) == events.count()
+    plan = bracket(events, axis, "at", ["id"], short=100)._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    none = bracket(events, axis.limit(0), "at", ["id"]).collect()
+    assert len(none) == len(short) and all(r["t0"] is None and r["t1"] is None and r["w1"] == 0 for r in none)
+
+
+def test_pairs_in_one_shuffle(spark):
+    from fluxpanel.operators import graph
+
+    rng = np.random.default_rng(0)
+    rows = [(int(t), int(i), int(j)) for t, i, j in rng.integers(0, [3, 12, 12], (400, 3))]
+    df = spark.createDataFrame(rows, "ts int, i int, j int")
+    links = {(t, i, j) for t, i, j in rows if i != j}
+    kept = {(t, i, j) for t, i, j in links if i < j or (t, j, i) not in links}
+    got = graph.unidirectional(df, ["ts"])
+    assert sorted(map(tuple, got.select("ts", "i", "j").collect())) == sorted(kept)
+    share = {r["ts"]: r["share"] for r in graph.bidirectional_share(df, ["ts"]).collect()}
+    assert share == {t: sum((t, j, i) in links for s, i, j in links if s == t) / sum(s == t for s, _, _ in links) for t in range(3)}
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_links_of_a_checkpoint_do_not_move(spark, tmp_path):
+    """Shells meet the buckets of the links: no exchange above the scan of the links."""
+    from fluxpanel.operators import graph
+    from fluxpanel.sources import readers
+
+    rng = np.random.default_rng(1)
+    rows = sorted({(f"2001-{int(t) + 1:02}-01", int(i), int(j)) for t, i, j in rng.integers(0, [6, 40, 40], (3000, 3)) if i != j})
+    links = spark.createDataFrame(rows, "ts string, i long, j long").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "i", "j")
+    folder = str(tmp_path / "it's a checkpoint")
+    for _ in range(2):
+        readers.write_checkpoint(folder, 8, circulation=links)
+    held = readers.read_checkpoint(spark, folder, "circulation")["circulation"]
+    assert held.schema == links.schema and held.exceptAll(links).isEmpty() and links.exceptAll(held).isEmpty()
+    shell = spark.range(1600).select((F.col("id") % 40).alias("i"), (F.col("id") / 40).cast("long").alias("j"), F.lit(1).alias("k")).filter("i <> j").repartition(3)
+    stamps = links.select("ts").distinct().withColumn("t", F.dense_rank().over(Window.orderBy("ts")))
+    edges = held.join(F.broadcast(stamps), "ts").select("t", "i", "j")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.upwind(edges, shell)
+        n = found.count()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n == len(rows)
+    join = plan[plan.index("SortMergeJoin") :] if "SortMergeJoin" in plan else plan[plan.index("ShuffledHashJoin") :]
+    left = join[: join.index("Range (")]
+    assert "Bucketed: true" in left and left.count("Exchange hashpartitioning(i") == 1, plan
+    # A folder without a layout is read as it is.
+    links.write.parquet(f"{tmp_path}/old/circulation")
+    assert readers.read_checkpoint(spark, f"{tmp_path}/old", "circulation")["circulation"].count() == len(rows)
