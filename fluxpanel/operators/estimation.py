@@ -6,8 +6,9 @@ triangular factors again in groups, and the last few on the driver: the factor o
 the whole table, with the accuracy of QR and never a cross product.  The factor
 of any columns follows from it, and with it all estimates, the conditional F,
 the condition number and, from the constant, means and the number of rows.  The
-second pass is one aggregate by unit of all models' residuals, whose sums
-clustered errors, the serial correlation test and two-step GMM are made of."""
+second pass walks the rows unit by unit in blocks of arrays, and sums up by unit the
+scores that clustered errors, the serial correlation test and two-step GMM are made
+of."""
 
 from __future__ import annotations
 
@@ -17,10 +18,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import finite
 from ..functions.tails import chi2_tail, normal_tail
 
 #: Groups in which the factors of partitions meet before the driver.
@@ -85,7 +85,7 @@ def triangular_factors(df: DataFrame, columns: list[Column], needs: list[int | N
             yield _sent(k, 0, r)
 
     rows = df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
-    parts = rows.mapInArrow(local, _SENT).repartition(GROUPS, "part").mapInArrow(joint, _SENT).collect()
+    parts = rows.mapInArrow(local, _SENT).repartition("part").mapInArrow(joint, _SENT).collect()
     return [_square(_reduced((np.frombuffer(p["value"], np.float64).reshape(-1, width) for p in parts if p["which"] == k), width)) for k in range(len(needs))]
 
 
@@ -94,16 +94,96 @@ def triangular_factor(df: DataFrame, columns: list[Column]) -> np.ndarray:
     return triangular_factors(df, columns, [None])[0]
 
 
-def _products(df: DataFrame) -> np.ndarray:
-    """Sums of products of all pairs of [1 | columns] over the rows: within
-    partitions, over groups of them, on the driver."""
-    width = len(df.columns) + 1
+@dataclass(frozen=True)
+class _Scored:
+    """What the second pass knows of a model: the places of its instruments, regressors
+    and y among the columns, their means, the coefficients, the orders of the serial
+    correlation test and the place of a column that must be there."""
+
+    z: list[int]
+    x: list[int]
+    y: int
+    means: np.ndarray
+    coef: np.ndarray
+    orders: tuple[int, ...]
+    need: int | None
+
+    @property
+    def width(self) -> int:
+        return 1 + len(self.z) + len(self.orders) * (1 + len(self.x))
+
+
+def _scores(models: list[_Scored], unit: np.ndarray, t: np.ndarray, rows: np.ndarray, seen: int) -> np.ndarray:
+    """A row of scores for each of the rows from `seen` on; those before are of the unit
+    that goes on, and serve as earlier periods only.  Rows are in the order of unit and
+    period.  The scores of a model: whether the row counts, each instrument times the
+    residual, and for each order the earlier residual times the residual and the
+    regressors."""
+    start = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    number = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(unit))))
+    span = int(t.max()) - int(t.min()) + 1 if len(t) else 1
+    least = int(t.min()) if len(t) else 0
+    reach = max((o for m in models for o in m.orders), default=0)
+    key = number * (span + reach) + (t - least) + reach
+    earlier = {}
+    for o in {o for m in models for o in m.orders}:
+        at = np.minimum(np.searchsorted(key, key - o), len(key) - 1)
+        earlier[o] = np.where((key[at] == key - o) & (t - least >= o), at, -1)
+    out = []
+    for m in models:
+        centred = np.nan_to_num(rows[:, [*m.z, *m.x, m.y]] - m.means)
+        z, x, y = centred[:, : len(m.z)], centred[:, len(m.z) : -1], centred[:, -1]
+        counts = np.isfinite(rows[:, m.need]) if m.need is not None else np.ones(len(rows), bool)
+        e = np.where(counts, y - x @ m.coef, 0.0)
+        out += [counts[:, None].astype(float), z * e[:, None]]
+        for o in m.orders:
+            lag = np.where(earlier[o] >= 0, e[earlier[o]], 0.0)
+            out += [(lag * e)[:, None], x * lag[:, None]]
+    return np.hstack(out)[seen:]
+
+
+def _score_products(df: DataFrame, columns: list[Column], models: list[_Scored]) -> np.ndarray:
+    """Sums over the units of products of all pairs of [1 | scores of the unit].
+
+    Rows are dealt by unit and sorted by period; each task walks its units in blocks of
+    arrays, carries the sums and the last periods of a unit over the edge of a block, and
+    sends one matrix.  So no unit is held, however long, and no coefficient is an
+    expression of the plan."""
+    width = 1 + sum(m.width for m in models)
+    counted = np.cumsum([0] + [m.width for m in models])[:-1]
+    reach, n_columns = max((o for m in models for o in m.orders), default=0), len(columns)
 
     def local(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total, held, last = np.zeros((width, width)), np.zeros(width - 1), None
+        tail = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, n_columns)))
+
+        def finish(sums: np.ndarray) -> None:
+            nonlocal total
+            sums[:, counted] = sums[:, counted] > 0
+            sums = np.column_stack([np.ones(len(sums)), sums])
+            total += sums.T @ sums
+
         for batch in batches:
-            rows = np.column_stack([np.ones(batch.num_rows), *[np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns]])
-            total += rows.T @ rows
+            if not batch.num_rows:
+                continue
+            unit, t = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(float, copy=False)
+            if last is not None and last != unit[0]:
+                finish(held[None].copy())
+                held, tail = np.zeros(width - 1), tuple(v[:0] for v in tail)
+            seen = len(tail[0])
+            unit, t, rows = (np.concatenate((a, b)) for a, b in zip(tail, (unit, t, rows), strict=True))
+            scores = _scores(models, unit, t, rows, seen)
+            own = unit[seen:]
+            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            sums = np.add.reduceat(scores, start, axis=0)
+            sums[0] += held
+            finish(sums[:-1])
+            held, last = sums[-1], own[-1]
+            going = (unit == last) & (t > t[-1] - reach) if reach else np.zeros(len(unit), bool)
+            tail = unit[going], t[going], rows[going]
+        if last is not None:
+            finish(held[None].copy())
         yield _sent(0, TaskContext.get().partitionId() % GROUPS, total)
 
     def joint(batches) -> Iterator[pa.RecordBatch]:
@@ -111,7 +191,8 @@ def _products(df: DataFrame) -> np.ndarray:
         if found:
             yield _sent(0, 0, sum(found))
 
-    parts = df.mapInArrow(local, _SENT).repartition(GROUPS, "part").mapInArrow(joint, _SENT).collect()
+    rows = df.select("pixel_id", "t", *[c.alias(f"c{k}") for k, c in enumerate(columns)]).repartition("pixel_id").sortWithinPartitions("pixel_id", "t")
+    parts = rows.mapInArrow(local, _SENT).repartition("part").mapInArrow(joint, _SENT).collect()
     return sum((np.frombuffer(p["value"], np.float64).reshape(width, width) for p in parts), np.zeros((width, width)))
 
 
@@ -155,10 +236,6 @@ def _solve(r: np.ndarray, q: int, p: int, n: int) -> dict:
     return {"coef": coef, "bread": bread, "sw_f": f, "cond": float(sv[0] / max(sv[-1], 1e-300)), "first": first, "zz": zz, "zx": zx, "zy": zy}
 
 
-def _dot(columns: list[Column], factors) -> Column:
-    return sum((c * float(b) for c, b in zip(columns, factors, strict=True)), F.lit(0.0))
-
-
 @dataclass(frozen=True)
 class Model:
     """Regressors and instruments by name, the orders of the serial correlation
@@ -185,31 +262,23 @@ def fit_many(df: DataFrame, y: str, models: list[Model], depth: int) -> list[Fit
     needs = list(dict.fromkeys(m.need for m in models))
     factors = dict(zip(needs, triangular_factors(df, columns, [place[n][0] if n else None for n in needs]), strict=True))
 
-    fits, rows, sums = [], df.select("pixel_id", "t"), []
-    shown, lags, unit = {}, {}, Window.partitionBy("pixel_id").orderBy("t")
-    for k, m in enumerate(models):
+    fits, scored = [], []
+    for m in models:
         zi, xi = ([i for n in group for i in place[n]] for group in (m.z, m.x))
         q, p = len(zi), len(xi)
         r = _square(np.linalg.qr(factors[m.need][:, [0, *zi, *xi, last]], mode="r"))
         # The first row holds the means, up to its corner, whose square counts the rows.
         n, means = round(r[0, 0] ** 2), r[0, 1:] / (r[0, 0] or 1.0)
         fits.append((n, q, p, _solve(r, q, p, n)))
-        centred = [columns[i] - float(v) for i, v in zip([*zi, *xi, last], means, strict=True)]
-        resid = centred[-1] - _dot(centred[q:-1], fits[-1][3]["coef"])
-        shown[f"e{k}"] = F.when(finite(columns[place[m.need][0]]), resid) if m.need else resid
-        for i, c in enumerate(centred[:-1]):
-            shown[f"v{k}_{i}"] = c
-        for o in m.orders:
-            lags[f"e{k}_{o}"] = F.coalesce(F.max(f"e{k}").over(unit.rangeBetween(-o, -o)), F.lit(0.0))
-        sums += [F.max(F.when(F.col(f"e{k}").isNotNull(), 1.0).otherwise(0.0)).alias(f"g{k}")]
-        sums += [F.sum(F.col(f"v{k}_{i}") * F.col(f"e{k}")).alias(f"s{k}_{i}") for i in range(q)]
-        for o in m.orders:
-            sums.append(F.sum(F.col(f"e{k}_{o}") * F.col(f"e{k}")).alias(f"a{k}_{o}"))
-            sums += [F.sum(F.col(f"e{k}_{o}") * F.col(f"v{k}_{q + i}")).alias(f"c{k}_{o}_{i}") for i in range(p)]
-    rows = df.select("pixel_id", "t", *[c.alias(n) for n, c in shown.items()])
-    own = (rows.withColumns(lags) if lags else rows).groupBy("pixel_id").agg(*sums).drop("pixel_id")
-    total = _products(own)
-    at = {n: i for i, n in enumerate(own.columns, 1)}
+        scored.append(_Scored(zi, xi, last, means, fits[-1][3]["coef"], m.orders, place[m.need][0] if m.need else None))
+    total, at, begin = _score_products(df, columns, scored), {}, 1
+    for k, m in enumerate(scored):
+        q, p = len(m.z), len(m.x)
+        at |= {f"g{k}": begin} | {f"s{k}_{i}": begin + 1 + i for i in range(q)}
+        for o, order in enumerate(m.orders):
+            first = begin + 1 + q + o * (1 + p)
+            at |= {f"a{k}_{order}": first} | {f"c{k}_{order}_{i}": first + 1 + i for i in range(p)}
+        begin += m.width
 
     out = []
     for k, (m, (n, q, p, solved)) in enumerate(zip(models, fits, strict=True)):

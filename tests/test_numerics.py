@@ -463,3 +463,28 @@ def test_links_of_a_checkpoint_do_not_move(spark, tmp_path):
     # A folder without a layout is read as it is.
     links.write.parquet(f"{tmp_path}/old/circulation")
     assert readers.read_checkpoint(spark, f"{tmp_path}/old", "circulation")["circulation"].count() == len(rows)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_scores_over_the_edges_of_blocks(spark, size):
+    """Units of any length, with periods left out and rows that do not count, in blocks of few rows."""
+    from fluxpanel.operators import estimation
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for unit in range(12):
+        for t in range(int(rng.integers(1, 30))):
+            if rng.random() < 0.85:
+                v = rng.normal(size=7).tolist()
+                rows.append((unit, t, v[0], v[1], v[2], v[3] if rng.random() < 0.7 else None, v[4:5], v[5:6]))
+    df = spark.createDataFrame(rows, "pixel_id long, t int, dy double, dyl double, l2 double, l3 double, dx array<double>, dz array<double>")
+    whole = estimation.fit_specification(df.withColumns({c: F.col("dx") for c in ("xc", "xm", "zc", "zm")}).withColumns({"xm": F.array(F.col("dyl") * F.col("l2")), "zm": F.array(F.col("l2") * F.col("l2"))}), 1, 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        parts = estimation.fit_specification(df.repartition(5).withColumns({c: F.col("dx") for c in ("xc", "xm", "zc", "zm")}).withColumns({"xm": F.array(F.col("dyl") * F.col("l2")), "zm": F.array(F.col("l2") * F.col("l2"))}), 1, 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, b in zip(whole[:2], parts[:2], strict=True):
+        assert np.allclose(a.coef, b.coef) and np.allclose(a.se, b.se) and (a.n, a.clusters) == (b.n, b.clusters)
+        assert all(np.allclose(a.ar[o], b.ar[o]) for o in (1, 2))
+    assert whole[2]["J"] == pytest.approx(parts[2]["J"]) and whole[2]["n"] == parts[2]["n"] < whole[0].n
