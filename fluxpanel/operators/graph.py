@@ -203,16 +203,19 @@ def _margins_in_one_task(entries: DataFrame, cells: DataFrame, delta: int, terms
     return rows.coalesce(1).mapInArrow(solve, "pixel_id long, row_margin double, col_margin double")
 
 
-def multiplier_margins(a: DataFrame, cells: DataFrame, delta: int = 1, terms: int = 500, tolerance: float = 1e-13) -> DataFrame | None:
+def multiplier_margins(a: DataFrame, cells: DataFrame, delta: int = 1, terms: int = 500, tolerance: float = 1e-13, entries: int | None = None) -> DataFrame | None:
     """(pixel_id, row_margin, col_margin): row and column sums of
     (I - A)^-(delta + 1), or None if the series does not settle in `terms`.
 
     One binomial series serves any power: the m-th term is C(m + delta, delta)
-    times A^m 1.  A matrix of at most LOCAL_ENTRIES is solved within one task;
-    beyond that, both directions advance in one join and aggregate a step."""
-    n = cells.count()
-    a = materialise(a.select("i", "j", "a"))
-    if a.count() <= LOCAL_ENTRIES and n <= LOCAL_ENTRIES:
+    times A^m 1.  A matrix of at most LOCAL_ENTRIES, some 50 MB, is solved within one
+    task; beyond that, both directions advance in one join and aggregate a step.  A
+    caller who knows that there are no more than `entries` saves the count."""
+    n, a = cells.count(), a.select("i", "j", "a")
+    if entries is None or entries > LOCAL_ENTRIES:
+        a = materialise(a)
+        entries = a.count()
+    if entries <= LOCAL_ENTRIES and n <= LOCAL_ENTRIES:
         solved = materialise(_margins_in_one_task(a, cells, delta, terms, tolerance))
         return None if n and solved.isEmpty() else solved
     both = a.select(F.col("i").alias("to"), F.col("j").alias("of"), "a", F.lit(0).alias("side")).unionByName(

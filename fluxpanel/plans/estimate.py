@@ -37,9 +37,10 @@ def run(grid: DataFrame, panel: DataFrame, circulation: DataFrame, adjacency: Da
     w = upwind_edges(circulation, adjacency, depth)
     months, cells = panel.select("t").distinct().count(), grid.count()
     base_year = panel.agg(F.min(F.year("ts"))).first()[0]
-    averaged = {}
+    averaged, entries = {}, {}
     if multipliers:
         averaged = {"binary": materialise(graph.time_average(w, months, "t")), "composition": materialise(graph.time_average(w, months, "t", standardise=True))}
+        entries = {k: v.count() for k, v in averaged.items()}
     out = []
     for spec in specs:
         if supplied is None:
@@ -59,7 +60,7 @@ def run(grid: DataFrame, panel: DataFrame, circulation: DataFrame, adjacency: Da
             result = Result(spec.name, name, fit, beta, se, overidentified=over if name == "binary" else None, note=note)
             if multipliers:
                 a = graph.weighted_adjacency(averaged[name], dict(enumerate(beta, 1)))
-                margins = graph.multiplier_margins(a, grid)
+                margins = graph.multiplier_margins(a, grid, entries=entries[name])
                 if margins is not None:
                     m = margins.agg(F.avg("row_margin"), F.min("row_margin"), F.max("row_margin")).first()
                     result.omega = {"mean": m[0], "min": m[1], "max": m[2]}
