@@ -488,3 +488,35 @@ def test_scores_over_the_edges_of_blocks(spark, size):
         assert np.allclose(a.coef, b.coef) and np.allclose(a.se, b.se) and (a.n, a.clusters) == (b.n, b.clusters)
         assert all(np.allclose(a.ar[o], b.ar[o]) for o in (1, 2))
     assert whole[2]["J"] == pytest.approx(parts[2]["J"]) and whole[2]["n"] == parts[2]["n"] < whole[0].n
+
+
+def test_lags_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Months that arrive in three runs, some of them late or twice."""
+    from fluxpanel.operators.panel import panel_lags
+    from fluxpanel.streaming.monthly import append_to, lagged_stream
+
+    rng = np.random.default_rng(2)
+    rows = [(u, t, None if rng.random() < 0.2 else float(rng.normal())) for u in range(5) for t in range(9)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for months in ((0, 3), (3, 4), (4, 9)):
+        new = [r for r in rows if months[0] <= r[1] < months[1]]
+        late = [(1, 2, 99.0), (1, 3, 98.0)] if months[0] == 4 else []
+        rng.shuffle(new)
+        spark.createDataFrame([*[(int(u), int(t), y) for u, t, y in new], *late, (None, 1, 2.0)], "pixel_id long, t int, y double").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("pixel_id long, t int, y double").parquet(source)
+        append_to(lagged_stream(stream), out, str(tmp_path / "state")).awaitTermination()
+    found = spark.read.parquet(out)
+    columns = ("pixel_id", "t", "y", "dy", "dyl", "l2", "l3")
+    expected = panel_lags(spark.createDataFrame(rows, "pixel_id long, t int, y double")).select(*columns)
+    assert sorted(map(str, found.filter("not late").select(*columns).collect())) == sorted(map(str, expected.collect()))
+    assert sorted((r["t"], r["y"], r["dy"]) for r in found.filter("late").collect()) == [(2, 99.0, None), (3, 98.0, None)]
+
+
+def test_lags_of_a_stream_with_gaps():
+    from fluxpanel.streaming.monthly import _advance
+
+    held, seen = (None, None, None, None), []
+    for t in (1, 2, 4, 8, 9):
+        held, earlier = _advance(held, t, float(t))
+        seen.append(earlier)
+    assert seen == [[None] * 3, [1.0, None, None], [None, 2.0, 1.0], [None] * 3, [8.0, None, None]]
