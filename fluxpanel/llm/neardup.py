@@ -21,7 +21,9 @@ Plan:
 4. buckets that hold several components even then are finished exactly: members
    outside the bucket's largest component meet all others, in cells of bounded
    rows and bytes, where a pair is taken in the first band that it shares, one
-   already connected is skipped, and only new links come out.
+   already connected is skipped, and only new links come out.  Registers go first:
+   members whose estimates leave no partner outside of their component are settled,
+   and only the sets of the others are moved.
 Components grow from round to round.  No step lists the pairs of a group.
 """
 
@@ -54,8 +56,9 @@ UNREACHED = 15.0
 #: Centres of a further star of a bucket, and rounds of such stars at most.
 LEADS, ROUNDS = 4, 3
 
-#: Members, and bytes of shingle sets, on either side of a cell.
-CELL_ROWS, CELL_BYTES = 256, 1 << 20
+#: Members, and bytes of shingle sets, on either side of a cell; members on a side of
+#: a cell of registers alone.
+CELL_ROWS, CELL_BYTES, REGISTER_ROWS = 256, 1 << 20, 1024
 
 _RNG = np.random.default_rng(20240229)
 _SLOPES = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -176,6 +179,30 @@ def _confirmed(batches, percent):
         yield pa.RecordBatch.from_arrays([col("u").take(pa.array(ok, pa.int64())), col("v").take(pa.array(ok, pa.int64()))], ["u", "v"])
 
 
+def _live(percent, band):
+    """Nodes of a cell that a partner in another component is within reach of."""
+
+    def nodes(table: pa.Table) -> pa.Table:
+        outside, own, bucket, place, node, sizes = (np.array(table.column(n).to_pylist()) for n in ("outside", "component", "bucket", "band", "node", "n_shingles"))
+        regs = _registers(table.column("registers"))
+        bands = regs[:, : REGISTERS // band * band].reshape(len(regs), -1, band)
+        inner = np.flatnonzero(~outside)
+        inner = inner[np.argsort(bucket[inner], kind="stable")]
+        a, b = (np.searchsorted(bucket[inner], bucket, side=s) for s in ("left", "right"))
+        live = np.zeros(len(node), bool)
+        for o in np.flatnonzero(outside).tolist():
+            rest = inner[a[o] : b[o]]
+            rest = rest[(own[rest] != own[o]) & (100 * np.minimum(sizes[rest], sizes[o]) >= percent * np.maximum(sizes[rest], sizes[o]))]
+            rest = rest[(bands[rest] == bands[o]).all(2).argmax(1) == place[o]] if len(rest) else rest
+            if len(rest):
+                met = rest[reachable(regs[rest], regs[o][None], sizes[rest], sizes[o][None], percent)]
+                live[met] = True
+                live[o] |= len(met) > 0
+        return pa.table([pa.array(np.unique(node[live]), pa.int64())], names=["node"])
+
+    return nodes
+
+
 def _cell(percent, band):
     """Links between components, of the buckets in a cell."""
 
@@ -240,23 +267,35 @@ def _across(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int,
     """Links (u, v) between components, of the members of unsettled buckets."""
     rows = members.drop("size").join(open_.select("bucket", "largest"), "bucket").join(sets.select("node", "size"), "node")
     rows = materialise(rows.select("bucket", "band", "node", "component", "size", (F.col("component") != F.col("largest")).alias("outside")))
-    blocks = lambda rows, size: F.greatest(F.ceil(rows / CELL_ROWS), F.ceil(size / CELL_BYTES)).cast("int")
+    light = sets.select("node", "registers", (F.col("size") / 8).cast("long").alias("n_shingles"))
+    live = materialise(_celled(rows, light, REGISTER_ROWS, None, _live(percent, band), "node long").distinct())
+    kept = materialise(rows.join(small_side(live, live.count()), "node", "left_semi"))
+    discard(rows)
+    return _celled(kept, sets.select("node", "registers", "shingles"), CELL_ROWS, CELL_BYTES, _cell(percent, band), "u long, v long")
+
+
+def _celled(rows: DataFrame, held: DataFrame, most: int, most_bytes: int | None, f, schema: str) -> DataFrame:
+    """f over the cells in which members outside of their bucket's largest component
+    meet all members of the bucket, `most` rows and `most_bytes` of sets on a side; what
+    is in `held` of a node comes with its members."""
+    of_bytes = (lambda size: F.ceil(size / most_bytes)) if most_bytes else (lambda size: F.lit(1))
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / most), of_bytes(size), F.lit(1)).cast("int")
     per = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_if("outside").alias("n_out"), F.sum(F.when(F.col("outside"), F.col("size"))).alias("bytes_out"))
     per = materialise(per.select("bucket", blocks(F.col("n"), F.col("bytes")).alias("all_blocks"), blocks(F.col("n_out"), F.col("bytes_out")).alias("out_blocks"), "n"))
     # Buckets of one cell share cells, by hash, so that a cell is worth its call.
     one = F.expr("all_blocks = 1 and out_blocks = 1")
     small = per.filter(one).agg(F.sum("n")).first()[0] or 0
-    per = per.withColumn("pack", F.when(one, F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-small // CELL_ROWS))))).otherwise(F.col("bucket"))).withColumn("single", one).drop("n")
+    per = per.withColumn("pack", F.when(one, F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-small // most))))).otherwise(F.col("bucket"))).withColumn("single", one).drop("n")
     inside = rows.join(small_side(per, per.count()), "bucket")
     own = ["single", "pack", "bucket", "band", "component", "node"]
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     all_ = inside.select(*own, F.lit(False).alias("outside"), spread_over("out_blocks").alias("i"), place("all_blocks").alias("j"))
     out = inside.filter("outside").select(*own, "outside", place("out_blocks").alias("i"), spread_over("all_blocks").alias("j"))
-    # Sets come last, and only those of these members.
+    # What is wide comes last, and only that of these members.
     asked = materialise(rows.select("node").distinct())
-    held = sets.join(small_side(asked, asked.count()), "node", "left_semi").select("node", "registers", "shingles")
-    return all_.unionByName(out).join(held, "node").groupBy("single", "pack", "i", "j").applyInArrow(_cell(percent, band), "u long, v long")
+    held = held.join(small_side(asked, asked.count()), "node", "left_semi")
+    return all_.unionByName(out).join(held, "node").groupBy("single", "pack", "i", "j").applyInArrow(f, schema)
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:

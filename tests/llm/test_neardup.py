@@ -165,3 +165,24 @@ def test_long_words_that_polynomials_confuse(spark):
             texts[len(texts)] = f"{thue_morse(n, flip).decode()} one"
     got = rows(neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert got == brute(texts) and all(v[2] for v in got.values())
+
+
+def test_pages_of_one_template_move_no_sets(spark, monkeypatch):
+    """Pages that share buckets by their template and are not near: registers settle them."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(150)]
+    texts = {k: " ".join(template + [word() for _ in range(50)]) for k in range(150)}
+    texts[500] = texts[3] + " more"
+    asked, cell = [], neardup._celled
+
+    def counted(rows, held, *rest):
+        asked.append((rows.select("node").distinct().count(), "shingles" in held.columns))
+        return cell(rows, held, *rest)
+
+    monkeypatch.setattr(neardup, "_celled", counted)
+    monkeypatch.setattr(neardup, "REGISTER_ROWS", 64)
+    assert rows(neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))) == brute(texts)
+    assert asked and not asked[0][1] and asked[0][0] > 50 and all(n <= 4 for n, sets in asked if sets)
