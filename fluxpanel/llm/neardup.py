@@ -132,10 +132,17 @@ def reachable(ra: np.ndarray, rb: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
         n_a, n_b = np.broadcast_to(n_a, len(out))[at].astype(float), np.broadcast_to(n_b, len(out))[at].astype(float)
         more, less = (ra > rb).sum(1), (ra < rb).sum(1)
         same = REGISTERS - more - less
-        best = estimate(n_a, n_b, more, less, same)
         limit = np.minimum(percent / 100, np.minimum(n_a / n_b, n_b / n_a))
-        gap = likelihood(best, n_a, n_b, more, less, same) - likelihood(limit, n_a, n_b, more, less, same)
-        out[at] = (best >= limit) | (gap <= UNREACHED)
+        at_limit = likelihood(limit, n_a, n_b, more, less, same)
+        # The share of equal registers is nearly the estimate.  Where it alone is likelier
+        # than the limit by more than the allowance, so is the estimate.
+        guess = np.minimum(same / REGISTERS, limit)
+        open_ = np.flatnonzero(likelihood(guess, n_a, n_b, more, less, same) - at_limit <= UNREACHED)
+        out[at] = False
+        n_a, n_b, more, less, same, limit = (v[open_] for v in (n_a, n_b, more, less, same, limit))
+        best = estimate(n_a, n_b, more, less, same)
+        gap = likelihood(best, n_a, n_b, more, less, same) - at_limit[open_]
+        out[at[open_]] = (best >= limit) | (gap <= UNREACHED)
     return out
 
 
@@ -179,13 +186,12 @@ def _confirmed(batches, percent):
         yield pa.RecordBatch.from_arrays([col("u").take(pa.array(ok, pa.int64())), col("v").take(pa.array(ok, pa.int64()))], ["u", "v"])
 
 
-def _live(percent, band):
+def _live(percent):
     """Nodes of a cell that a partner in another component is within reach of."""
 
     def nodes(table: pa.Table) -> pa.Table:
-        outside, own, bucket, place, node, sizes = (np.array(table.column(n).to_pylist()) for n in ("outside", "component", "bucket", "band", "node", "n_shingles"))
+        outside, own, bucket, node, sizes = (np.array(table.column(n).to_pylist()) for n in ("outside", "component", "bucket", "node", "n_shingles"))
         regs = _registers(table.column("registers"))
-        bands = regs[:, : REGISTERS // band * band].reshape(len(regs), -1, band)
         inner = np.flatnonzero(~outside)
         inner = inner[np.argsort(bucket[inner], kind="stable")]
         a, b = (np.searchsorted(bucket[inner], bucket, side=s) for s in ("left", "right"))
@@ -193,7 +199,6 @@ def _live(percent, band):
         for o in np.flatnonzero(outside).tolist():
             rest = inner[a[o] : b[o]]
             rest = rest[(own[rest] != own[o]) & (100 * np.minimum(sizes[rest], sizes[o]) >= percent * np.maximum(sizes[rest], sizes[o]))]
-            rest = rest[(bands[rest] == bands[o]).all(2).argmax(1) == place[o]] if len(rest) else rest
             if len(rest):
                 met = rest[reachable(regs[rest], regs[o][None], sizes[rest], sizes[o][None], percent)]
                 live[met] = True
@@ -268,7 +273,7 @@ def _across(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int,
     rows = members.drop("size").join(open_.select("bucket", "largest"), "bucket").join(sets.select("node", "size"), "node")
     rows = materialise(rows.select("bucket", "band", "node", "component", "size", (F.col("component") != F.col("largest")).alias("outside")))
     light = sets.select("node", "registers", (F.col("size") / 8).cast("long").alias("n_shingles"))
-    live = materialise(_celled(rows, light, REGISTER_ROWS, None, _live(percent, band), "node long").distinct())
+    live = materialise(_celled(rows, light, REGISTER_ROWS, None, _live(percent), "node long").distinct())
     kept = materialise(rows.join(small_side(live, live.count()), "node", "left_semi"))
     discard(rows)
     return _celled(kept, sets.select("node", "registers", "shingles"), CELL_ROWS, CELL_BYTES, _cell(percent, band), "u long, v long")
