@@ -24,8 +24,8 @@ def comparable(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[us]")
-        elif df[c].dtype == object and pd.api.types.is_numeric_dtype(df[c].dropna().infer_objects()):
-            df[c] = df[c].astype(float)  # numbers beside missing values come as objects from one side only
+        elif df[c].isna().any() and pd.api.types.is_numeric_dtype(df[c].dropna().infer_objects()):
+            df[c] = df[c].astype("float64")  # missing numbers come as NaN, None or NA
     return df.sort_values(list(df.columns), ignore_index=True)
 
 
