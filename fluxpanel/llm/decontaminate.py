@@ -7,8 +7,8 @@ a state costs 12 to 16 bytes.  The words of a batch are cut into pieces that
 overlap by a window and pass through the automaton side by side.  Matches mark
 words, and runs of marked words are mapped back to offsets of the original.
 
-An automaton takes MAX_ITEM_BYTES of benchmark text, some 0.5 GB of a worker.  A
-larger benchmark is scanned slice by slice, one after another: a slice is
+An automaton takes about MAX_ITEM_BYTES of benchmark text, some 0.5 GB of a worker;
+an item is never cut, so one that is longer takes as much more.  A larger benchmark is scanned slice by slice, one after another: a slice is
 collected, scanned and let go before the next, and what it found is written.
 """
 
