@@ -43,6 +43,11 @@ TRAINING_ROWS, PULL, GRID = 3000, 1e-3, 1024
 #: steps that a step may be no worse than.
 STEPS, SETTLED, LOOK_BACK = 400, 1e-9, 10
 
+#: A long step is taken where the short one is at least this part of it (at first; a
+#: tenth more after each long step, a tenth less after others); else the shortest of so
+#: many short ones.
+ALIKE, SHORT_ONES = 0.5, 5
+
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> LinearModel:
     """A document is toxic if labelled so, else low or clean by its quality."""
@@ -119,20 +124,23 @@ def _sums(groups: DataFrame, width: int, f) -> list[np.ndarray]:
 def fit_rates(described: DataFrame, targets: tuple[float, ...] = TARGETS, pull: float = PULL, steps: int = STEPS) -> list[Step]:
     """The steps that lead to the rates, at which the projected gradient vanishes.
 
-    Sizes are those of Barzilai and Borwein, its two rules in turn; a step that comes
-    out worse than the last LOOK_BACK ones is taken back and halved.  Rates that have
-    not settled after `steps` passes are an error."""
+    Sizes are those of Barzilai and Borwein, of whose two rules the long one is taken
+    where both nearly agree.  Only documents that can move count in the curvature: those
+    that stay at rate 0 would make the short steps far too short.  A step that comes out
+    worse than the last LOOK_BACK ones is taken back and halved.  Rates that have not
+    settled after `steps` passes are an error."""
     width = len(targets)
     # Written, as every pass reads it; of bounded size, so a few tasks are enough.
     groups = materialise(described.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")).filter("n_tokens > 0").coalesce(8))
-    start, square = _sums(groups, width, lambda p, n: (np.append(n @ p, n.sum()), (p * n[:, None]).T @ p))
+    (start,) = _sums(groups, width, lambda p, n: (np.append(n @ p, n.sum()),))
     total = start[width]
     if not total:
         return []
     wanted, shares = np.array(targets) / sum(targets), np.maximum(start[:width] / total, 1e-6)
     slope_at = lambda totals: np.round((totals / total - wanted) / shares, 12)
     slope = slope_at(start[:width])
-    done, values = [Step(1 / (1 + pull), tuple(slope))], [shares @ slope**2 / 2]
+    done, values, short = [Step(1 / (1 + pull), tuple(slope))], [shares @ slope**2 / 2], []
+    alike = ALIKE
     for _ in range(steps):
         now = list(done)
 
@@ -140,10 +148,10 @@ def fit_rates(described: DataFrame, targets: tuple[float, ...] = TARGETS, pull:
             r, was = rates(p, now, pull)
             # How far the rates before the step could still move, and the step itself.
             free = was - np.maximum(0, was - gradient(p, was, now[-1].slope, pull))
-            step = r - was
-            return (n * r) @ p, n @ (free * free), n @ (step * step), (n * step) @ p, n @ ((r - 1) ** 2)
+            step, able = r - was, n * ((r > 0) | (was > 0))
+            return (n * r) @ p, n @ (free * free), n @ (step * step), (n * step) @ p, n @ ((r - 1) ** 2), (p * able[:, None]).T @ p
 
-        totals, free, ss, sp, off = (v / total for v in _sums(groups, width, moved))
+        totals, free, ss, sp, off, square = (v / total for v in _sums(groups, width, moved))
         if np.sqrt(free) < SETTLED:
             discard(groups)
             return done[:-1]
@@ -153,8 +161,13 @@ def fit_rates(described: DataFrame, targets: tuple[float, ...] = TARGETS, pull:
             done[-1] = Step(done[-1].size / 2, done[-1].slope)
             continue
         turn = fresh - slope
-        sy, yy = turn @ sp + pull * ss, turn @ square @ turn / total + 2 * pull * turn @ sp + pull**2 * ss
-        size = 1 / (1 + pull) if sy <= 0 or yy <= 0 else ss / sy if len(done) % 2 else sy / yy
+        sy, yy = turn @ sp + pull * ss, turn @ square @ turn + 2 * pull * turn @ sp + pull**2 * ss
+        if sy <= 0 or yy <= 0:
+            size = 1 / (1 + pull)
+        else:
+            short.append(sy / yy)
+            long = short[-1] >= alike * ss / sy
+            size, alike = (ss / sy, alike * 1.1) if long else (min(short[-SHORT_ONES:]), alike * 0.9)
         slope = fresh
         values.append(value)
         done.append(Step(float(np.round(min(max(size, 0.1), 1 / pull), 12)), tuple(slope)))

@@ -321,6 +321,17 @@ def test_rates_match_a_direct_solution(spark, pull, targets):
     assert np.abs(g[(r > 0) & (n > 0)]).max() < 1e-7 and (g[(r == 0) & (n > 0)] > -1e-7).all()
 
 
+def test_rates_settle_where_many_stay_at_zero(spark):
+    """Shares like those of the pipeline's documents; what stays at rate 0 is no curvature."""
+    rng = np.random.default_rng(11)
+    p, n = mixing.on_grid(rng.dirichlet([3, 0.5, 0.1], 600)), rng.integers(1, 20000, 600)
+    df = spark.createDataFrame([(int(k), row.tolist()) for k, row in zip(n, p, strict=True)], "n_tokens long, posteriors array<double>").repartition(3)
+    steps = mixing.fit_rates(df)
+    r = mixing.rates(p, steps, mixing.PULL)[0]
+    assert len(steps) < 200 and (r == 0).mean() > 0.2
+    assert np.abs(r - newton(p, n.astype(float), np.array(mixing.TARGETS), mixing.PULL)).max() < 1e-4
+
+
 def test_posteriors_on_the_grid():
     rng = np.random.default_rng(1)
     p = np.concatenate((rng.dirichlet([0.2, 0.2, 0.2], 500), np.eye(3), np.full((1, 3), 1 / 3), [[0.5, 0.5, 0.0]]))
