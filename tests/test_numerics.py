@@ -147,6 +147,17 @@ def test_multiplier_matches_inverse(spark, monkeypatch, limit):
     assert graph.multiplier_margins(loud, cells, terms=20) is None
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_multiplier_of_so_many_terms(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "LOCAL_ENTRIES", limit)
+    a = np.where(np.random.default_rng(2).random((6, 6)) < 0.6, 0.5, 0)
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, a double")
+    got = graph.multiplier_margins(edges, spark.range(6).withColumnRenamed("id", "pixel_id"), terms=5, whole=False).orderBy("pixel_id").toPandas()
+    total = sum((m + 1) * np.linalg.matrix_power(a, m) for m in range(6))
+    np.testing.assert_allclose(got["row_margin"], total.sum(1), rtol=1e-12)
+    np.testing.assert_allclose(got["col_margin"], total.sum(0), rtol=1e-12)
+
+
 def test_shells_on_irregular_lattice(spark):
     from fluxpanel.plans.fixtures import irregular
 

@@ -37,6 +37,24 @@ def test_matches_sql(spark, duck, name):
     pd.testing.assert_frame_equal(comparable(got), comparable(expected), check_dtype=False, rtol=1e-9, atol=2e-6)
 
 
+def test_margins_where_all_pairs_are_linked(spark, tmp_path):
+    """All nations sell to all in all months: the series needs more than 500 terms to settle."""
+    con = duckdb.connect()
+    for t, q in {
+        "nation": "SELECT k AS n_nationkey FROM range(25) r(k)",
+        "customer": "SELECT k AS c_custkey, k AS c_nationkey FROM range(25) r(k)",
+        "supplier": "SELECT k AS s_suppkey, k AS s_nationkey FROM range(25) r(k)",
+        "orders": "SELECT 25 * m + k AS o_orderkey, k AS o_custkey, TIMESTAMP '1995-01-15' + to_months(m::INTEGER) AS o_orderdate, 10.0::DOUBLE AS o_totalprice FROM range(2) a(m), range(25) b(k)",
+        "lineitem": "SELECT o_orderkey AS l_orderkey, k AS l_suppkey, 'R' AS l_returnflag, 50.0::DOUBLE AS l_quantity FROM orders, range(25) r(k)",
+        "events": f"SELECT * FROM '{FOLDER}/events.parquet'",
+    }.items():
+        con.sql(f"COPY ({q}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, expected = QUERIES["omega_margins"](spark, str(tmp_path)).toPandas(), con.sql(ORACLES["omega_margins"]).df()
+    assert len(got) == 25 and expected["row_margin"].max() > 100
+    pd.testing.assert_frame_equal(comparable(got), comparable(expected), check_dtype=False, rtol=1e-12)
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
 
