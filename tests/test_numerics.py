@@ -158,6 +158,23 @@ def test_multiplier_of_so_many_terms(spark, monkeypatch, limit):
     np.testing.assert_allclose(got["col_margin"], total.sum(0), rtol=1e-12)
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_multiplier_is_summed_until_it_settles(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "LOCAL_ENTRIES", limit)
+    cells = spark.range(3).withColumnRenamed("id", "pixel_id")
+    ring = lambda a: spark.createDataFrame([(i, (i + 1) % 3, a) for i in range(3)], "i long, j long, a double")
+    got = graph.multiplier_margins(ring(0.3), cells, terms=4).toPandas()
+    np.testing.assert_allclose(got[["row_margin", "col_margin"]], 1 / 0.7**2, rtol=1e-12)
+    for a in (1.0, 1.01, math.nan):
+        assert graph.multiplier_margins(ring(a), cells, terms=4) is None
+
+
+def test_multiplier_of_more_than_500_terms(spark):
+    edges = spark.createDataFrame([(0, 1, 0.99), (1, 0, 0.99)], "i long, j long, a double")
+    got = graph.multiplier_margins(edges, spark.range(2).withColumnRenamed("id", "pixel_id")).toPandas()
+    np.testing.assert_allclose(got[["row_margin", "col_margin"]], 1e4, rtol=1e-10)
+
+
 def test_shells_on_irregular_lattice(spark):
     from fluxpanel.plans.fixtures import irregular
 

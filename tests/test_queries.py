@@ -1,6 +1,7 @@
 """Every registered query of the library beside its SQL, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -55,6 +56,33 @@ def test_margins_where_all_pairs_are_linked(spark, tmp_path):
     pd.testing.assert_frame_equal(comparable(got), comparable(expected), check_dtype=False, rtol=1e-12)
 
 
+@pytest.mark.parametrize("nations, settles", [(25, True), (30, False), (40, False)])
+def test_margins_are_those_of_the_inverse(spark, tmp_path, nations, settles):
+    """All nations sell to all: the whole multiplier, or none from a spectral radius of 1 on."""
+    con = duckdb.connect()
+    for t, q in {
+        "nation": f"SELECT k AS n_nationkey FROM range({nations}) r(k)",
+        "customer": f"SELECT k AS c_custkey, k AS c_nationkey FROM range({nations}) r(k)",
+        "supplier": f"SELECT k AS s_suppkey, k AS s_nationkey FROM range({nations}) r(k)",
+        "orders": f"SELECT k AS o_orderkey, k AS o_custkey, TIMESTAMP '1995-01-15' AS o_orderdate, 10.0::DOUBLE AS o_totalprice FROM range({nations}) r(k)",
+        "lineitem": f"SELECT o_orderkey AS l_orderkey, k AS l_suppkey, 'R' AS l_returnflag, 50.0::DOUBLE AS l_quantity FROM orders, range({nations}) r(k)",
+        "events": f"SELECT * FROM '{FOLDER}/events.parquet'",
+    }.items():
+        con.sql(f"COPY ({q}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, expected = QUERIES["omega_margins"](spark, str(tmp_path)).toPandas(), con.sql(ORACLES["omega_margins"]).df()
+    row, col = np.divmod(np.arange(nations), 5)
+    apart = np.maximum(abs(row[:, None] - row), abs(col[:, None] - col))
+    a = np.select([apart == k for k in graph_queries.BETA], list(graph_queries.BETA.values()), 0.0)
+    assert (abs(np.linalg.eigvals(a)).max() < 1) == settles
+    whole = np.linalg.matrix_power(np.linalg.inv(np.eye(nations) - a), 2).sum(1) if settles else np.full(nations, np.nan)
+    for df in (got, expected):
+        df = df.sort_values("pixel_id")
+        np.testing.assert_array_equal(df["pixel_id"], np.arange(nations))
+        for c in ("row_margin", "col_margin"):
+            np.testing.assert_allclose(df[c].astype(float), whole, rtol=1e-10)
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
 
